@@ -25,34 +25,63 @@ CAPACITY, END = 4096, 2
 _tokenizers: dict = {}
 
 
+#: Punctuation that this tokenizer always splits from letters before it.
+PUNCTUATION = '.,;:!?%*$&#|"()-'
+
+
 class Words:
-    """ids of a text by a tokenizer whose tokens never span a space: each space-separated chunk is encoded once
-    and its ids kept (for `most` chunks)."""
+    """ids of a text by a word tokenizer: white space is dropped, and letters never share a token with the punctuation
+    behind them. Each space-separated chunk is put together once, from its words and marks, and its ids kept. When
+    `most` are held, those not met since the last time that happened go."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {"": b""}, {}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), 1), bool)
+        self.ends[ends] = True
+
+    def _encode(self, chunks: list[str], letters: bool) -> list[bytes]:
+        """Words of letters are encoded together: each ends with the first id that ends a word."""
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(at) == len(chunks):
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *at], at)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _add(self, chunks: set[str], letters: bool) -> None:
+        new = list(chunks - self.known.keys())
+        for part in (new[i : i + 4000] for i in range(0, len(new), 4000)):
+            self.known.update(zip(part, self._encode(part, letters)))
 
     def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
+        new = chunks - self.known.keys()
         if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = list(chunks)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+            self.known, self.old, new = {"": b""}, self.known, chunks - {""}
+        seen = new & self.old.keys()
+        self.known.update(zip(seen, map(self.old.__getitem__, seen)))
+        new -= seen
+        made = {}
+        for c in new:
+            if not c.isalpha():
+                parts = made[c] = []
+                for line in c.split("\n"):
+                    word = line.rstrip(PUNCTUATION)
+                    parts += [word, line[len(word) :]] if word.isalpha() else [line]
+        parts = {p for ps in made.values() for p in ps}
+        words_ = {p for p in parts if p.isalpha()}
+        self._add(new - made.keys() | words_, True)
+        self._add(parts - words_, False)
+        known = self.known
+        for c, ps in made.items():
+            known[c] = b"".join([known[p] for p in ps])
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        chunks = text.split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.known.__getitem__, chunks))
+        """Little-endian 32-bit ids; the text's chunks must have been learned."""
+        return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
 def words(path: str) -> Words:
