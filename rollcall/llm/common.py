@@ -103,6 +103,12 @@ def runs(frames, key: str):
         yield pd.concat(held, ignore_index=True)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Texts are long: fewer rows go to Python at a time than by default. Applies to the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches of few rows, so that little of a batch is held as Python objects."""
     for b in batches:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 CAPACITY, END = 4096, 2
 _tokenizers: dict = {}
@@ -34,7 +34,7 @@ class Words:
     behind them. Each space-separated chunk is put together once, from its words and marks, and its ids kept. When
     `most` are held, those not met since the last time that happened go."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {"": b""}, {}
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         if out := bins.rest():
             yield rows(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, SCHEMA + ", ids binary" * with_ids)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, SCHEMA + ", ids binary" * with_ids)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import keep, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "strict form", "gazetteer", "context", "edges")
@@ -206,7 +206,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             kind = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], kind), pa.array([[list(map(int, c)) for c in y] for _, y in got], kind)], ["doc_id", "base", "found"])
 
-    rows = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, CANDIDATES), "candidates")
+    rows = keep(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, CANDIDATES), "candidates")
     c = F.col("c")
     counted = rows.select(F.explode("found").alias("c")).groupBy(c[0].alias("kind"), c[3].alias("code"), c[4].alias("shape")).agg(F.count("*").alias("n"))
     seen = counted.orderBy("kind", "code", "shape").toPandas()  # kinds x patterns x shapes at most

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep, slices, texts
+from .common import crc_mod, keep, slices, small_batches, texts
 
 STATISTICS = (
     "log_bytes", "log_words", "upper", "lower", "digit", "space", "newline", "not_ascii", "comma_stop", "bang", "hash_percent_star_dollar_amp",
@@ -63,7 +63,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), rows], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(go, "doc_id long, x array<float>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(go, "doc_id long, x array<float>")
 
 
 class Trees:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_unique, keep, runs, slices, texts
+from .common import drop, join_unique, keep, runs, slices, small_batches, texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 ONE = np.uint64(1)
@@ -56,7 +56,7 @@ def _print_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     return rows.mapInArrow(_print_batches, "doc_id long, fp long")
 
 

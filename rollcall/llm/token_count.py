@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 SPACE, UNKNOWN, GRAIN = "▁", 10.0, 1 << 20
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -45,7 +45,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], most: int = 300_000):
+    def __init__(self, pieces: list[tuple[str, float]], most: int = 200_000):
         import ahocorasick
 
         self.automaton, self.most, self.known = ahocorasick.Automaton(), most, {}
@@ -113,4 +113,4 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
             found = [c.count(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "n_tokens", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, "doc_id long, n_tokens long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, "doc_id long, n_tokens long, score double")
