@@ -1,0 +1,436 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+from pathlib import Path
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from rollcall.llm import ann, exact_dedup, language, lm_score, mixing, packing, pii, quality, queries, simhash, token_count
+
+DATA = "/root/testdata/sf0.001"
+ODD = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, score DOUBLE, rid STRING, `key` INT"
+ROWS = [(1, None, "en", None, 0, 0.1, "x", 1), (2, "", None, "a", 0, None, None, None), (2, "", None, "a", 0, None, None, None), (3, "Hello the world of words", "en", "b", 24, 0.2, "y", 2),
+        (4, "hello THE world of words", "en", "b", 24, 0.2, "y", 2), (None, "hello the world of words", None, None, 24, 0.2, "y", 2), (5, "le monde est grand et beau", "fr", "a", 26, 0.0, "", 0),
+        (6, "mot " * 30000, "fr", "c", 120000, 0.0, "", 0), (7, " \t\n", "en", "c", 3, 0.0, "", 0)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, ODD)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    if not Path(DATA).exists():
+        pytest.skip("no test data")
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+
+def tokenizer():
+    return queries.tokenizer_file("word_bpe_49k.json")
+
+
+def lower(text):
+    return (text or "").encode().lower().split()
+
+
+# -- exact dedup
+
+
+@pytest.mark.parametrize("digits", [64, 1])
+def test_exact_dedup(docs, rows, digits):
+    groups = defaultdict(list)
+    norm = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    for i, t, _ in rows:
+        groups[norm(t)].append(i)
+    want = {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    assert {r.doc_id: tuple(r)[1:] for r in exact_dedup.dedup(docs, digits).collect()} == want
+
+
+def test_exact_dedup_odd(spark, odd):
+    got = exact_dedup.dedup(odd).collect()
+    assert len(got) == len(ROWS)
+    empty = [r for r in got if r.text_sha256 == hashlib.sha256(b"").hexdigest()]
+    assert len(empty) == 3 and {r.keep_id for r in empty} == {2} and sum(r.kept for r in empty) == 1
+    assert {r.keep_id for r in got if r.text_sha256 == hashlib.sha256(b"hello the world of words").hexdigest()} == {4}
+    assert exact_dedup.kept_documents(odd).columns == odd.columns and exact_dedup.kept_documents(odd).count() == 5
+    assert exact_dedup.dedup(odd.limit(0)).count() == 0
+
+
+# -- SimHash
+
+
+def slow_print(text):
+    import xxhash
+
+    w = lower(text)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(ids, prints, radius=3):
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    group = defaultdict(list)
+    for i in range(len(ids)):
+        group[find(i)].append(i)
+    return {ids[i]: min(ids[k] for k in g) for g in group.values() for i in g}
+
+
+def test_simhash(docs, rows):
+    prints = [slow_print(t) for _, t, _ in rows]
+    want = classes([i for i, _, _ in rows], prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{p:016x}", want[i]) for (i, _, _), p in zip(rows, prints)}
+
+
+@pytest.mark.parametrize("parts", [1000, 10**9])
+def test_simhash_links(spark, parts):
+    """Chains, dense groups and hot values; parts large: every value above 64 rows is dealt out again."""
+    r = random.Random(5)
+    prints = set()
+    for _ in range(40):
+        f = r.getrandbits(64)
+        for _ in range(12):
+            prints.add(f)
+            for b in r.sample(range(64), r.randint(1, 3)):
+                f ^= 1 << b
+    prints |= {(0xABCD << 48) | r.getrandbits(48) for _ in range(300)}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp LONG")
+    roots = {x.node: x.root for x in simhash.components(simhash.links(df, parts=min(parts, 1000) if parts == 1000 else 5)).collect()}
+    want = classes(signed, prints)
+    assert {p: roots.get(p, p) for p in signed} == want
+
+
+def test_simhash_odd(odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(ROWS)
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {1}
+    assert {r.component_id for r in got if r.doc_id in (3, 4, None)} == {3}
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    kept = simhash.kept_documents(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
+
+
+def test_thresholds_add_up():
+    assert sum(simhash.allocate([[0, 9, 20, 40]] * 3, 1)) == 1
+    assert simhash.allocate([[0, 100, 200], [0, 1, 2]], 0) == [-1, 1]
+
+
+# -- mixing
+
+
+def test_mixing(docs, rows):
+    got = mixing.mix(docs).collect()
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    names = sorted(set(source.values()))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    total = Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    goal, free = {}, set(names)
+    while True:
+        left = sum(total.values()) - sum(goal.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * total[s]]
+        if not over:
+            break
+        goal |= {s: 3 * total[s] for s in over}
+        free -= set(over)
+    goal |= share
+    taken = Counter()
+    for r in got:
+        assert (r.size, r.source_size) == (size[r.doc_id], total[source[r.doc_id]])
+        assert r.target == pytest.approx(goal[source[r.doc_id]]) and 0 <= r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(taken[s] - goal[s]) <= max(n for i, n in size.items() if source[i] == s)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+
+
+def test_mixing_blocks_and_odd(spark, odd, docs):
+    per = defaultdict(lambda: [0, 0])
+    for r in mixing.mix(docs, block=5).collect():  # several rounds
+        per[r.source_size][0] += r.taken
+        per[r.source_size][1] = r.target
+    assert all(abs(a - b) < 0.5 * b + 500 for a, b in per.values())
+    assert mixing.mix(odd).count() == len(ROWS) and mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mixed_documents(odd).columns == odd.columns
+
+
+def test_flight_keeps_totals():
+    r = np.random.default_rng(0)
+    p, size = r.random(500), r.integers(1, 900, 500)
+    out = mixing.fly(p, size, 1)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert out.sum() == pytest.approx(p.sum(), abs=1e-4) and (out * size).sum() == pytest.approx((p * size).sum(), rel=1e-5)
+
+
+# -- packing
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_packing(request, which):
+    from tokenizers import Tokenizer
+
+    df = request.getfixturevalue(which)
+    t = Tokenizer.from_file(tokenizer())
+    want = Counter((r.doc_id, np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in df.collect())
+    pieces = packing.pack(df, tokenizer(), with_ids=True).collect()
+    sequences, parts = defaultdict(list), defaultdict(Counter)
+    for p in pieces:
+        assert len(p.ids) == 4 * p.length and crc32(p.ids) == p.ids_crc32
+        sequences[p.sequence_id].append((p.offset, p.length))
+        parts[p.doc_id, p.doc_tokens][p.start, bytes(p.ids)] += 1
+    for (i, data), n in want.items():  # texts of equal id and length don't occur, so the pieces join to the text again
+        assert Counter({(s, data[4 * s : 4 * (s + k)]): n for s, k in packing.cut(len(data) // 4)}) == parts[i, len(data) // 4]
+    assert sum(p.length for p in pieces) == sum(len(d) // 4 * n for (_, d), n in want.items())
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 4096 and at & (at - 1) == 0
+    assert packing.pack(df.limit(0), tokenizer()).count() == 0
+
+
+def test_cached_ids():
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(tokenizer()), packing.Words(tokenizer(), most=20)
+    for text in ["", " ", "Don't  stop,\nnow...", "a<|endoftext|>b <|x", "x　y éé İ 12a3 Σσς", "word, word. (word) 'tis it's!! " * 5, " ".join(f"w{i}x,y{i}" for i in range(60))]:
+        w.learn(set(text.split(" ")))
+        assert w.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_cut():
+    for n in (1, 2, 4095, 4096, 4097, 12345):
+        at = 0
+        for start, length in packing.cut(n):
+            assert start == at and length & (length - 1) == 0
+            at += length
+        assert at == n
+
+
+# -- token counts
+
+
+def test_token_count(docs, odd):
+    from tokenizers import Tokenizer, models
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    t = Tokenizer(models.Unigram(token_count.vocabulary(path), 0, True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in token_count.count_tokens(docs, path).collect():
+        assert r.n_tokens == len(t.encode("▁" + texts[r.doc_id].replace(" ", "▁"), add_special_tokens=False).ids)
+    c = token_count.counter(path)
+    for x in ["  two  spaces ", "😀 日本語 x\ny", "aaaaaaaaaaaaaaa", "zzqx\u0001"]:
+        x = x.encode("utf-16", "surrogatepass").decode("utf-16")
+        assert c.count(x)[0] == len(t.encode("▁" + x.replace(" ", "▁"), add_special_tokens=False).ids)
+    got = token_count.count_tokens(odd, path).collect()
+    assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+
+
+# -- quality
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no test data")
+    got = queries.op1_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > max(got.quality.mean(), 1 - got.quality.mean())
+    good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.9
+    assert got.score.between(0, 1).all()
+
+
+def test_quality_odd(spark, odd):
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (5, None, 1), (99, 1, 0)], "doc_id LONG, quality INT, toxic INT")
+    for l_ in (labels, labels.limit(0)):
+        got = quality.score_quality(odd, l_).collect()
+        assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+        assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert quality.score_quality(odd.limit(0), labels).count() == 0
+
+
+def test_trees_walk_like_recursion():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 5)).astype(np.float32)
+    m = quality.fit(x, (x[:, 0] + x[:, 1] > 0).astype(float), rounds=10, depth=3)
+
+    def walk(tree, v):
+        at = 0
+        for _ in range(3):
+            at = 2 * at + 1 + int(v[m.feature[tree, at]] > m.cut[tree, at])
+        return m.leaf[tree, at - 7]
+
+    want = [1 / (1 + math.exp(-(m.prior + sum(walk(t, v) for t in range(10))))) for v in x[:20]]
+    assert np.allclose(m.score(x[:20]), want)
+
+
+# -- nearest neighbours
+
+
+def test_ann_recall(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 12)).round(2)
+    x[100:130] = x[40]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5020, [0.0] * 12, 0), (5040, [float("nan")] * 12, 0), (5060, [1.0], 0), (5080, [None] + [1.0] * 11, 0)], "vec_id LONG, embedding ARRAY<DOUBLE>, rank INT")
+    got = ann.search(df).toPandas()
+    hits = total = 0
+    for q in range(0, 3000, 20):
+        s = ann.inner(x[q : q + 1], x)[0]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21))
+        assert np.allclose(mine.score, s[mine.vec_id])
+        assert list(map(tuple, zip(-mine.score, mine.vec_id))) == sorted(zip(-mine.score, mine.vec_id))
+        hits += len(set(order) & set(mine.vec_id))
+        total += 20
+    assert hits / total >= 0.9 and set(got.query_id) == set(range(0, 3000, 20))
+    few = ann.search(df.where("vec_id < 5"))
+    assert few.count() == 4 and ann.search(df.limit(0)).count() == 0
+
+
+# -- language model
+
+
+def test_lm_score(docs, rows, odd):
+    held = {i: crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows}
+    words = {i: [*lower(t), b""] for i, t, _ in rows}
+    c = Counter(w for i in words if not held[i] for w in words[i])
+    n, v = sum(c.values()), len(c)
+    got = lm_score.score(docs).collect()
+    for r in got:
+        w = words[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(x in c for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    got = lm_score.score(odd).collect()
+    assert len(got) == len(ROWS) and all(math.isfinite(r.score) for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 7)} == {1}
+    assert lm_score.score(odd.limit(0)).count() == 0
+
+
+def test_state_carries_across_windows():
+    r = np.random.default_rng(0)
+    net = lm_score.Network(30, 12, 2, seed=1)
+    streams = [(r.integers(0, 30, n).astype(np.int32), r.integers(0, 12, n), r.integers(0, 64, n)) for n in (1, 5, 200, 33)]
+    assert np.allclose(lm_score.score_streams(net, streams, 7), lm_score.score_streams(net, streams, 10**6), atol=1e-3)
+    assert np.allclose(lm_score.score_streams(net, streams), np.concatenate([lm_score.score_streams(net, [s]) for s in streams]), atol=1e-3)
+
+
+def test_gradient():
+    r = np.random.default_rng(0)
+    net = lm_score.Network(9, 6, 2, seed=2)
+    net.p = {k: (v * 3).astype(np.float64) for k, v in net.p.items()}
+    x, cls, slot = r.integers(0, 9, (4, 3)), r.integers(0, 6, (4, 3)), r.integers(0, 64, (4, 3))
+    k, h = np.ones((4, 3)), np.zeros((3, lm_score.HIDDEN))
+    k[2, 1] = 0
+    _, g, _ = net.gradient(x, k, cls, slot, h)
+    for name in ("U", "E", "C", "W", "b"):
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        old, e, loss = net.p[name][at], 1e-4, []
+        for s in (e, -e):
+            net.p[name][at] = old + s
+            loss.append(net.gradient(x, k, cls, slot, h)[0] / x.size)
+        net.p[name][at] = old
+        assert (loss[0] - loss[1]) / (2 * e) == pytest.approx(g[name][at], rel=2e-2)
+
+
+# -- personal data
+
+
+def test_personal_data(docs, rows, spark, odd):
+    texts = {i: t for i, t, _ in rows}
+    got = pii.find(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans = sorted(((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.BASE[kind].finditer(texts[r.doc_id]) if pii.passes(kind, m[0])))
+        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(filter(None, r.spans.split(",")))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[1] == k for x in spans) for k in range(4)]
+    made = spark.createDataFrame([(1, "mail a.b@c.org or x [at] y [dot] org"), (2, "ip 10.0.0.1, 999.1.1.1"), (3, "card 4111 1111 1111 1111"), (4, "call +1 (212) 555-0100 é"), (5, "clean text")], "doc_id LONG, text STRING")
+    spans = {r.doc_id: r.spans for r in pii.find(made).collect()}
+    assert spans[1].startswith("email:5:14") and spans[2] == "ip:3:11" and spans[3] == "card:5:24" and spans[4] == "phone:5:22" and spans[5] == ""
+    assert pii.find(odd).count() == len(ROWS) and pii.find(odd.limit(0)).count() == 0
+
+
+def test_em_finds_the_reliable_labelers():
+    code = np.array([242, 0, 121])  # all yes, all no, all abstain
+    p = pii.reliabilities(np.zeros(3, int), code, np.array([50.0, 50.0, 5.0]))
+    assert p[0] > 0.95 and p[1] < 0.05
+
+
+# -- language
+
+
+def test_language(docs, spark, odd):
+    train = docs.where("doc_id % 4 <> 0")
+    test = docs.where("doc_id % 4 = 0")
+    got = language.identify_documents(test, language.train(train)).join(test.select("doc_id", docs.lang.alias("true")), "doc_id").collect()
+    assert sum(r.lang == r.true for r in got) >= 0.97 * len(got) and all(r.accepted for r in got)
+    out = {(r.doc_id, r.accepted) for r in language.identify_documents(odd).collect()}
+    assert (1, False) in out and (2, False) in out and (7, False) in out and (3, True) in out
+    assert language.identify_documents(odd.limit(0)).count() == 0
+    assert language.accepted_documents(odd).columns == odd.columns
+    pages = queries.pages_language(spark, DATA).collect()
+    assert sum(r.lang == r.declared for r in pages) > 0.9 * len(pages)
+
+
+# -- pipeline
+
+
+def test_pipeline(spark, docs):
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, at, DATA)
+        assert out.columns == docs.columns
+        n, m = at.count(), out.count()
+        assert (m <= n) if name != "mixing" else m > 0
+        if name == "exact_dedup":
+            norm = lambda t: t.encode().lower()
+            want = {max(i for i, t in g) for g in _groups(at, norm).values()}
+            assert {r.doc_id for r in out.collect()} == want
+        if name == "simhash":
+            r = at.collect()
+            want = set(classes([x.doc_id for x in r], [slow_print(x.text) for x in r]).values())
+            assert {x.doc_id for x in out.collect()} == want
+        at = spark.createDataFrame(out.collect(), docs.schema)
+    assert corpus_pipeline.run(spark, DATA).columns == [f.split()[0] for f in packing.SCHEMA.split(", ")]
+
+
+def _groups(df, norm):
+    g = defaultdict(list)
+    for r in df.collect():
+        g[norm(r.text)].append((r.doc_id, r.text))
+    return g
