@@ -48,7 +48,7 @@ class Counter:
     def __init__(self, pieces: list[tuple[str, float]], most: int = 200_000):
         import ahocorasick
 
-        self.automaton, self.most, self.known = ahocorasick.Automaton(), most, {}
+        self.automaton, self.most, self.known, self.old = ahocorasick.Automaton(), most, {}, {}
         plain = [(p, s) for p, s in pieces if s < 0]
         for p, s in plain:
             if SPACE in p.lstrip(SPACE):
@@ -86,11 +86,11 @@ class Counter:
             found = list(map(known.__getitem__, chunks))
         except KeyError:
             new = set(chunks) - known.keys()
-            if len(known) + len(new) > self.most:
-                self.known = known = {}
-                new = set(chunks)
+            if len(known) + len(new) > self.most:  # chunks not met since the last time this happened go
+                self.known, self.old = {}, known
+                known, new = self.known, set(chunks)
             for c in new:
-                known[c] = self.chunk(c)
+                known[c] = self.old.get(c) or self.chunk(c)
             found = map(known.__getitem__, chunks)
         counts, scores = zip(*found)
         return sum(counts), sum(scores)
