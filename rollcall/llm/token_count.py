@@ -9,8 +9,9 @@ bytes as pieces (byte fallback).
 The vocabulary is that of a public SentencePiece file. Its scores are merge ranks, so the model's
 log-probability of the piece with rank r is -ln(r + 1), rounded to a multiple of 2**-20: sums of
 those are exact in double precision, so that the result doesn't depend on where a text is split.
-Pieces hold word starts (spaces) only in front, so the best path breaks before every run of spaces,
-and each distinct run-and-word is solved once.
+Pieces hold word starts (spaces) only in front, so the best path breaks before every run of spaces;
+it also breaks wherever no piece holds the two characters side by side, as between letters and
+punctuation or around digits. Each distinct chunk between such breaks is solved once.
 
 Nulls: a null text counts as empty, which has no pieces and score 0. Rows that repeat a doc_id are separate
 rows. An empty table gives an empty result. Further columns are ignored.
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches
 
 SPACE, UNKNOWN, GRAIN = "▁", 10.0, 1 << 20
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _models: dict = {}
 
 
@@ -44,11 +44,44 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return out
 
 
+def character_classes(pieces: list[str], most: int = 4) -> list[str]:
+    """Sets of characters such that no piece holds characters of two sets side by side, the largest
+    first; those past `most` are one set. Characters that stand alone in every piece are left out."""
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for p in pieces:
+        word = p.lstrip(SPACE)
+        if len(p) > 1 and word:
+            for c in word:
+                up[top(c)] = top(word[0])
+    sets: dict[str, list[str]] = {}
+    for c in sorted(up):
+        sets.setdefault(top(c), []).append(c)
+    found = sorted(("".join(x) for x in sets.values()), key=lambda x: (-len(x), x))
+    return found if len(found) <= most else [*found[: most - 1], "".join(found[most - 1 :])]
+
+
+class Known(dict):
+    """Solved chunks as complex(pieces, score), so that one sum adds up both; new ones are solved when asked for."""
+
+    def __init__(self, counter: Counter):
+        self.counter = counter
+
+    def __missing__(self, c: str) -> complex:
+        self[c] = x = self.counter.old.get(c) or self.counter.chunk(c)
+        return x
+
+
 class Counter:
     def __init__(self, pieces: list[tuple[str, float]], most: int = 200_000):
         import ahocorasick
 
-        self.automaton, self.most, self.known, self.old = ahocorasick.Automaton(), most, {}, {}
+        self.automaton, self.most, self.known, self.old = ahocorasick.Automaton(), most, Known(self), {}
         plain = [(p, s) for p, s in pieces if s < 0]
         for p, s in plain:
             if SPACE in p.lstrip(SPACE):
@@ -56,44 +89,43 @@ class Counter:
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN
+        self.alone = frozenset(p for p, _ in plain if len(p) == 1)
+        classes = [re.escape(x) for x in character_classes([p for p, _ in plain])]
+        words = "|".join(f"{SPACE}*[{x}]+" for x in classes)
+        self.chunks = re.compile((words and f"{words}|") + f"{SPACE}+|[^{SPACE}{''.join(classes)}]").findall
 
-    def chunk(self, text: str) -> tuple[int, float]:
+    def chunk(self, text: str) -> complex:
         n = len(text)
+        best, count = [-math.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        if self.alone.issuperset(text):  # every position has a match; at each end the longest comes first
+            for end, (length, score) in self.automaton.iter(text):
+                end += 1
+                x = best[end - length] + score
+                if x > best[end]:
+                    best[end], count[end] = x, count[end - length] + 1
+            return complex(count[n], best[n])
         ends: list[list] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             ends[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
         for e in range(1, n + 1):
-            at, single = None, False
-            for length, score in sorted(ends[e - 1], reverse=True):  # the longest starts first
-                single |= length == 1
+            for length, score in ends[e - 1]:
                 x = best[e - length] + score
-                if at is None or x > at:
-                    at, k = x, count[e - length] + 1
-            if not single:
+                if x > best[e]:
+                    best[e], count[e] = x, count[e - length] + 1
+            if text[e - 1] not in self.alone:
                 x = best[e - 1] + self.unknown
-                if at is None or x > at:
-                    at, k = x, count[e - 1] + len(text[e - 1].encode("utf-8", "replace"))
-            best[e], count[e] = at, k
-        return count[n], best[n]
+                if x > best[e]:
+                    best[e], count[e] = x, count[e - 1] + len(text[e - 1].encode("utf-8", "replace"))
+        return complex(count[n], best[n])
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        known = self.known
-        try:
-            found = list(map(known.__getitem__, chunks))
-        except KeyError:
-            new = set(chunks) - known.keys()
-            if len(known) + len(new) > self.most:  # chunks not met since the last time this happened go
-                self.known, self.old = {}, known
-                known, new = self.known, set(chunks)
-            for c in new:
-                known[c] = self.old.get(c) or self.chunk(c)
-            found = map(known.__getitem__, chunks)
-        counts, scores = zip(*found)
-        return sum(counts), sum(scores)
+        if len(self.known) > self.most:  # chunks not met since the last time this happened go
+            self.old, self.known = self.known, Known(self)
+        total = sum(map(self.known.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE))))
+        return int(total.real), total.imag
 
 
 def counter(path: str) -> Counter:
