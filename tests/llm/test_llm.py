@@ -241,6 +241,12 @@ def test_cut():
 # -- token counts
 
 
+def test_character_classes():
+    assert token_count.character_classes(["▁the", "he", "...", "x", "▁1", "▁▁"]) == ["eht", ".", "1"]
+    assert token_count.character_classes(["ab", "bc", "de", "fg", "hi", "jk"], most=3) == ["abc", "de", "fghijk"]
+    assert token_count.character_classes([]) == []
+
+
 def test_token_count(docs, odd):
     from tokenizers import Tokenizer, models
 
@@ -253,6 +259,12 @@ def test_token_count(docs, odd):
     for x in ["  two  spaces ", "😀 日本語 x\ny", "aaaaaaaaaaaaaaa", "zzqx\u0001"]:
         x = x.encode("utf-16", "surrogatepass").decode("utf-16")
         assert c.count(x)[0] == len(t.encode("▁" + x.replace(" ", "▁"), add_special_tokens=False).ids)
+    rng = np.random.default_rng(3)
+    small = token_count.Counter(token_count.vocabulary(path), most=20)  # the cache turns over many times
+    for _ in range(1500):
+        x = "".join(rng.choice(list("ab 1\n.,漢▁é\U0001f600thein   "), rng.integers(1, 30)))
+        want = len(t.encode("▁" + x.replace(" ", "▁"), add_special_tokens=False).ids)
+        assert c.count(x)[0] == small.count(x)[0] == want
     got = token_count.count_tokens(odd, path).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
 
