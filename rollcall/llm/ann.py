@@ -86,7 +86,7 @@ class Tree:
 
     def visits(self, q: np.ndarray, most: int) -> list[int]:
         """Leaves in best-bin-first order."""
-        near = self.centres @ q
+        near = (self.centres @ q).tolist()
         queue, out = [(-near[0], 0)], []
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
@@ -106,18 +106,39 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def top(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best, ties to smaller ids, without the query itself."""
-    ok = np.flatnonzero(ids != own)
-    if len(ok) > k:
-        s = scores[ok]
-        ok = ok[s >= np.partition(s, len(s) - k)[len(s) - k]]
-    ok = ok[np.lexsort((ids[ok], -scores[ok]))][:k]
-    return ids[ok], scores[ok]
+def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, candidate's row, score) of the k best of x for every query, best first, ties to smaller ids,
+    without the query's own id.
+
+    One matrix product finds, for every query, the candidates that rounding could still put among the
+    k best; only their scores are then added up component by component, and decide.
+    """
+    out, d = [], q.shape[1]
+    step, some = max(1, 500_000 // max(len(ids), 1)), max(1, 1_000_000 // d)
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = np.sqrt((x**2).sum(axis=1).max(initial=0.0))
+        for i in range(0, len(q), step):
+            own = ids[None, :] == qid[i : i + step, None]
+            rough = np.where(own, -np.inf, q[i : i + step] @ x.T)
+            if len(ids) > k:
+                # twice what the two ways of adding can differ by, on both sides
+                slack = 4 * (d + 2) * np.finfo(float).eps * longest * np.sqrt((q[i : i + step] ** 2).sum(axis=1)) + np.finfo(float).tiny * d
+                kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+                own |= rough < (kth - slack)[:, None]
+            r, c = np.nonzero(~own)
+            s = [np.cumsum(q[i + r[j : j + some]] * x[c[j : j + some]], axis=1)[:, -1] for j in range(0, len(r), some)]
+            s = np.concatenate(s) if s else np.zeros(0)
+            order = np.lexsort((ids[c], -s, r))
+            r, c, s = r[order], c[order], s[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            best = place < k
+            out.append((i + r[best], c[best], s[best]))
+    return tuple(np.concatenate(y) for y in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+    rows = column.tolist()
+    return np.concatenate(rows).astype(np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -156,15 +177,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
     def scan(probe, own):
         import pandas as pd
 
-        out = []
-        if len(probe) and len(own):
-            ids, m = own.vec_id.to_numpy(), _matrix(own.v)
-            step = max(1, 2_000_000 // len(ids))
-            q, qid = _matrix(probe.v), probe.query_id.to_numpy()
-            for i in range(0, len(q), step):
-                s = inner(q[i : i + step], m)
-                out += [(int(a), *top(s[r], ids, a, k)) for r, a in enumerate(qid[i : i + step])]
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+        if not len(probe) or not len(own):
+            return pd.DataFrame(columns=["query_id", "ids", "scores"])
+        qid, ids = probe.query_id.to_numpy(), own.vec_id.to_numpy()
+        r, c, s = nearest(_matrix(probe.v), qid, _matrix(own.v), ids, k)
+        ends = np.searchsorted(r, np.arange(1, len(qid)))
+        return pd.DataFrame({"query_id": qid, "ids": np.split(ids[c], ends), "scores": np.split(s, ends)})
 
     found = probes.groupBy("leaf", "chunk", "block").cogroup(dealt.groupBy("leaf", "chunk", "block")).applyInPandas(scan, "query_id long, ids array<long>, scores array<double>")
 
@@ -194,17 +212,17 @@ def _calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall:
     def brute(frames):
         import pandas as pd
 
-        best = [(np.array([], np.int64), np.array([]), np.array([], np.int64))] * len(q)
+        best = [(np.array([], np.int64), np.array([], np.int64), np.array([]), np.array([], np.int32))]
         for f in frames:
             for i in range(0, len(f), 8192):
                 part = f.iloc[i : i + 8192]
-                s, ids, leaf = inner(q, _matrix(part.v)), part.vec_id.to_numpy(), part.leaf.to_numpy()
-                for r in range(len(q)):
-                    a, b, c = (np.concatenate(y) for y in zip(best[r], (ids, s[r], leaf)))
-                    ok = np.flatnonzero(a != qid[r])
-                    ok = ok[np.lexsort((a[ok], -b[ok]))][:k]
-                    best[r] = a[ok], b[ok], c[ok]
-        yield pd.DataFrame([(r, int(a), float(b), int(c)) for r, x in enumerate(best) for a, b, c in zip(*x)], columns=["r", "id", "s", "leaf"])
+                r, c, s = nearest(q, qid, _matrix(part.v), part.vec_id.to_numpy(), k)
+                best.append((r, part.vec_id.to_numpy()[c], s, part.leaf.to_numpy()[c]))
+                r, a, s, leaf = (np.concatenate(y) for y in zip(*best))
+                order = np.lexsort((a, -s, r))
+                order = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < k]
+                best = [(r[order], a[order], s[order], leaf[order])]
+        yield pd.DataFrame(dict(zip(["r", "id", "s", "leaf"], best[0])))
 
     found = index.mapInPandas(brute, "r int, id long, s double, leaf int").toPandas()
     found = found.sort_values(["r", "s", "id"], ascending=[True, False, True]).groupby("r").head(k)

@@ -331,6 +331,26 @@ def test_ann_recall(spark):
     assert few.count() == 4 and ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("case", range(30))
+def test_ann_nearest_of_a_leaf(case):
+    r = np.random.default_rng(case)
+    n, m, d, k = (int(r.integers(1, y)) for y in (30, 200, 70, 25))
+    x = r.normal(size=(m, d)) * (1e160 if case == 7 else 1)
+    x = x.round() if case % 3 == 0 else x
+    if case % 4 == 0:
+        x[: m // 2] = x[0]
+    ids = r.permutation(m) // (2 if case % 5 == 0 else 1)
+    own = r.integers(0, m, n)
+    rows, cols, score = ann.nearest(x[own], ids[own], x, ids, k)
+    with np.errstate(all="ignore"):
+        full = ann.inner(x[own], x)
+    for i in range(n):
+        ok = np.flatnonzero(ids != ids[own[i]])
+        want = ok[np.lexsort((ids[ok], -full[i][ok]))][:k]
+        assert list(ids[cols[rows == i]]) == list(ids[want])
+        assert np.array_equal(score[rows == i], full[i][want], equal_nan=True)
+
+
 # -- language model
 
 
