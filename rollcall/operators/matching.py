@@ -95,6 +95,10 @@ def cross_subject_duplicates(gallery: DataFrame, threshold: float, planes: int =
     g = gallery.select("template_id", "subject_id", "vector", F.posexplode(keys).alias("t", "bucket"))
     a, b = g.select([F.col(c).alias(f"a_{c}") for c in g.columns]), g.select([F.col(c).alias(f"b_{c}") for c in g.columns])
     on = (F.col("a_t") == F.col("b_t")) & (F.col("a_bucket") == F.col("b_bucket")) if planes else F.lit(True)
-    pairs = a.join(b, on & (F.col("a_template_id") < F.col("b_template_id")) & (F.col("a_subject_id") != F.col("b_subject_id")))
-    s = pairs.select(F.col("a_template_id").alias("template_a"), F.col("b_template_id").alias("template_b"), F.round(score_fn(F.col("a_vector"), F.col("b_vector")), digits).alias("score")).where(F.col("score") >= threshold)
+    if not planes:  # the work is in the pairs, not in the rows: one side goes to all cores, however few files it comes from
+        a = a.repartition(gallery.sparkSession.sparkContext.defaultParallelism, "a_template_id")
+    # the optimiser moves the threshold into the join, before the other conditions: scores wait for those
+    pair = (F.col("a_template_id") < F.col("b_template_id")) & (F.col("a_subject_id") != F.col("b_subject_id"))
+    score = F.when(pair, F.round(score_fn(F.col("a_vector"), F.col("b_vector")), digits)).alias("score")
+    s = a.join(b, on & pair).select(F.col("a_template_id").alias("template_a"), F.col("b_template_id").alias("template_b"), score).where(F.col("score") >= threshold)
     return s.distinct() if planes else s
