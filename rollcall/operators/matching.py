@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 4
-BROADCAST_PROBES = 10_000
+BROADCAST_PROBES, FEW_PROBES = 10_000, 50
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,6 +26,8 @@ def _scored(probes: DataFrame, gallery: DataFrame, score_fn: Callable, digits: i
     p = probes.select("probe_id", F.col("vector").alias("probe_vector"))
     n = p.limit(BROADCAST_PROBES + 1).count()
     g = gallery.select("template_id", "subject_id", "vector")
+    if n > FEW_PROBES:  # scoring a template then costs far more than moving it: all cores share the gallery, however few files it comes from
+        g = g.repartition(gallery.sparkSession.sparkContext.defaultParallelism, "template_id")
     # a checked number of probes is broadcast; more go through a shuffle by a random block of the gallery
     if n <= BROADCAST_PROBES:
         pairs = g.join(F.broadcast(p))
