@@ -7,9 +7,11 @@ size; all other words of a document are joined with the counts by a shuffle.
 Model: a token's class comes from a softmax over the GRU's state. The WORDS most frequent words and
 the end lie in classes of SLOTS words, each with a softmax of its own; every other word lies in one
 of ENDINGS classes by a hash of its last three bytes, and within the class has the share of its
-count plus one (a word never seen counts 0). The network is trained by truncated backpropagation in numpy on a
-sample of about TRAIN_TOKENS tokens; classes' and words' biases start from the counts of all training
-documents. Scoring fills lanes with whole documents one after the other; the state is carried across
+count plus one (a word never seen counts 0). The network is trained on all training documents, in rounds: each
+task runs truncated backpropagation in numpy on its own documents from the round's weights, and the tasks'
+weights are averaged by tokens. A round takes 1/ROUNDS of the documents; tables of fewer than EPOCHS *
+TRAIN_TOKENS tokens are gone through again, EPOCHS times at most. Classes' and words' biases start from the
+counts of all training documents. The weights, and so the scores, depend on how rows lie in partitions. Scoring fills lanes with whole documents one after the other; the state is carried across
 windows and set to zero where a document starts, so a text of any length is scored whole.
 
 Nulls: a null text counts as empty, which is the end token alone; a null doc_id is not held out. Rows
@@ -32,7 +34,9 @@ from .common import crc_mod, keep, slices, small_batches, texts
 
 END = b""  # no word is empty
 WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 96, 24
-FREQUENT, TRAIN_TOKENS, EPOCHS = 150_000, 400_000, 3
+FREQUENT, TRAIN_TOKENS, EPOCHS, ROUNDS = 150_000, 400_000, 3, 4
+#: Tokens of documents that a task trains on at a time, and weights in a row of their sums.
+HELD, CHUNK = 200_000, 2048
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -141,6 +145,18 @@ class Network:
             out[t] = h
         return out, h
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def with_flat(self, v: np.ndarray) -> Network:
+        """A network of the same shape with these weights."""
+        out, at = object.__new__(Network), 0
+        out.groups, out.p = self.groups, {}
+        for k in sorted(self.p):
+            out.p[k] = v[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+        return out
+
     def _log_softmax(self, a):
         a = a - a.max(axis=1, keepdims=True)
         return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
@@ -156,16 +172,23 @@ class Network:
                 out[i] += self._log_softmax(h[i] @ self.p["W"][g] + self.p["w"][g])[np.arange(len(i)), slot[i]]
         return out
 
-    def gradient(self, x, keep_, cls, slot, h0):
+    def gradient(self, x, keep_, cls, slot, h0, on=None):
+        """Loss, gradient and last state; steps that `on` leaves out have no loss."""
         p, k, trace = self.p, HIDDEN, []
         hs, last = self.states(x, keep_, h0, trace)
         flat, c, s, n = hs.reshape(-1, k), cls.ravel(), slot.ravel(), x.size
+        off = np.zeros(0, np.int64) if on is None else np.flatnonzero(~on.ravel())
+        if len(off):
+            c, n = c.copy(), n - len(off)
         g = {name: np.zeros_like(v) for name, v in p.items()}
         logp = self._log_softmax(flat @ p["C"] + p["c"])
-        loss = -logp[np.arange(n), c].sum()
+        logp[off] = -np.inf  # no share in the gradient
+        at = np.flatnonzero(on.ravel()) if len(off) else np.arange(n)
+        loss = -logp[at, c[at]].sum()
         d = np.exp(logp)
-        d[np.arange(n), c] -= 1
+        d[at, c[at]] -= 1
         d /= n
+        c[off] = -1
         g["C"], g["c"], dh = flat.T @ d, d.sum(axis=0), d @ p["C"].T
         for j in range(self.groups):
             i = np.flatnonzero(c == j)
@@ -196,21 +219,34 @@ class Network:
         g["E"][ids] = np.add.reduceat(flat[order], start, axis=0)
         return loss, g, last
 
-    def train(self, streams, lanes: int = 32, steps: int = 24, epochs: int = EPOCHS, rate: float = 0.01) -> None:
-        """Truncated backpropagation over windows of `steps`, with Adam. streams: (x, cls, slot) by document."""
-        x, keep_, cls, slot, _ = lay_out(streams, lanes, whole=False)
-        m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        total, i = epochs * max(1, len(x) // steps), 0
+    def train(self, streams, lanes: int = 32, steps: int = 24, epochs: int = EPOCHS, rate: float = 0.01, adam=None) -> None:
+        """Truncated backpropagation over windows of `steps`, with Adam. streams: (x, cls, slot) by document.
+        The rate falls over the epochs; with adam (from an earlier call, or empty) it stays and the moments go on."""
+        x, keep_, cls, slot, doc = lay_out(streams, lanes, whole=False)
+        falls = adam is None
+        adam = {} if falls else adam
+        if not adam:
+            adam |= {"i": 0, "m": {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}}
+        total, j = epochs * max(1, -(-len(x) // steps)), 0
         for _ in range(epochs):
             h = np.zeros((x.shape[1], HIDDEN), np.float32)
             for t in range(0, len(x) - steps + 1, steps):
-                _, g, h = self.gradient(x[t : t + steps], keep_[t : t + steps], cls[t : t + steps], slot[t : t + steps], h)
-                i += 1
+                on = doc[t : t + steps] >= 0
+                lane = np.flatnonzero(on[0])  # a lane that has ended stays so
+                if len(lane) < h.shape[0]:
+                    w = np.ix_(range(t, t + len(on)), lane)
+                    _, g, h[lane] = self.gradient(x[w], keep_[w], cls[w], slot[w], h[lane], on[:, lane])
+                else:
+                    w = slice(t, t + steps)
+                    _, g, h = self.gradient(x[w], keep_[w], cls[w], slot[w], h, on)
+                adam["i"] += 1
+                j += 1
+                i = adam["i"]
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                lr = rate * (1 - 0.9 * i / total) * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
+                lr = (rate * (1 - 0.9 * j / total) if falls else rate) * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
                 for k, v in g.items():
-                    v = v * min(1.0, 1.0 / (norm + 1e-9))
-                    a, b = m[k]
+                    v = v * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+                    a, b = adam["m"][k]
                     a += 0.1 * (v - a)
                     b += 0.001 * (v * v - b)
                     self.p[k] -= (lr * a / (np.sqrt(b) + 1e-6)).astype(np.float32)
@@ -262,6 +298,62 @@ def _streams(lexicon: Lexicon, words: list[bytes]):
     return (lexicon.inputs(n, cls), cls, np.where(cls < lexicon.groups, lexicon.slot[n], 0)), n, others
 
 
+def _train_task(lexicon, weights, lanes: int, rate: float):
+    """Batches of texts to the weights after training on them, times their tokens: k (chunk), n (tokens), v."""
+
+    def go(batches):
+        import pyarrow as pa
+
+        net = weights.value.with_flat(weights.value.flat())  # a worker keeps the broadcast one for its next task
+        adam, held, size, seen = {}, [], 0, 0
+        for b in slices(batches):
+            for t in texts(b):
+                held.append(_streams(lexicon.value, tokens(t))[0])
+                size += len(held[-1][0])
+                if size >= HELD:
+                    net.train(held, lanes, epochs=1, rate=rate, adam=adam)
+                    held, size, seen = [], 0, seen + size
+        if held:
+            net.train(held, lanes, epochs=1, rate=rate, adam=adam)
+            seen += size
+        if seen:
+            v = net.flat().astype(np.float64) * seen
+            parts = [v[i : i + CHUNK].tobytes() for i in range(0, len(v), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["k", "n", "v"])
+
+    return go
+
+
+def _add_up(batches):
+    import pyarrow as pa
+
+    n, v = Counter(), {}
+    for b in batches:
+        for k, c, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+            n[k] += c
+            v[k] = v.get(k, 0) + np.frombuffer(x)
+    if v:
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int32()), pa.array([n[k] for k in v], pa.int64()), pa.array([x.tobytes() for x in v.values()], pa.binary())], ["k", "n", "v"])
+
+
+def train_rounds(train: DataFrame, net: Network, lexicon, total: int) -> tuple[Network, int, int]:
+    """The network after training on the texts of all rows, the tokens trained on, and the epochs. lexicon: broadcast."""
+    epochs = int(np.clip(-(-EPOCHS * TRAIN_TOKENS // max(total, 1)), 1, EPOCHS))
+    parts, seen = max(1, ROUNDS // epochs), 0
+    schema, sc = "k int, n long, v binary", train.sparkSession.sparkContext
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    for r in range(epochs * parts):
+        weights = sc.broadcast(net)
+        rows = train.where(part == r % parts).select(F.col("text").cast("binary"))
+        sums = rows.mapInArrow(_train_task(lexicon, weights, 32 if epochs > 1 else 64, 0.01 * (1 - 0.9 * r / (epochs * parts))), schema)
+        got = sorted(sums.repartition("k").mapInArrow(_add_up, schema).collect())  # as many rows as there are chunks of weights
+        if got:
+            net = net.with_flat(np.concatenate([np.frombuffer(v) / n for _, n, v in got]))
+            seen += got[0].n
+        weights.unpersist()
+    return net, seen, epochs
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False))
@@ -298,18 +390,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)  # FREQUENT words at most
 
-    def encode(batches):
-        import pyarrow as pa
-
-        for b in slices(batches):
-            got = [_streams(shared.value, tokens(t))[0] for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([s[i] for s in got], pa.list_(pa.int32())) for i in range(3))], ["doc_id", "x", "cls", "slot"])
-
-    rate = min(1_000_000, 1_000_000 * TRAIN_TOKENS // max(total, 1))
-    sample = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < rate).select("doc_id", F.col("text").cast("binary"))
-    sample = sample.mapInArrow(encode, "doc_id long, x array<int>, cls array<int>, slot array<int>").toPandas().sort_values("doc_id")
-    if len(sample):
-        net.train([(np.array(a), np.array(b), np.array(c)) for a, b, c in zip(sample.x, sample.cls, sample.slot)])
+    net, _, _ = train_rounds(train, net, shared, total)
     weights = spark.sparkContext.broadcast(net)
 
     def go(batches):

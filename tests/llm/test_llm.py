@@ -372,6 +372,18 @@ def test_lm_score(docs, rows, odd):
     assert lm_score.score(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few, epochs", [(100, 1), (10**9, 3)])
+def test_training_takes_every_token(docs, rows, monkeypatch, few, epochs):
+    monkeypatch.setattr(lm_score, "TRAIN_TOKENS", few)
+    words = Counter(w for _, t, _ in rows for w in [*lower(t), b""])
+    lexicon = lm_score.Lexicon([w for w, _ in words.most_common(3000)], [c for _, c in words.most_common(3000)], np.zeros(lm_score.ENDINGS, np.int64), sum(words.values()), len(words))
+    net = lm_score.Network(1 + lexicon.known + lm_score.ENDINGS, lexicon.classes, lexicon.groups)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    got, seen, times = lm_score.train_rounds(docs.repartition(3), net, shared, sum(words.values()))
+    assert (seen, times) == (epochs * sum(words.values()), epochs)
+    assert all(np.isfinite(v).all() and not np.array_equal(v, net.p[k]) for k, v in got.p.items())
+
+
 def test_state_carries_across_windows():
     r = np.random.default_rng(0)
     net = lm_score.Network(30, 12, 2, seed=1)
