@@ -222,7 +222,7 @@ class Network:
     def train(self, streams, lanes: int = 32, steps: int = 24, epochs: int = EPOCHS, rate: float = 0.01, adam=None) -> None:
         """Truncated backpropagation over windows of `steps`, with Adam. streams: (x, cls, slot) by document.
         The rate falls over the epochs; with adam (from an earlier call, or empty) it stays and the moments go on."""
-        x, keep_, cls, slot, doc = lay_out(streams, lanes, whole=False)
+        x, keep_, cls, slot, doc = lay_out(streams, lanes)
         falls = adam is None
         adam = {} if falls else adam
         if not adam:
@@ -230,7 +230,7 @@ class Network:
         total, j = epochs * max(1, -(-len(x) // steps)), 0
         for _ in range(epochs):
             h = np.zeros((x.shape[1], HIDDEN), np.float32)
-            for t in range(0, len(x) - steps + 1, steps):
+            for t in range(0, len(x), steps):
                 on = doc[t : t + steps] >= 0
                 lane = np.flatnonzero(on[0])  # a lane that has ended stays so
                 if len(lane) < h.shape[0]:
@@ -252,27 +252,25 @@ class Network:
                     self.p[k] -= (lr * a / (np.sqrt(b) + 1e-6)).astype(np.float32)
 
 
-def lay_out(streams, lanes: int, whole: bool = True):
+def lay_out(streams, lanes: int):
     """Documents, one after the other, in lanes of about equal length: x, keep, class, slot, document
-    (steps by lanes; class 0 and document -1 where a lane has ended; without `whole`, lanes are cut to the shortest)."""
+    (steps by lanes; class 0 and document -1 where a lane has ended)."""
     lanes = max(1, min(lanes, len(streams)))
     load = [(0, j, []) for j in range(lanes)]
     for i in sorted(range(len(streams)), key=lambda i: (-len(streams[i][0]), i)):
         n, j, own = load[0]
         own.append(i)
         heapq.heapreplace(load, (n + len(streams[i][0]), j, own))
-    length = max((n for n, _, _ in load), default=0) if whole else min((n for n, _, _ in load), default=0)
+    length = max((n for n, _, _ in load), default=0)
     x, cls, slot, doc = (np.zeros((length, lanes), t) for t in (np.int32, np.int64, np.int64, np.int64))
     keep_ = np.ones((length, lanes), np.float32)
     doc -= 1
     for _, j, own in load:
         at = 0
         for i in own:
-            n = min(len(streams[i][0]), length - at)
-            if n <= 0:
-                break
+            n = len(streams[i][0])
             for to, a in zip((x, cls, slot), streams[i]):
-                to[at : at + n, j] = a[:n]
+                to[at : at + n, j] = a
             keep_[at, j], doc[at : at + n, j] = 0, i
             at += n
     return x, keep_, cls, slot, doc

@@ -384,6 +384,33 @@ def test_training_takes_every_token(docs, rows, monkeypatch, few, epochs):
     assert all(np.isfinite(v).all() and not np.array_equal(v, net.p[k]) for k, v in got.p.items())
 
 
+def test_training_takes_whole_documents(monkeypatch):
+    """Lanes of different lengths, an empty text among them, and a last window of fewer steps."""
+    r = np.random.default_rng(0)
+    net, seen = lm_score.Network(30, 12, 2, seed=1), Counter()
+    real = net.gradient
+
+    def count(x, keep_, cls, slot, h, on=None):
+        seen.update(x[np.ones(x.shape, bool) if on is None else on].tolist())
+        return real(x, keep_, cls, slot, h, on)
+
+    monkeypatch.setattr(net, "gradient", count)
+    streams = [(r.integers(0, 30, n).astype(np.int32), r.integers(0, 12, n), r.integers(0, 64, n)) for n in (1, 5, 200, 33)]
+    net.train(streams, epochs=1)
+    assert seen == Counter(np.concatenate([s[0] for s in streams]).tolist())
+
+
+def test_gradient_leaves_out_ended_lanes():
+    r = np.random.default_rng(0)
+    net = lm_score.Network(9, 6, 2, seed=2)
+    x, cls, slot = r.integers(0, 9, (4, 3)), r.integers(0, 6, (4, 3)), r.integers(0, 64, (4, 3))
+    on, k, h = np.ones((4, 3), bool), np.ones((4, 3), np.float32), np.zeros((3, lm_score.HIDDEN), np.float32)
+    on[:, 2] = False
+    loss, g, _ = net.gradient(x, k, cls, slot, h, on)
+    want, w, _ = net.gradient(x[:, :2], k[:, :2], cls[:, :2], slot[:, :2], h[:2])
+    assert loss == pytest.approx(want, rel=1e-5) and all(np.allclose(g[name], w[name], atol=1e-6) for name in w)
+
+
 def test_state_carries_across_windows():
     r = np.random.default_rng(0)
     net = lm_score.Network(30, 12, 2, seed=1)
