@@ -8,8 +8,8 @@ and a row's own part is taken out of its host's sum. The posterior is the produc
 
 A row is rejected (lang null, accepted false) if its text has no letters, if no language makes a quarter of
 its trigrams likelier than noise would, or if none gets half of the posterior. Nulls: a null text counts as empty; without
-declaration, address or host that evidence is left out. A language needs 1/1000 of the labelled rows to
-be modelled, so there are 1000 at most; without any, every row is rejected. Rows that repeat an id are separate rows. An
+declaration, address or host that evidence is left out. Every label with a trigram in its rows is
+modelled, by GRAMS numbers, which the driver and each task hold; without any, every row is rejected. Rows that repeat an id are separate rows. An
 empty table gives an empty result. Further columns are ignored.
 """
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import join_unique, keep, slices, small_batches, texts
 
 GRAMS, TEMPER, SHRINK, LEAST, FIT = 1 << 15, 0.3, 8.0, 0.5, 0.25
-BROADCAST_HOSTS = 20_000
+BROADCAST_HOSTS, BROADCAST_WEIGHTS = 20_000, 2_000_000
+#: Languages that a task counts before it hands them on.
+COUNTED = 256
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -57,28 +59,34 @@ class Model:
 def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Trigram counts of all rows with a label."""
     rows = small_batches(rows).select(F.col(text).cast("binary").alias("text"), F.col(label).cast("string").alias("lang")).where("lang is not null and text is not null")
-    n = dict(rows.groupBy("lang").count().where("count > 0").withColumn("all", F.expr("sum(count) over ()")).where("count * 1000 >= all").select("lang", "count").collect())
-    langs = sorted(n)
+    n = dict(rows.groupBy("lang").count().collect())
 
     def go(batches):
         import pyarrow as pa
 
+        def out():
+            for lang, h in held.items():
+                at = np.flatnonzero(h)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(h[at], pa.int64())], ["lang", "gram", "c"])
+            held.clear()
+
         held: dict = {}
         for b in slices(batches):
             for t, lang in zip(texts(b), b.column("lang").to_pylist()):
-                if lang in n:
-                    h = held.setdefault(lang, np.zeros(GRAMS, np.int64))
-                    h += np.bincount(grams(t), minlength=GRAMS)
-        for lang, h in held.items():
-            at = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(h[at])], ["lang", "gram", "c"])
-
+                if lang not in held:
+                    if len(held) == COUNTED:
+                        yield from out()
+                    held[lang] = np.zeros(GRAMS, np.int64)
+                held[lang] += np.bincount(grams(t), minlength=GRAMS)
+        yield from out()
+
+    sums = rows.mapInArrow(go, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    found = sums.groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("c").alias("c")).collect() if n else []  # GRAMS numbers a language
+    langs = sorted(r.lang for r in found)
     counts = np.zeros((len(langs), GRAMS))
-    if langs:
-        sums = rows.mapInArrow(go, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-        place = {x: i for i, x in enumerate(langs)}
-        for r in sums.groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("c").alias("c")).collect():  # GRAMS numbers a language
-            counts[place[r.lang], r.g] = r.c
+    place = {x: i for i, x in enumerate(langs)}
+    for r in found:
+        counts[place[r.lang], r.g] = r.c
     share = np.array([n[x] for x in langs], float)
     return Model(langs, counts, share / max(share.sum(), 1))
 
@@ -135,8 +143,15 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
 
     # how often a declared language goes with a language of the text
     pairs = q.where("declared is not null and _on").groupBy("declared").agg(F.count("*").alias("k"), array(sums).alias("c"))
-    says = {r.declared: r.c for r in pairs.orderBy(F.desc("k"), "declared").limit(1000).collect()}
-    weight = {d: [float(np.log((c[i] + 0.5) / (overall[i] + 0.5 * max(1, len(says))))) for i in range(L)] for d, c in says.items()}
+    pairs = keep(pairs, "declared")
+    codes = pairs.count()
+    weight = F.zip_with("c", F.array(*[F.lit(float(x + 0.5 * max(1, codes))) for x in overall]), lambda a, b: F.log((a + 0.5) / b))
+    weights = pairs.select("declared", "k", weight.alias("_told"))
+    if codes * L <= BROADCAST_WEIGHTS:
+        q = q.join(F.broadcast(weights.drop("k")), "declared", "left")
+    else:
+        said = int(pairs.agg(F.sum("k")).first()[0] or 0)
+        q = join_unique(q.where("declared is not null"), weights, "declared", "k", said).drop("k").unionByName(q.where("declared is null"), allowMissingColumns=True)
 
     if hosts.count() <= BROADCAST_HOSTS:
         joined = q.join(F.broadcast(above), "_key")
@@ -145,7 +160,7 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     own = F.when(F.col("_on"), F.zip_with("s", "_q", lambda a, b: F.greatest(a - b, F.lit(0.0)))).otherwise(F.col("s"))
     prior = F.transform(shrink(own, F.col("above")), lambda x: F.log(x + 1e-9))
     flat = F.array(*[F.lit(0.0)] * L)
-    told = F.coalesce(F.element_at(F.create_map(*[y for d, w in weight.items() for y in (F.lit(d), F.array(*map(F.lit, w)))]), F.col("declared")), flat) if weight else flat
+    told = F.coalesce(F.col("_told"), flat)
     post = softmax(F.zip_with(F.zip_with(raw, prior, lambda a, b: a + b), told, lambda a, b: a + b))
     names = F.array(*map(F.lit, model.langs))
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))

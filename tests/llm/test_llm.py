@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rollcall.llm import ann, exact_dedup, language, lm_score, mixing, packing, pii, quality, queries, simhash, token_count
@@ -478,6 +479,37 @@ def test_language(docs, spark, odd):
     assert sum(r.lang == r.declared for r in pages) > 0.9 * len(pages)
 
 
+def test_rare_language(spark, docs):
+    """A language with less than 1/1000 of the labelled rows; labels that share a task's counts; a label without a trigram."""
+    some = docs.select("text", "lang", "source").limit(100).collect()
+    rows = [(i, r.text[:300], r.lang, r.source) for i, r in enumerate(some * 25)]
+    rare = "quzzix vowkky zzaqqu wixxuv kkwqqo zuxxiv " * 20
+    rows += [(9000, rare, "qz", "rare"), (9001, rare + "quzzix", "qz", "rare"), (9002, "12 34", "none", "rare")]
+    made = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING")
+    model = language.train(made)
+    assert model.langs == sorted({r.lang for r in some} | {"qz"})
+    got = {r.doc_id: (r.lang, r.accepted) for r in language.identify_documents(made, model).collect()}
+    assert got[9000] == got[9001] == ("qz", True) and not got[9002][1]
+    assert got.keys() == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_many_declared_languages(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(language, "BROADCAST_WEIGHTS", most)
+    model = language.train(docs)
+    some = {r.lang: r.text[:200] for r in docs.collect()}
+    a, b = sorted(some)[:2]
+    codes = [x + y + z for x in "abc" for y in "abcdefghijklmnopqrst" for z in "abcdefghijklmnopqrst"]
+    rows = [(some[a] if j % 2 else some[b], c) for j, c in enumerate(codes) for _ in range(2)]
+    rows += [(some[a], "zzy"), (some[a][:4], None), (some[a][:4], "zzz")]  # of the rarest codes, one occurs with the language, one with a short text
+    rows = [(i, t, c, "h") for i, (t, c) in enumerate(rows)]
+    made = spark.createDataFrame(rows, "doc_id LONG, text STRING, said STRING, source STRING")
+    got = language.identify(made, model, F.col("text"), declared=F.col("said"), host=F.col("source"), carry=[F.col("doc_id")]).collect()
+    assert sorted(r[0] for r in got) == [r[0] for r in rows]
+    p = {r[0]: r.posterior for r in got}
+    assert p[len(rows) - 2] != pytest.approx(p[len(rows) - 1], abs=1e-9)
+
+
 # -- pipeline
 
 
