@@ -15,11 +15,20 @@ def project_accounts(df: DataFrame) -> DataFrame:
     return df.select("id", F.col("full_name").alias("name"), "username", "email", "token")
 
 
-def parse_login(df: DataFrame, json_col: str, schema: str = LOGIN, required: list[str] | None = None) -> DataFrame:
-    """P8. Unknown keys are ignored; `rejected` when any required field is missing."""
-    required = required or ["token", "idle_expires_at", "absolute_expires_at", "user.id", "user.full_name", "user.email"]
+#: Declared fields of the payload, of its user and of a grant: none may be missing.
+DECLARED = ("token", "idle_expires_at", "absolute_expires_at", *(f"user.{x}" for x in ("id", "full_name", "email", "username", "category", "access_mode", "status", "grants", "created_at", "updated_at")))
+GRANT_FIELDS = ("id", "scope_kind", "organization_id", "site_id", "access_mode", "capabilities")
+
+
+def _lacks(field: str):
+    return lambda g: g.isNull() | g[field].isNull()
+
+
+def parse_login(df: DataFrame, json_col: str, schema: str = LOGIN, required: tuple[str, ...] = DECLARED, grant_fields: tuple[str, ...] = GRANT_FIELDS) -> DataFrame:
+    """P8. Unknown keys are ignored; `rejected` when any required field is missing, in the payload, its user or any grant."""
     out = df.withColumn("login", F.from_json(json_col, schema))
     missing = [F.when(F.col(f"login.{r}").isNull(), F.lit(r)) for r in required]
+    missing += [F.when(F.exists("login.user.grants", _lacks(f)), F.lit(f"user.grants.{f}")) for f in grant_fields]
     return out.withColumn("missing", F.concat_ws(",", *missing)).withColumn("rejected", F.col("missing") != "")
 
 

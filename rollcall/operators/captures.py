@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import FINGER_BITS, LEFT_HAND, RIGHT_HAND, STATUS_CODES, FAMILIES, COMMAND_FAILED, THUMBS, in_ranges, lookup
+from ..functions.codes import COMMAND_FAILED, FAMILIES, FINGER_BITS, HANDS, PAIRS, STATUS_CODES, in_ranges, lookup
 
 
 def check_capture_shape(df: DataFrame, width: int = 400, height: int = 500, length: Column | None = None) -> DataFrame:
@@ -41,11 +41,11 @@ def classify_status(df: DataFrame, code_col: str) -> DataFrame:
 
 
 def decode_finger_mask(df: DataFrame, col: str) -> DataFrame:
-    """P5. Sorted finger names, their number and group flags."""
+    """P5. Sorted finger names, their number, flags of hands and thumbs (any finger of them) and of pairs (both fingers)."""
     m = F.col(col)
     names = F.array_sort(F.filter(F.array(*[F.when(m.bitwiseAND(b) != 0, F.lit(n)) for b, n in FINGER_BITS.items()]), lambda x: x.isNotNull()))
-    return (df.withColumn("fingers", names).withColumn("n_fingers", F.bit_count(m.bitwiseAND(1023)))
-            .withColumn("left_hand", m.bitwiseAND(LEFT_HAND) != 0).withColumn("right_hand", m.bitwiseAND(RIGHT_HAND) != 0).withColumn("thumbs", m.bitwiseAND(THUMBS) != 0))
+    flags = {n: m.bitwiseAND(b) != 0 for n, b in HANDS.items()} | {n: m.bitwiseAND(b) == b for n, b in PAIRS.items()}
+    return df.withColumns({"fingers": names, "n_fingers": F.bit_count(m.bitwiseAND(1023)), **flags})
 
 
 def encode_finger_mask(df: DataFrame, col: str, out: str = "mask") -> DataFrame:

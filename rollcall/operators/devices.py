@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import PROPERTY_EXTRA, PROPERTY_RANGES
+from ..functions.codes import PROPERTY_EXTRA, PROPERTY_LISTS, PROPERTY_RANGES
 from .captures import classify_status
 
 VENDOR = 0x113F
@@ -133,13 +133,19 @@ def fleet_inventory(devices: DataFrame) -> DataFrame:
     return devices.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def audit_properties(readings: DataFrame, rules: dict = PROPERTY_RANGES, extra: dict = PROPERTY_EXTRA) -> DataFrame:
-    """A8. `verdict` of each reading: UNKNOWN property, NOT_NUMERIC, OUT_OF_RANGE or OK."""
-    v = F.expr("try_cast(value AS BIGINT)")
+def audit_properties(readings: DataFrame, rules: dict = PROPERTY_RANGES, extra: dict = PROPERTY_EXTRA, lists: dict = PROPERTY_LISTS) -> DataFrame:
+    """A8. `verdict` of each reading: UNKNOWN property, NOT_NUMERIC, OUT_OF_RANGE or OK. Values of `lists` are several
+    numbers; another count of them is OUT_OF_RANGE."""
+    name, v = F.col("property"), F.expr("try_cast(value AS BIGINT)")
+    many = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("bigint"))
+    listed = name.isin(list(lists))
     ok: Column = F.lit(False)
     for p, (lo, hi) in rules.items():
-        ok = ok | ((F.col("property") == p) & (v.between(lo, hi) | v.isin(list(extra.get(p, ())) or [lo])))
-    return readings.withColumn("verdict", F.when(~F.col("property").isin(list(rules)), "UNKNOWN").when(v.isNull(), "NOT_NUMERIC").when(ok, "OK").otherwise("OUT_OF_RANGE"))
+        ok = ok | ((name == p) & (v.between(lo, hi) | v.isin(list(extra.get(p, ())) or [lo])))
+    for p, (lo, hi, n) in lists.items():
+        ok = ok | ((name == p) & (F.size(many) == n) & F.forall(many, lambda x: x.between(lo, hi)))
+    numeric = F.when(listed, F.forall(many, lambda x: x.isNotNull())).otherwise(v.isNotNull())
+    return readings.withColumn("verdict", F.when(~F.coalesce(name.isin([*rules, *lists]), F.lit(False)), "UNKNOWN").when(~F.coalesce(numeric, F.lit(False)), "NOT_NUMERIC").when(ok, "OK").otherwise("OUT_OF_RANGE"))
 
 
 def property_counts(audited: DataFrame) -> DataFrame:

@@ -1,106 +1,269 @@
 """Identification over template vectors.
 
-`score_fn(a, b)` gives a Column from two vector columns; the default is the dot product in double
-precision, rounded to `digits`. A vectorised pandas UDF works as well.
+Scores are inner products in double precision, or whatever a `matcher` gives: a function of two numpy
+matrices (probes by components, templates by components) to the matrix of scores. Ranks and thresholds
+look at the raw score; the output is rounded to `digits`. Vectors that are null, empty, or hold null or
+non-finite components take no part; vectors of different lengths never meet.
 
-The gallery is dealt out over all partitions and the probes, in blocks of bounded size, go to each
-partition (J1, T1): no cross join, and every partition keeps the best k of its rows only. Larger galleries use buckets (J2, J4).
+Vectors are compared block against block, one matrix product each, and only the best k of each block go
+on, so no pair is ever a row. Up to PROBES probes (counted first) are sent to all tasks and the gallery
+is scanned where it lies; more probes, and the gallery, are dealt out in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 4
-BROADCAST_PROBES, FEW_PROBES = 10_000, 50
+#: Probes that are sent to all tasks at most, templates in a block, and scores that are held at a time.
+PROBES, TEMPLATES, SCORES = 10_000, 16_384, 4_000_000
+#: Buckets of J2 hold about so many templates, and no fewer planes are used than this.
+BUCKET, LEAST_PLANES = 4096, 6
+PRIME = 1_000_003
+
+Matcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _scored(probes: DataFrame, gallery: DataFrame, score_fn: Callable, digits: int) -> DataFrame:
-    p = probes.select("probe_id", F.col("vector").alias("probe_vector"))
-    n = p.limit(BROADCAST_PROBES + 1).count()
-    g = gallery.select("template_id", "subject_id", "vector")
-    if n > FEW_PROBES:  # scoring a template then costs far more than moving it: all cores share the gallery, however few files it comes from
-        g = g.repartition(gallery.sparkSession.sparkContext.defaultParallelism, "template_id")
-    # a checked number of probes is broadcast; more go through a shuffle by a random block of the gallery
-    if n <= BROADCAST_PROBES:
-        pairs = g.join(F.broadcast(p))
+def valid(df: DataFrame) -> DataFrame:
+    v = F.col("vector")
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.withColumn("vector", v.cast("array<double>")).where(F.coalesce(fine, F.lit(False)))
+
+
+def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length: (rows, matrix)."""
+    size = np.array([len(v) for v in vectors], np.int64)
+    return {int(d): (at, np.stack([np.asarray(vectors[i], np.float64) for i in at])) for d in np.unique(size) for at in [np.flatnonzero(size == d)]}
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, matcher: Matcher | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the k best for each row of q, best first, ties to the smaller id.
+
+    Without a matcher one product finds what rounding could still put among the best, and only those
+    are added up component by component, so that equal vectors have equal scores wherever they lie."""
+    out, step = [], max(1, SCORES // max(len(x), 1))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        s = part @ x.T if matcher is None else np.asarray(matcher(part, x), np.float64)
+        slack = 0.0
+        if matcher is None:
+            slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * np.sqrt((part**2).sum(axis=1) * (x**2).sum(axis=1).max(initial=0.0))[:, None]
+        kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else np.full((len(part), 1), -np.inf)
+        r, c = np.nonzero(s >= kth - slack)
+        v = _added(part, x, r, c) if matcher is None else s[r, c]
+        out.append(_first(i + r, c, v, ids[c], k))
+    return tuple(np.concatenate(y) for y in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _added(q, x, r, c, some: int = 20_000) -> np.ndarray:
+    parts = [np.cumsum(q[r[j : j + some]] * x[c[j : j + some]], axis=1)[:, -1] for j in range(0, len(r), some)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _first(r, c, s, ids, k):
+    order = np.lexsort((ids, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    top = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[top], c[top], s[top]
+
+
+FOUND = "probe_id long, template_id long, subject_id long, score double"
+
+
+def _frame(probe_id, template_id, subject_id, score):
+    import pandas as pd
+
+    return pd.DataFrame({"probe_id": probe_id, "template_id": template_id, "subject_id": subject_id, "score": score})
+
+
+def _match(probe, own, k: int, matcher: Matcher | None):
+    """The k best of the frame `own` for every row of the frame `probe`."""
+    import pandas as pd
+
+    held, templates = [], _by_length(own.vector.to_numpy())
+    for d, (at, q) in _by_length(probe.vector.to_numpy()).items():
+        if d in templates:
+            rows, x = templates[d]
+            ids = own.template_id.to_numpy()[rows]
+            r, c, s = best_of(q, x, ids, k, matcher)
+            held.append(_frame(probe.probe_id.to_numpy()[at[r]], ids[c], own.subject_id.to_numpy()[rows[c]], s))
+    return pd.concat(held) if held else _frame(*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+
+
+def _scan(shared, k: int, matcher: Matcher | None):
+    """Batches of a gallery to the k best for each shared probe, over all batches of the task."""
+
+    def go(frames):
+        probes, best = shared.value, {}
+        for f in frames:
+            for d, (rows, x) in _by_length(f.vector.to_numpy()).items():
+                if d not in probes:
+                    continue
+                _, q = probes[d]
+                r, c, s = best_of(q, x, f.template_id.to_numpy()[rows], k, matcher)
+                new = (r, f.template_id.to_numpy()[rows[c]], f.subject_id.to_numpy(np.float64, na_value=np.nan)[rows[c]], s)
+                r, ids, subject, s = (np.concatenate(y) for y in zip(best[d], new)) if d in best else new
+                r, c, s = _first(r, np.arange(len(r)), s, ids, k)
+                best[d] = r, ids[c], subject[c], s
+        for d, (r, ids, subject, s) in best.items():
+            out = _frame(probes[d][0][r], ids, subject, s)
+            yield out.assign(subject_id=out.subject_id.astype("Int64"))
+
+    return go
+
+
+def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None) -> DataFrame:
+    """probe_id, template_id, subject_id, score, rank of the k best templates of each probe."""
+    p = valid(probes.select(F.col("probe_id").cast("long"), "vector"))
+    kind = gallery.schema["subject_id"].dataType
+    g = valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector"))
+    few = p.limit(PROBES + 1).toPandas()
+    if len(few) <= PROBES:
+        ids = few.probe_id.to_numpy()
+        shared = p.sparkSession.sparkContext.broadcast({d: (ids[at], q) for d, (at, q) in _by_length(few.vector.to_numpy()).items()})
+        found = g.mapInPandas(_scan(shared, k, matcher), FOUND)
     else:
-        blocks = 64
-        pairs = g.withColumn("block", F.pmod(F.hash("template_id"), F.lit(blocks))).join(p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
-    return pairs.select("probe_id", "template_id", "subject_id", F.round(score_fn(F.col("probe_vector"), F.col("vector")), digits).alias("score"))
+        n_p, n_g = (F.greatest(F.lit(1), F.ceil(t.agg(F.count("*")).scalar() / size)).cast("int") for t, size in ((p, PROBES), (g, TEMPLATES)))
+        p = p.withColumn("pb", F.pmod(F.xxhash64("probe_id"), n_p).cast("int")).withColumn("gb", F.explode(F.sequence(F.lit(0), n_g - 1)))
+        g = g.withColumn("gb", F.pmod(F.xxhash64("template_id"), n_g).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), n_p - 1)))
+        found = p.groupBy("pb", "gb").cogroup(g.groupBy("pb", "gb")).applyInPandas(lambda a, b: _match(a, b, k, matcher), FOUND)
+    return _top(found, k).withColumn("subject_id", F.col("subject_id").cast(kind))
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each probe among its few rows from each block."""
+    if k == 1:
+        one = found.groupBy("probe_id").agg(F.max_by(F.struct("template_id", "subject_id", "score"), F.struct("score", -F.col("template_id"))).alias("b"))
+        return one.select("probe_id", "b.*", F.lit(1).alias("rank"))
+    w = Window.partitionBy("probe_id").orderBy(F.desc("score"), "template_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def identify(probes: DataFrame, gallery: DataFrame, threshold: float, score_fn: Callable = dot, digits: int = DIGITS) -> DataFrame:
+def identify(probes: DataFrame, gallery: DataFrame, threshold: float, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
     """J1. probe_id, outcome (MATCH or RETRY), subject_id, template_id, score, reason; ties to the lowest template_id."""
-    best = _scored(probes, gallery, score_fn, digits).groupBy("probe_id").agg(F.max_by(F.struct("template_id", "subject_id", "score"), F.struct("score", -F.col("template_id"))).alias("b"))
-    return _answer(probes, best.select("probe_id", "b.*"), threshold)
+    return _answer(probes, _best(probes, gallery, 1, matcher), threshold, digits)
 
 
-def _answer(probes: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
+def _answer(probes: DataFrame, best: DataFrame, threshold: float, digits: int) -> DataFrame:
     ok = F.coalesce(F.col("score") >= threshold, F.lit(False))
     return probes.select("probe_id").join(best, "probe_id", "left").select(
         "probe_id", F.when(ok, "MATCH").otherwise("RETRY").alias("outcome"), F.when(ok, F.col("subject_id")).alias("subject_id"), F.when(ok, F.col("template_id")).alias("template_id"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score").isNull(), "NO_CANDIDATE").when(~ok, "LOW_SCORE").alias("reason"))
+        F.coalesce(F.round("score", digits), F.lit(0.0)).alias("score"), F.when(F.col("score").isNull(), "NO_CANDIDATE").when(~ok, "LOW_SCORE").alias("reason"))
 
 
-def candidates(probes: DataFrame, gallery: DataFrame, k: int, score_fn: Callable = dot, digits: int = DIGITS) -> DataFrame:
+def candidates(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
     """T1. The k best templates of each probe, ties to the lowest template_id."""
-    w = Window.partitionBy("probe_id").orderBy(F.desc("score"), "template_id")
-    return _scored(probes, gallery, score_fn, digits).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _best(probes, gallery, k, matcher).withColumn("score", F.round("score", digits)).select("probe_id", "template_id", "subject_id", "score", "rank")
+
+
+# -- buckets of random hyperplanes
+
+
+def blocking(templates: int, similarity: float = 0.8, recall: float = 0.9) -> tuple[int, int]:
+    """(planes, tables) for a gallery of so many templates: buckets of about BUCKET rows, and as many tables as a pair of
+    that cosine needs to share a bucket in one of them with the given probability."""
+    planes = max(LEAST_PLANES, math.ceil(math.log2(max(templates, 1) / BUCKET)))
+    together = (1 - math.acos(similarity) / math.pi) ** planes
+    return planes, math.ceil(math.log(1 - recall) / math.log(1 - together))
+
 
+def hyperplanes(count: int, size: int) -> np.ndarray:
+    """Normals with components 1 or -1, by a cubic congruence of their number, so that SQL can state them."""
+    n = np.arange(1, count * size + 1, dtype=np.int64)
+    m = n % PRIME
+    h = (m * m % PRIME * m + 7 * m * m + 31 * m) % PRIME
+    return np.where(2 * h >= PRIME, 1.0, -1.0).reshape(count, size)
 
-def _buckets(df: DataFrame, vector: str, planes: int, tables: int, seed: int = 11) -> Column:
-    """Sign patterns of seeded hyperplanes: `planes` bits for each of `tables` tables."""
-    import random
 
-    r = random.Random(seed)
-    size = df.select(F.max(F.size(vector))).first()[0] or 0
-    keys = []
-    for _ in range(tables):
-        bits = [F.when(dot(F.col(vector), F.array(*[F.lit(r.gauss(0, 1)) for _ in range(size)])) > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(planes)]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        keys.append(total)
-    return F.array(*keys)
+def _in_buckets(rows: DataFrame, planes: int, tables: int) -> DataFrame:
+    """Every row once for each table, with t and its bucket: the signs of `planes` products."""
 
+    def go(frames):
+        import pandas as pd
 
-def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, planes: int = 3, tables: int = 12, score_fn: Callable = dot, digits: int = DIGITS) -> DataFrame:
-    """J2. The answer of J1 over candidates that share a bucket with the probe in some table; compare with J1 for recall."""
-    p = probes.select("probe_id", F.col("vector").alias("probe_vector"), F.posexplode(_buckets(probes, "vector", planes, tables)).alias("t", "bucket"))
-    g = gallery.select("template_id", "subject_id", "vector", F.posexplode(_buckets(gallery, "vector", planes, tables)).alias("t", "bucket"))
-    s = p.join(g, ["t", "bucket"]).select("probe_id", "template_id", "subject_id", F.round(score_fn(F.col("probe_vector"), F.col("vector")), digits).alias("score"))
-    best = s.groupBy("probe_id").agg(F.max_by(F.struct("template_id", "subject_id", "score"), F.struct("score", -F.col("template_id"))).alias("b"))
-    return _answer(probes, best.select("probe_id", "b.*"), threshold)
+        for f in frames:
+            for d, (at, x) in _by_length(f.vector.to_numpy()).items():
+                signs = (x @ hyperplanes(planes * tables, d).T > 0).reshape(len(x), tables, planes)
+                bucket = signs @ (1 << np.arange(planes, dtype=np.int64))
+                out = f.iloc[np.repeat(at, tables)]
+                yield out.assign(t=np.tile(np.arange(tables, dtype=np.int32), len(at)), bucket=bucket.ravel()) if len(out) else pd.DataFrame()
 
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(go, f"{kinds}, t int, bucket long")
 
-def duplicate_fingers(prints: DataFrame, threshold: float, score_fn: Callable = dot, digits: int = DIGITS) -> DataFrame:
+
+def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, planes: int = LEAST_PLANES, tables: int = 9, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
+    """J2. The answer of J1 over candidates that share a bucket with the probe in some table; compare with J1 for recall.
+    Buckets of more than TEMPLATES templates are dealt out in chunks, each of which meets all probes of the bucket."""
+    kind = gallery.schema["subject_id"].dataType
+    p = _in_buckets(valid(probes.select(F.col("probe_id").cast("long"), "vector")), planes, tables)
+    g = _in_buckets(valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector")), planes, tables)
+    hot = g.groupBy("t", "bucket").agg(F.ceil(F.count("*") / TEMPLATES).alias("chunks")).where("chunks > 1")
+    keys, chunks = ["t", "bucket", "chunk"], F.expr("coalesce(chunks, 1)")
+    every, own = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)), F.pmod(F.xxhash64("template_id"), chunks).cast("long")
+    p = p.join(hot, ["t", "bucket"], "left").select("probe_id", "vector", "t", "bucket", every.alias("chunk"))
+    g = g.join(hot, ["t", "bucket"], "left").select("template_id", "subject_id", "vector", "t", "bucket", own.alias("chunk"))
+    found = p.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(lambda a, b: _match(a, b, 1, matcher), FOUND)
+    return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
+
+
+def duplicate_fingers(prints: DataFrame, threshold: float) -> DataFrame:
     """J3. For each print, the OR of the finger bits of earlier prints of its session that score at least the threshold (0: none)."""
     a = prints.select("session_id", "print_id", F.col("vector").alias("v"))
     b = prints.select("session_id", F.col("print_id").alias("other"), "finger_bit", F.col("vector").alias("w"))
-    hit = a.join(b, "session_id").where("other < print_id").where(F.round(score_fn(F.col("v"), F.col("w")), digits) >= threshold)
+    hit = a.join(b, "session_id").where("other < print_id").where(dot(F.col("v"), F.col("w")) >= threshold)
     mask = hit.groupBy("session_id", "print_id").agg(F.bit_or("finger_bit").alias("m"))
     return prints.select("session_id", "print_id").join(mask, ["session_id", "print_id"], "left").select("session_id", "print_id", F.coalesce("m", F.lit(0)).alias("matched_mask"))
 
 
-def cross_subject_duplicates(gallery: DataFrame, threshold: float, planes: int = 0, tables: int = 1, score_fn: Callable = dot, digits: int = DIGITS) -> DataFrame:
-    """J4. Pairs of templates of different subjects with score >= threshold, each once. planes > 0 compares
-    within buckets only (for large galleries; recall below 1), planes = 0 compares all."""
-    keys = _buckets(gallery, "vector", planes, tables) if planes else F.array(F.lit(0))
-    g = gallery.select("template_id", "subject_id", "vector", F.posexplode(keys).alias("t", "bucket"))
-    a, b = g.select([F.col(c).alias(f"a_{c}") for c in g.columns]), g.select([F.col(c).alias(f"b_{c}") for c in g.columns])
-    on = (F.col("a_t") == F.col("b_t")) & (F.col("a_bucket") == F.col("b_bucket")) if planes else F.lit(True)
-    if not planes:  # the work is in the pairs, not in the rows: one side goes to all cores, however few files it comes from
-        a = a.repartition(gallery.sparkSession.sparkContext.defaultParallelism, "a_template_id")
-    # the optimiser moves the threshold into the join, before the other conditions: scores wait for those
-    pair = (F.col("a_template_id") < F.col("b_template_id")) & (F.col("a_subject_id") != F.col("b_subject_id"))
-    score = F.when(pair, F.round(score_fn(F.col("a_vector"), F.col("b_vector")), digits)).alias("score")
-    s = a.join(b, on & pair).select(F.col("a_template_id").alias("template_a"), F.col("b_template_id").alias("template_b"), score).where(F.col("score") >= threshold)
+def _pairs_of(frame, threshold: float, matcher: Matcher | None, digits: int, both):
+    """template_a < template_b, score of the pairs of a frame whose two rows lie in blocks that `both` allows."""
+    import pandas as pd
+
+    out = []
+    for _, (at, x) in _by_length(frame.vector.to_numpy()).items():
+        ids, subject, block = (frame[c].to_numpy()[at] for c in ("template_id", "subject_id", "block"))
+        for i in range(0, len(x), step := max(1, SCORES // max(len(x), 1))):
+            s = x[i : i + step] @ x.T if matcher is None else np.asarray(matcher(x[i : i + step], x), np.float64)
+            ok = (ids[i : i + step, None] < ids) & (subject[i : i + step, None] != subject) & both(block[i : i + step, None], block)
+            r, c = np.nonzero(ok & (s >= threshold - 1e-9))
+            v = _added(x[i : i + step], x, r, c) if matcher is None else s[r, c]
+            keep = v >= threshold
+            out.append(pd.DataFrame({"template_a": ids[i + r[keep]], "template_b": ids[c[keep]], "score": v[keep].round(digits)}))
+    return pd.concat(out) if out else pd.DataFrame({"template_a": np.zeros(0, np.int64), "template_b": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+
+def cross_subject_duplicates(gallery: DataFrame, threshold: float, planes: int = 0, tables: int = 1, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
+    """J4. Pairs of templates of different subjects with score >= threshold, each once.
+
+    planes = 0 scores all pairs: templates are dealt into blocks, and each pair of blocks is one group. planes > 0
+    compares within buckets only (for large galleries; recall below 1), large buckets again by pairs of blocks."""
+    g = valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector")).where("subject_id is not null")
+    size, keys = TEMPLATES // 2, ["i", "j"]
+    if planes:
+        keys = ["t", "bucket", *keys]
+        g = _in_buckets(g, planes, tables)
+        blocks = g.groupBy("t", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).where("blocks > 1")
+        g = g.join(blocks, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        g = g.withColumn("blocks", F.greatest(F.lit(1), F.ceil(g.agg(F.count("*")).scalar() / size)).cast("int"))
+    g = g.withColumn("block", F.pmod(F.xxhash64("template_id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    g = g.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def score(frame):
+        # within one block every pair counts, between two blocks only those of one block and the other
+        one = frame.i.iloc[0] == frame.j.iloc[0]
+        return _pairs_of(frame, threshold, matcher, digits, (lambda a, b: a == b) if one else (lambda a, b: a != b))
+
+    s = g.groupBy(*keys).applyInPandas(score, "template_a long, template_b long, score double")
     return s.distinct() if planes else s

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIALECTS = {
-    "spark": {"$us(": "unix_micros(", "$arr(": "array(", "$kv": "named_struct", "$div": "div"},
-    "duckdb": {"$us(": "epoch_us(", "$arr(": "list_value(", "$div": "//"},
+    "spark": {"$us(": "unix_micros(", "$arr(": "array(", "$div": "div", "$zip(p.embedding, g.embedding)": "zip_with(p.embedding, g.embedding, (x, y) -> 0.6D * x + 0.8D * y)"},
+    "duckdb": {"$us(": "epoch_us(", "$arr(": "list_value(", "$div": "//", "$zip(p.embedding, g.embedding)": "list_transform(list_zip(p.embedding, g.embedding), lambda x: 0.6::DOUBLE * x[1] + 0.8::DOUBLE * x[2])"},
 }
 
 F3 = """
@@ -19,8 +19,8 @@ SELECT user_id AS device_id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
     WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'Acquired' ELSE 'Result' END
     ELSE 'Error' END AS kind,
   CASE WHEN event_type = 'click' AND event_id % 4 = 1 THEN least(100, CAST(floor(value) AS INT)) END AS progress,
-  CASE WHEN event_type = 'error' THEN CASE event_id % 10 WHEN 0 THEN -1 WHEN 1 THEN -6 WHEN 2 THEN -100 WHEN 3 THEN -201 WHEN 4 THEN -300
-    WHEN 5 THEN -603 WHEN 6 THEN 200 WHEN 7 THEN 302 WHEN 8 THEN 601 ELSE -9999 END END AS status_code,
+  CASE WHEN event_type = 'error' THEN CASE event_id % 14 WHEN 0 THEN -1 WHEN 1 THEN -6 WHEN 2 THEN -100 WHEN 3 THEN -201 WHEN 4 THEN -300
+    WHEN 5 THEN -603 WHEN 6 THEN 200 WHEN 7 THEN 302 WHEN 8 THEN 601 WHEN 9 THEN 515 WHEN 10 THEN -400 WHEN 11 THEN -503 WHEN 12 THEN -502 ELSE -9999 END END AS status_code,
   CAST(event_id % 9 AS INT) AS quality_code,
   $arr(CAST(event_id % 9 AS INT), CAST((event_id * 7) % 9 AS INT)) AS quality_codes,
   CAST(event_id % 8 AS INT) AS option_bits
@@ -33,6 +33,9 @@ FROM documents"""
 F2 = """
 SELECT vec_id AS template_id, vec_id AS probe_id, vec_id AS print_id, label AS subject_id, embedding AS vector, vec_id $div 10 AS session_id,
   CAST(power(2, vec_id % 10) AS INT) AS finger_bit FROM embeddings"""
+# probes that are noisy captures of the template after theirs: a cosine of about 0.8
+F2_NOISY = """
+SELECT p.vec_id AS probe_id, $zip(p.embedding, g.embedding) AS vector FROM embeddings p JOIN embeddings g ON p.vec_id % 10 = 0 AND g.vec_id = p.vec_id + 1"""
 F4 = """
 SELECT CAST(c_custkey AS STRING) AS id, c_name AS full_name, lower(c_name) AS username,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE concat(lower(c_name), '@example.org') END AS email,
@@ -60,13 +63,13 @@ SELECT s_suppkey AS device_id, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 4415 END
 FROM supplier"""
 F7_READINGS = """
 SELECT p_partkey AS reading_id, CASE p_partkey % 6 WHEN 0 THEN 'IGNORE_FINGER_TIME' WHEN 1 THEN 'RETRY_WRONG_COMMUNICATION' WHEN 2 THEN 'CAPTURE_TIMEOUT'
-    WHEN 3 THEN 'ROLL_MIN_WIDTH' WHEN 4 THEN 'MIN_CAPTURE_TIME_IN_SUPER_DRY_MODE' ELSE 'SOMETHING_ELSE' END AS property,
-  CASE WHEN p_partkey % 17 = 0 THEN 'n/a' ELSE CAST(p_size * 100 AS STRING) END AS value
+    WHEN 3 THEN 'ROLL_MIN_WIDTH' WHEN 4 THEN CASE WHEN p_partkey % 4 = 0 THEN 'MIN_CAPTURE_TIME_IN_SUPER_DRY_MODE' ELSE 'WET_FINGER_DETECT_LEVEL_THRESHOLD' END ELSE 'SOMETHING_ELSE' END AS property,
+  CASE WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 12 = 10 THEN concat('50 100 150 200', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(' ', CAST(p_size * 40 AS STRING)) END) ELSE CAST(p_size * 100 AS STRING) END AS value
 FROM part"""
 F8_CHECKINS = """
 SELECT concat(CASE WHEN event_id % 4 = 0 THEN 'S' ELSE 'C' END, CAST(user_id AS STRING)) AS subject_id, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq
 FROM events WHERE event_type IN ('click', 'view')"""
-F8_STUDENTS = "SELECT concat('C', CAST(c_custkey AS STRING)) AS subject_id FROM customer WHERE c_custkey < (SELECT count(*) FROM customer) / 10"
+F8_STUDENTS = "SELECT concat('C', CAST(c_custkey AS STRING)) AS subject_id FROM customer"
 F8_STAFF = "SELECT concat('S', CAST(s_suppkey AS STRING)) AS subject_id FROM supplier"
 F9 = "SELECT concat('C', CAST(user_id AS STRING)) AS subject_id, CAST(ts AS DATE) AS start_day FROM events WHERE event_type = 'purchase'"
 F10_BATCHES = "SELECT o_orderkey AS batch_id, o_custkey AS subject_id FROM orders"

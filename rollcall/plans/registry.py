@@ -48,7 +48,7 @@ def log(spark, d):
     return fx.load(spark, d, fx.F3)
 
 
-DOT = "round(list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]), 4)"
+DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 W = "PARTITION BY device_id ORDER BY ts, seq"
 
 # -- sources and sinks
@@ -62,6 +62,13 @@ def _(s, d):
     return tables.read_templates(s, path).select("template_id", "subject_id", F.size("vector").cast("long").alias("dims"))
 
 
+@query("src1_captures", "SELECT capture_id, width, height, strlen(data)::INT AS n_bytes FROM f1", f1=fx.F1)
+def _(s, d):
+    path = tables.fresh_folder(s, "captures")
+    fx.captures(s, d).select("capture_id", "width", "height", "data", "quality").write.parquet(path)
+    return tables.read_captures(s, path).select("capture_id", "width", "height", F.octet_length("data").alias("n_bytes"))
+
+
 @query("src2_event_log", "SELECT user_id, event_type, count(*) AS n, max(epoch_us(ts)) AS last_ts FROM events GROUP BY ALL")
 def _(s, d):
     return tables.read_events(s, f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
@@ -78,8 +85,8 @@ def _(s, d):
 def _(s, d):
     t = fx.load(s, d, fx.F2).select("subject_id", "finger_bit", "template_id")
     path = tables.fresh_folder(s, "gallery")
-    for v, part in enumerate((t.where("template_id % 2 = 0"), t.where("template_id % 2 = 1"), t.where("template_id % 2 = 1"))):
-        out = tables.upsert_gallery(part, path, min(v, 1), order=("template_id",))
+    for batch, part in (("a", t.where("template_id % 2 = 0")), ("b/1", t.where("template_id % 2 = 1")), ("a", t.where("template_id % 2 = 0"))):
+        out = tables.upsert_gallery(part, path, batch, order=("template_id",))
     return out
 
 
@@ -90,13 +97,22 @@ P1 = "CASE WHEN width <> 400 OR height <> 500 THEN 'BAD_DIMENSIONS' WHEN byte_le
 def _(s, d):
     _, bad = tables.split_rejects(captures.check_capture_shape(fx.captures(s, d), length=F.col("byte_len")))
     path = tables.fresh_folder(s, "rejects")
-    tables.write_rejects(bad.select("capture_id", "reason"), path)
+    for batch in ("1", "2", "2"):  # the repeated batch changes nothing
+        tables.write_rejects(bad.where(f"capture_id % 2 = {batch} % 2").select("capture_id", "reason"), path, batch)
     return s.read.parquet(path).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # -- projections and decoding
 
 
+@query("p1_capture_bytes", "SELECT capture_id, CASE WHEN height <> 500 OR width < 400 THEN 'BAD_DIMENSIONS' WHEN strlen(data) <> width * 500 THEN 'BAD_LENGTH' END AS reason FROM f1", f1=fx.F1)
+def _(s, d):
+    """The payload's own bytes: captures of 400 columns against that contract, wider ones against 500 columns."""
+    x = fx.captures(s, d)
+    small, wide = x.where("width = 400"), x.where("width <> 400")
+    return captures.check_capture_shape(small).unionByName(captures.check_capture_shape(wide, width=500)).select("capture_id", "reason")
+
+
 @query("p1_capture_contract", f"SELECT capture_id, {P1} AS reason FROM f1", f1=fx.F1)
 def _(s, d):
     return captures.check_capture_shape(fx.captures(s, d), length=F.col("byte_len")).select("capture_id", "reason")
@@ -109,13 +125,31 @@ def _(s, d):
     return captures.decode_codes(x, "quality_code", codes.FINGER_QUALITY, "reject", out="quality").select("seq", "format", "quality", "quality_reason")
 
 
+TABLES = ("IMAGE_TYPE", "IMAGE_FORMAT", "RESOLUTION", "FINGER_COUNT", "FINGER_QUALITY", "PLATEN", "ROLLING", "EVENT_TYPE", "STORED_FORMAT", "IMPRESSION_TYPE", "FINGER_POSITION", "CAPTURE_TECH")
+DEFAULTS = {"IMAGE_TYPE": "TYPE_NONE", "IMAGE_FORMAT": "UNKNOWN"}
+RAW = "CASE WHEN seq % 3 = 0 THEN 500 * CAST(seq % 4 AS INT) ELSE CAST(seq % 53 AS INT) END"
+
+
+@query("p2_all_tables", "SELECT seq, " + ", ".join(f"coalesce({case('raw', getattr(codes, t))}, '{DEFAULTS.get(t, '-')}') AS {t.lower()}" for t in TABLES) + f" FROM (SELECT seq, {RAW} AS raw FROM f3)", f3=fx.F3)
+def _(s, d):
+    x = log(s, d).select("seq", F.expr(RAW).alias("raw"))
+    for t in TABLES:
+        x = captures.decode_codes(x, "raw", getattr(codes, t), *(("default", DEFAULTS[t]) if t in DEFAULTS else ("reject",)), out=t.lower())
+    return x.select("seq", *[F.coalesce(t.lower(), F.lit("-")).alias(t.lower()) for t in TABLES])
+
+
 @query("p3_quality_array", f"""SELECT seq, CASE WHEN list_contains(quality_codes, 8) THEN NULL ELSE array_to_string(list_transform(quality_codes, lambda q: {case('q', codes.FINGER_QUALITY)}), ',') END AS qualities FROM f3""", f3=fx.F3)
 def _(s, d):
     return captures.decode_quality_array(log(s, d), "quality_codes", codes.FINGER_QUALITY).select("seq", "qualities")
 
 
-EFFECTIVE = "CASE WHEN status_code = 0 OR " + " OR ".join(f"status_code BETWEEN {a} AND {b}" for a, b in codes.STATUS_CODES) + f" THEN status_code ELSE {codes.COMMAND_FAILED} END"
-FAMILY = "CASE " + " ".join(f"WHEN effective_code BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in codes.FAMILIES) + " END"
+# Fixed values, written out apart from the operator's table so that a mistake in either shows.
+DEFINED = """0, -1, -2, -3, -4, -5, -6, -7, -8, -9, -10, -11, -100, -101, -102, -103, -104, -105, -106, -107, -200, -201, -202, -203, -204, -205, -206, -207, -208, -209, -210, -211, -212, -213, -299,
+    -300, -301, -302, -303, -304, -305, -306, -307, -308, -500, -501, -502, -600, -601, -602, -603, 100, 101, 102, 200, 201, 202, 203, 300, 301, 302, 303, 304, 305, 306, 307, 400, 512, 513, 514, 515, 600, 601, 602"""
+EFFECTIVE = f"CASE WHEN status_code IN ({DEFINED}) THEN status_code ELSE -10 END"
+FAMILY = """CASE WHEN effective_code < 0 THEN CASE WHEN effective_code >= -11 THEN 'general' WHEN effective_code > -200 THEN 'channel' WHEN effective_code > -300 THEN 'device' WHEN effective_code > -400 THEN 'capture'
+    WHEN effective_code > -500 THEN 'client' WHEN effective_code > -600 THEN 'codec' ELSE 'duplicate' END WHEN effective_code BETWEEN 100 AND 199 THEN 'trace' WHEN effective_code BETWEEN 200 AND 299 THEN 'api'
+    WHEN effective_code BETWEEN 300 AND 399 THEN 'acquisition' WHEN effective_code BETWEEN 400 AND 499 THEN 'image' WHEN effective_code BETWEEN 512 AND 515 THEN 'area' WHEN effective_code >= 600 THEN 'finger' END"""
 SEVERITY = "CASE WHEN effective_code = 0 THEN 'OK' WHEN effective_code < 0 THEN 'ERROR' ELSE 'WARNING' END"
 STATUS = f"SELECT device_id, seq, effective_code, {SEVERITY} AS severity, {FAMILY} AS family FROM (SELECT *, {EFFECTIVE} AS effective_code FROM f3 WHERE kind = 'Error')"
 
@@ -125,11 +159,11 @@ def _(s, d):
     return captures.classify_status(devices.only_kind(log(s, d), "Error"), "status_code").select("device_id", "seq", "effective_code", "severity", "family")
 
 
-@query("p5_finger_mask", "SELECT session_id, bit_or(finger_bit) & 1023 AS mask, bit_count(bit_or(finger_bit) & 1023)::INT AS n_fingers, (bit_or(finger_bit) & 48) <> 0 AS thumbs, "
-       "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN bit_or(finger_bit) & {b} <> 0 THEN '{n}' END" for b, n in codes.FINGER_BITS.items()) + "], lambda x: x IS NOT NULL)), ',') AS fingers FROM f2 GROUP BY session_id", f2=fx.F2)
+@query("p5_finger_mask", "SELECT session_id, bit_or(finger_bit) & 1023 AS mask, bit_count(bit_or(finger_bit) & 1023)::INT AS n_fingers, (bit_or(finger_bit) & 48) <> 0 AS thumbs, bit_or(finger_bit) & 12 = 12 AS left_middle_index, bit_or(finger_bit) & 768 = 768 AS right_ring_little, "
+       "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN bit_or(finger_bit) & {b} <> 0 THEN '{n}' END" for b, n in codes.FINGER_BITS.items()) + "], lambda x: x IS NOT NULL)), ',') AS fingers FROM f2 WHERE template_id % 7 <> 3 GROUP BY session_id", f2=fx.F2)
 def _(s, d):
-    m = fx.load(s, d, fx.F2).groupBy("session_id").agg(F.bit_or("finger_bit").alias("m"))
-    return captures.encode_finger_mask(captures.decode_finger_mask(m, "m"), "fingers").select("session_id", "mask", "n_fingers", "thumbs", "fingers")
+    m = fx.load(s, d, fx.F2).where("template_id % 7 <> 3").groupBy("session_id").agg(F.bit_or("finger_bit").alias("m"))
+    return captures.encode_finger_mask(captures.decode_finger_mask(m, "m"), "fingers").select("session_id", "mask", "n_fingers", "thumbs", "left_middle_index", "right_ring_little", "fingers")
 
 
 @query("p6_option_mask", "SELECT seq, option_bits AS mask, option_bits | 7 AS effective_mask FROM f3", f3=fx.F3)
@@ -143,11 +177,14 @@ def _(s, d):
     return accounts.project_accounts(fx.users(s, d))
 
 
-@query("p8_login", """SELECT id, concat_ws(',', CASE WHEN token IS NULL THEN 'token' END, CASE WHEN email IS NULL THEN 'user.email' END) AS missing,
-    token IS NULL OR email IS NULL AS rejected, CASE WHEN can_enrol THEN 2 ELSE 1 END AS n_capabilities FROM f4""", f4=fx.F4)
+@query("p8_login", """SELECT id, concat_ws(',', CASE WHEN token IS NULL THEN 'token' END, CASE WHEN email IS NULL THEN 'user.email' END, CASE WHEN c_custkey % 7 = 0 THEN 'user.status' END, CASE WHEN c_custkey % 11 = 0 THEN 'user.grants.access_mode' END) AS missing,
+    token IS NULL OR email IS NULL OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 AS rejected, CASE WHEN can_enrol THEN 2 ELSE 1 END AS n_capabilities FROM f4""", f4=fx.F4)
 def _(s, d):
     u = fx.users(s, d)
-    user = F.struct("id", "full_name", "email", "username", "grants", F.when(F.col("c_custkey") % 2 == 0, F.lit("x")).alias("unknown_key"))
+    made = F.lit("2024-01-01")
+    grants = F.transform("grants", lambda g: g.withField("access_mode", F.when(F.col("c_custkey") % 11 != 0, g["access_mode"])))
+    user = F.struct("id", "full_name", "email", "username", F.lit("student").alias("category"), F.lit("rw").alias("access_mode"), F.when(F.col("c_custkey") % 7 != 0, F.lit("active")).alias("status"), grants.alias("grants"),
+                    made.alias("created_at"), made.alias("updated_at"), F.when(F.col("c_custkey") % 2 == 0, F.lit("x")).alias("unknown_key"))
     j = u.select("id", F.to_json(F.struct("token", "idle_expires_at", "absolute_expires_at", user.alias("user"))).alias("json"))
     return accounts.parse_login(j, "json").select("id", "missing", "rejected", F.size(F.col("login.user.grants")[0]["capabilities"]).alias("n_capabilities"))
 
@@ -196,12 +233,13 @@ def _(s, d):
     return devices.console_state(log(s, d).withColumn("session_state", F.expr(SESSION))).select("seq", "state", "usable_device")
 
 
-@query("p16_segments", """SELECT template_id, subject_id <> 3 AS count_mismatch, i AS ordinal, CASE WHEN i < 3 THEN template_id * 10 + i END AS image, CASE WHEN i < 3 THEN trunc(vector[i * 8 + 1]::DOUBLE * 1000)::INT END AS x1
-    FROM (SELECT *, unnest(range(0, 3))::INT AS i FROM f2)""", f2=fx.F2)
+@query("p16_segments", """SELECT template_id, subject_id <> 4 OR template_id % 5 = 0 AS count_mismatch, i AS ordinal, CASE WHEN i < 3 OR template_id % 5 <> 0 THEN template_id * 10 + i END AS image, trunc(vector[i * 8 + 1]::DOUBLE * 1000)::INT AS x1
+    FROM (SELECT *, unnest(range(0, 4))::INT AS i FROM f2)""", f2=fx.F2)
 def _(s, d):
     v = fx.load(s, d, fx.F2)
-    pos = F.array(*[F.struct(*[(F.col("vector")[8 * i + j].cast("double") * 1000).cast("int").alias(n) for j, n in enumerate(("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4"))]) for i in range(3)])
-    x = v.select("template_id", "subject_id", F.array(*[F.col("template_id") * 10 + i for i in range(3)]).alias("images"), pos.alias("positions"), F.col("subject_id").alias("finger_count"))
+    pos = F.array(*[F.struct(*[(F.col("vector")[8 * i + j].cast("double") * 1000).cast("int").alias(n) for j, n in enumerate(("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4"))]) for i in range(4)])
+    images = F.array(*[F.col("template_id") * 10 + i for i in range(4)])  # one image short in every fifth
+    x = v.select("template_id", "subject_id", F.when(F.col("template_id") % 5 == 0, F.slice(images, 1, 3)).otherwise(images).alias("images"), pos.alias("positions"), F.col("subject_id").alias("finger_count"))
     return captures.flatten_segments(x).select("template_id", "count_mismatch", "ordinal", "image", F.col("position.x1").alias("x1"))
 
 
@@ -222,8 +260,16 @@ def _probes(s, d):
 
 
 BEST = f"SELECT p.probe_id, g.template_id, g.subject_id, {DOT.format('p.vector', 'g.vector')} AS score, row_number() OVER (PARTITION BY p.probe_id ORDER BY {DOT.format('p.vector', 'g.vector')} DESC, g.template_id) AS rank FROM f2 p JOIN f2 g ON p.probe_id % 10 = 0 AND g.template_id % 10 <> 0"
-J1 = f"""SELECT probe_id, CASE WHEN score >= 0.35 THEN 'MATCH' ELSE 'RETRY' END AS outcome, CASE WHEN score >= 0.35 THEN subject_id END AS subject_id,
-    CASE WHEN score >= 0.35 THEN template_id END AS template_id, score, CASE WHEN score < 0.35 THEN 'LOW_SCORE' END AS reason FROM ({BEST}) WHERE rank = 1"""
+
+
+def answer(best: str, probes: str, threshold: float) -> str:
+    """SQL of J1's answer from the best template of each probe."""
+    ok = f"coalesce(score >= {threshold}, false)"
+    return f"""SELECT p.probe_id, CASE WHEN {ok} THEN 'MATCH' ELSE 'RETRY' END AS outcome, CASE WHEN {ok} THEN subject_id END AS subject_id, CASE WHEN {ok} THEN template_id END AS template_id,
+    coalesce(round(score, 4), 0) AS score, CASE WHEN score IS NULL THEN 'NO_CANDIDATE' WHEN NOT {ok} THEN 'LOW_SCORE' END AS reason FROM ({probes}) p LEFT JOIN (SELECT * FROM ({best}) WHERE rank = 1) b ON b.probe_id = p.probe_id"""
+
+
+J1 = answer(BEST, "SELECT probe_id FROM f2 WHERE probe_id % 10 = 0", 0.35)
 
 
 @query("j1_identify", J1, f2=fx.F2)
@@ -231,9 +277,25 @@ def _(s, d):
     return matching.identify(*_probes(s, d), 0.35)
 
 
-@query("j2_identify_blocked")
+PLANES, TABLES_J2 = matching.blocking(1)
+# the hyperplanes' rule, and the buckets that follow from it
+J2_PLANES = f"""SELECT t, b, list(CASE WHEN 2 * h >= {matching.PRIME} THEN 1.0 ELSE -1.0 END ORDER BY j) AS w FROM (SELECT t, b, j, (m * m % {matching.PRIME} * m + 7 * m * m + 31 * m) % {matching.PRIME} AS h FROM (
+    SELECT t, b, j, ((t * {PLANES} + b) * 64 + j + 1) % {matching.PRIME} AS m FROM range({TABLES_J2}) x(t), range({PLANES}) y(b), range(64) z(j))) GROUP BY t, b"""
+J2_BUCKETS = "SELECT id, t, sum(CASE WHEN list_dot_product(vector::DOUBLE[], w::DOUBLE[]) > 0 THEN 1 << b ELSE 0 END) AS bucket FROM {0}, planes GROUP BY id, t"
+J2_BEST = f"""SELECT probe_id, template_id, subject_id, score, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, template_id) AS rank FROM (SELECT p.probe_id, g.template_id, g.subject_id, {DOT.format('p.vector', 'g.vector')} AS score
+    FROM (SELECT DISTINCT p.id AS a, g.id AS b FROM pb p JOIN gb g ON p.t = g.t AND p.bucket = g.bucket) x JOIN noisy p ON p.probe_id = a JOIN f2 g ON g.template_id = b)"""
+
+
+def _noisy(s, d):
+    return fx.load(s, d, fx.F2_NOISY), fx.load(s, d, fx.F2).where("template_id % 10 <> 0")
+
+
+@query("j2_identify_blocked", answer(J2_BEST, "SELECT probe_id FROM noisy", 0.5), f2=fx.F2, noisy=fx.F2_NOISY, planes=J2_PLANES,
+       pb=J2_BUCKETS.format("(SELECT probe_id AS id, vector FROM noisy)"), gb=J2_BUCKETS.format("(SELECT template_id AS id, vector FROM f2 WHERE template_id % 10 <> 0)"))
 def _(s, d):
-    return matching.identify_blocked(*_probes(s, d), 0.35)
+    """Probes are noisy captures, as a matcher meets them; the SQL holds while blocking() keeps its least number of planes."""
+    probes, gallery = _noisy(s, d)
+    return matching.identify_blocked(probes, gallery, 0.5, *matching.blocking(gallery.count()))
 
 
 @query("j3_duplicate_fingers", f"""SELECT p.session_id, p.print_id, coalesce(bit_or(CASE WHEN {DOT.format('p.vector', 'o.vector')} >= 0.1 THEN o.finger_bit END), 0)::INT AS matched_mask
@@ -242,9 +304,9 @@ def _(s, d):
     return matching.duplicate_fingers(fx.load(s, d, fx.F2), 0.1)
 
 
-@query("j4_cross_subject", f"SELECT a.template_id AS template_a, b.template_id AS template_b, {DOT.format('a.vector', 'b.vector')} AS score FROM f2 a JOIN f2 b ON a.template_id < b.template_id AND a.subject_id <> b.subject_id WHERE score >= 0.4", f2=fx.F2)
+@query("j4_cross_subject", f"SELECT a.template_id AS template_a, b.template_id AS template_b, round({DOT.format('a.vector', 'b.vector')}, 4) AS score FROM f2 a JOIN f2 b ON a.template_id < b.template_id AND a.subject_id <> b.subject_id WHERE {DOT.format('a.vector', 'b.vector')} >= 0.4", f2=fx.F2)
 def _(s, d):
-    return matching.cross_subject_duplicates(fx.load(s, d, fx.F2), 0.4)
+    return matching.cross_subject_duplicates(fx.load(s, d, fx.F2).select("template_id", "subject_id", "vector"), 0.4)
 
 
 COPIES = ("SELECT template_id, 1 + template_id % 3 AS version FROM f2 WHERE template_id % 4 <> 0", "SELECT template_id, 1 + template_id % 2 AS version FROM f2 WHERE template_id % 4 <> 1")
@@ -379,8 +441,10 @@ def _(s, d):
     return devices.fleet_inventory(_devices(s, d)[0])
 
 
-RULES = " OR ".join(f"(property = '{p}' AND (TRY_CAST(value AS BIGINT) BETWEEN {a} AND {b}" + "".join(f" OR TRY_CAST(value AS BIGINT) = {x}" for x in codes.PROPERTY_EXTRA.get(p, ())) + "))" for p, (a, b) in codes.PROPERTY_RANGES.items())
-A8 = f"SELECT reading_id, property, CASE WHEN property = 'SOMETHING_ELSE' THEN 'UNKNOWN' WHEN value = 'n/a' THEN 'NOT_NUMERIC' WHEN {RULES} THEN 'OK' ELSE 'OUT_OF_RANGE' END AS verdict FROM f7r"
+# Fixed values, written out apart from the operator's rules.
+A8 = """SELECT reading_id, property, CASE WHEN property = 'SOMETHING_ELSE' THEN 'UNKNOWN' WHEN value = 'n/a' THEN 'NOT_NUMERIC' WHEN CASE property WHEN 'IGNORE_FINGER_TIME' THEN value::INT BETWEEN 2000 AND 10000 WHEN 'RETRY_WRONG_COMMUNICATION' THEN value::INT BETWEEN 1 AND 120
+    WHEN 'CAPTURE_TIMEOUT' THEN value::INT = -1 OR value::INT BETWEEN 10 AND 3600 WHEN 'ROLL_MIN_WIDTH' THEN value::INT BETWEEN 10 AND 30 WHEN 'MIN_CAPTURE_TIME_IN_SUPER_DRY_MODE' THEN value::INT BETWEEN 600 AND 3000
+    ELSE len(string_split(value, ' ')) = 5 AND list_min(list_transform(string_split(value, ' '), lambda x: x::INT)) >= 10 AND list_max(list_transform(string_split(value, ' '), lambda x: x::INT)) <= 1000 END THEN 'OK' ELSE 'OUT_OF_RANGE' END AS verdict FROM f7r"""
 
 
 @query("a8_properties", A8, f7r=fx.F7_READINGS)
@@ -488,7 +552,7 @@ def _(s, d):
 # -- top-k, sets
 
 
-@query("t1_candidates", f"SELECT probe_id, template_id, subject_id, score, rank::INT AS rank FROM ({BEST}) WHERE rank <= 5", f2=fx.F2)
+@query("t1_candidates", f"SELECT probe_id, template_id, subject_id, round(score, 4) AS score, rank::INT AS rank FROM ({BEST}) WHERE rank <= 5", f2=fx.F2)
 def _(s, d):
     return matching.candidates(*_probes(s, d), 5)
 
@@ -563,9 +627,17 @@ def _(s, d):
     return st.stream_identify(_stream(s, d, fx.F2, "embeddings").where("probe_id % 10 = 0"), gallery, 0.35)
 
 
-@query("r8_stream_kv", "SELECT ns AS device_id, seq, $us(ts) AS ts, value FROM (SELECT ns, seq, ts, CASE WHEN NOT deleted THEN value END AS value FROM f6 WHERE key = 'view') QUALIFY row_number() OVER (PARTITION BY ns ORDER BY ts, seq) = 1 OR value IS DISTINCT FROM lag(value) OVER (PARTITION BY ns ORDER BY ts, seq)", f6=fx.F6)
+KV_START = "TIMESTAMP '2024-01-10'"
+
+
+@query("r8_stream_kv", f"""SELECT ns AS device_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS ts, value FROM cur UNION ALL SELECT ns, seq, $us(ts), value FROM (SELECT ns, seq, ts, value, lag(value, 1, first) OVER (PARTITION BY ns ORDER BY ts, seq) AS before
+    FROM (SELECT f6.ns, seq, ts, CASE WHEN NOT deleted THEN f6.value END AS value, cur.value AS first FROM f6 LEFT JOIN cur ON cur.ns = f6.ns WHERE key = 'view' AND ts > {KV_START})) WHERE value IS DISTINCT FROM before""",
+       f6=fx.F6, cur=f"SELECT ns, value FROM (SELECT * FROM f6 WHERE key = 'view' AND ts <= {KV_START} QUALIFY row_number() OVER (PARTITION BY ns ORDER BY ts DESC, seq DESC) = 1) WHERE NOT deleted")
 def _(s, d):
-    return st.run_available(st.stream_kv(_stream(s, d, fx.F6), "view"), "append")
+    current = prefs.kv_snapshot(fx.load(s, d, fx.F6).where("key = 'view'"), "2024-01-10 00:00:00").select("ns", "value")
+    path = tables.fresh_folder(s, "current")  # _stream takes the view's name over
+    current.write.parquet(path)
+    return st.observe_kv(_stream(s, d, fx.F6).where(f"ts > {KV_START}"), "view", s.read.parquet(path))
 
 
 @query("r9_stream_gate", f"SELECT capture_id FROM (SELECT capture_id, coalesce({P1}, {GATE}) AS reason FROM f1) WHERE reason IS NULL", f1=fx.F1)
@@ -576,15 +648,7 @@ def _(s, d):
 
 @query("x1_custom_score", J1, f2=fx.F2)
 def _(s, d):
-    """A customer's matcher as a vectorised pandas UDF."""
+    """A customer's matcher: a function of a matrix of probes and one of templates."""
     import numpy as np
 
-    def matcher(a, b):
-        import pandas as pd
-
-        return pd.Series([float(np.dot(np.asarray(x, float), np.asarray(y, float))) for x, y in zip(a, b)])
-
-    import pandas as pd
-
-    matcher.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return matching.identify(*_probes(s, d), 0.35, score_fn=F.pandas_udf(matcher, "double"))
+    return matching.identify(*_probes(s, d), 0.35, matcher=lambda q, x: np.einsum("ik,jk->ij", q, x))

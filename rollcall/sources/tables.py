@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,24 +64,38 @@ def split_rejects(df: DataFrame, reason_col: str = "reason") -> tuple[DataFrame,
     return df.where(F.col(reason_col).isNull()).drop(reason_col), df.where(F.col(reason_col).isNotNull())
 
 
-def write_rejects(df: DataFrame, path: str, reason_col: str = "reason") -> None:
-    df.write.mode("append").partitionBy(reason_col).parquet(path)
+def write_rejects(df: DataFrame, path: str, batch_id: str, reason_col: str = "reason") -> None:
+    """SNK2. Rejects of one batch, by reason; the same batch again replaces its own rows only."""
+    df.write.mode("overwrite").partitionBy(reason_col).parquet(f"{path}/batch={quote(str(batch_id), safe='')}")
 
 
-def upsert_gallery(df: DataFrame, path: str, version: int, keys: tuple[str, ...] = ("subject_id", "finger_bit"), order: tuple[str, ...] = ("batch_id",)) -> DataFrame:
-    """SNK1. Writes version `version` of the gallery: the previous version and the new rows, the latest of each key.
-    A version that is there already isn't written again, so a repeated batch changes nothing."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Complete versions of a gallery: number to quoted batch id."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = Path(path)
+    fs, out = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), {}
+    for f in fs.listStatus(top) if fs.exists(top) else ():
+        found = re.fullmatch(r"v=(\d+)-(.+)", f.getPath().getName())
+        if found and fs.exists(Path(f.getPath(), "_SUCCESS")):
+            out[int(found[1])] = found[2]
+    return out
 
-    def there(v: int) -> bool:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/_SUCCESS")
-        return p.getFileSystem(conf).exists(p)
 
-    if not there(version):
-        rows = df
-        if version > 0 and there(version - 1):
-            rows = spark.read.schema(df.schema).parquet(f"{path}/v={version - 1}").unionByName(df)
+def upsert_gallery(df: DataFrame, path: str, batch_id: str, keys: tuple[str, ...] = ("subject_id", "finger_bit"), order: tuple[str, ...] = ("batch_id",)) -> DataFrame:
+    """SNK1. Adds a batch to the gallery and returns the gallery: the latest row of each key.
+
+    Each batch writes a new version, numbered after the last complete one and built on it, so none is ever
+    skipped; a batch whose id is there already is not applied again, whatever its rows. An interrupted write
+    leaves no complete version and is written anew. One writer at a time; rows with a null key share a key."""
+    spark, batch = df.sparkSession, quote(str(batch_id), safe="")
+    there = _versions(spark, path)
+    last = max(there, default=-1)
+    at = lambda v: spark.read.schema(df.schema).parquet(f"{path}/v={v}-{there[v]}")
+    if batch not in there.values():
+        rows = at(last).unionByName(df) if there else df
         rest = [c for c in df.columns if c not in keys]
-        rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*").select(df.columns).write.mode("overwrite").parquet(f"{path}/v={version}")
-    return spark.read.schema(df.schema).parquet(f"{path}/v={version}")
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*").select(df.columns)
+        last += 1
+        there[last] = batch
+        rows.write.mode("overwrite").parquet(f"{path}/v={last}-{batch}")
+    return at(last)

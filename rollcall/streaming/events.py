@@ -22,24 +22,28 @@ def _changes(col: str):
         import pandas as pd
 
         f = pd.concat(frames).sort_values(["ts", "seq"])
-        last, out = state.get if state.exists else (None, False), []
-        seen, value = bool(last[1]), last[0]
-        for i, v in enumerate(f[col]):
-            v = None if pd.isna(v) else v
-            if not seen or v != value:
-                out.append(i)
-            seen, value = True, v
-        state.update((value, True))
-        yield f.iloc[out][["device_id", "ts", "seq", col]]
+        now = f[col].astype(object).where(f[col].notna(), None)
+        before = now.shift(1)
+        new = now.ne(before) & ~(now.isna() & before.isna())
+        start = state.get[0] if state.exists else f["first"].iloc[0]
+        known = state.exists or bool(f.known.iloc[0])
+        new.iloc[0] = not known or (None if pd.isna(start) else start) != now.iloc[0]
+        state.update((now.iloc[-1],))
+        yield f[new][["device_id", "ts", "seq", col]]
 
     return go
 
 
-def stream_changes(events: DataFrame, col: str = "kind") -> DataFrame:
-    """R2. Rows of a device whose value differs from the one before; append mode, one small state a device."""
+def stream_changes(events: DataFrame, col: str = "kind", current: DataFrame | None = None) -> DataFrame:
+    """R2. Rows of a device whose value differs from the one before; append mode, one small state a device.
+    With `current` (device_id, value; static) a device starts from its value there, or from null."""
     x = events.select("device_id", "ts", "seq", F.col(col).cast("string").alias(col))
+    if current is None:
+        x = x.withColumn("first", F.lit(None).cast("string")).withColumn("known", F.lit(False))
+    else:
+        x = x.join(current.select("device_id", F.col("value").cast("string").alias("first")), "device_id", "left").withColumn("known", F.lit(True))
     schema = f"device_id long, ts timestamp, seq long, {col} string"
-    return x.groupBy("device_id").applyInPandasWithState(_changes(col), schema, "value string, seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return x.groupBy("device_id").applyInPandasWithState(_changes(col), schema, "value string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_enrollments(batches: DataFrame, delay: str) -> DataFrame:
@@ -63,16 +67,15 @@ def _debounce(ms: int):
             state.remove()
             yield pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind)], columns=columns)
             return
-        f = pd.concat(frames).sort_values(["ts", "seq"])
-        held, out = state.get if state.exists else None, []
-        for ts, seq, kind in zip(f.ts, f.seq, f.kind):
-            us = ts.value // 1000
-            if held is not None and us - held[0] >= ms * 1000:
-                out.append((key[0], pd.Timestamp(held[0], unit="us"), held[1], held[2]))
-            held = (us, seq, kind)
+        f = pd.concat(frames)[columns].sort_values(["ts", "seq"])
+        if state.exists:
+            us, seq, kind = state.get
+            f = pd.concat([pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind)], columns=columns).astype(f.dtypes), f])
+        quiet = f.ts.shift(-1) - f.ts >= pd.Timedelta(ms, "ms")  # the last event's gap isn't known yet: it is held
+        held = (f.ts.iloc[-1].value // 1000, int(f.seq.iloc[-1]), f.kind.iloc[-1])
         state.update(held)
         state.setTimeoutTimestamp(max(held[0] // 1000 + ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
+        yield f[quiet]
 
     return go
 
@@ -95,10 +98,17 @@ def stream_identify(probes: DataFrame, gallery: DataFrame, threshold: float) ->
     return run_available(probes, "append", lambda batch: identify(batch, gallery, threshold))
 
 
-def stream_kv(log: DataFrame, key: str) -> DataFrame:
-    """R8. The first value of a preference and each change of it, by namespace."""
+def stream_kv(log: DataFrame, key: str, current: DataFrame | None = None) -> DataFrame:
+    """R8. Each change of a preference, by namespace: from its first value on or, with `current` (ns, value: W7's rows
+    of the key before the stream starts), from the value there."""
     x = log.where(F.col("key") == key).select(F.col("ns").alias("device_id"), "ts", "seq", F.when(~F.col("deleted"), F.col("value")).alias("value"))
-    return stream_changes(x, "value")
+    return stream_changes(x, "value", None if current is None else current.select(F.col("ns").alias("device_id"), "value"))
+
+
+def observe_kv(log: DataFrame, key: str, current: DataFrame) -> DataFrame:
+    """R8. The current value of every namespace that has one (without ts and seq), then the changes that the stream brings."""
+    first = current.select(F.col("ns").cast("long").alias("device_id"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq"), F.col("value").cast("string").alias("value"))
+    return first.unionByName(run_available(stream_kv(log, key, current), "append"))
 
 
 def stream_capture_gate(captures: DataFrame, min_quality: int, min_liveness: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import codes
 from rollcall.operators import accounts, attendance, captures, devices, enrollment, matching, prefs
+from rollcall.sources import tables
 
 
 def test_capture_contract(spark):
@@ -18,9 +19,9 @@ def test_finger_masks_round_trip(spark):
 
 
 def test_status(spark):
-    df = spark.createDataFrame([(0,), (-6,), (302,), (-9999,), (514,), (None,)], "code INT")
+    df = spark.createDataFrame([(0,), (-6,), (302,), (-9999,), (514,), (515,), (-400,), (-503,), (-502,), (None,)], "code INT")
     got = {r.code: (r.severity, r.family) for r in captures.classify_status(df, "code").collect()}
-    assert got == {0: ("OK", None), -6: ("ERROR", "general"), 302: ("WARNING", "acquisition"), -9999: ("ERROR", "general"), 514: ("WARNING", "area"), None: (None, None)}
+    assert got == {0: ("OK", None), -6: ("ERROR", "general"), 302: ("WARNING", "acquisition"), -9999: ("ERROR", "general"), 514: ("WARNING", "area"), 515: ("WARNING", "area"), -400: ("ERROR", "general"), -503: ("ERROR", "general"), -502: ("ERROR", "codec"), None: (None, None)}
 
 
 def test_decode_policies(spark):
@@ -38,6 +39,38 @@ def test_identify_without_gallery_and_ties(spark):
     assert matching.candidates(p, g, 1).first().template_id == 4
 
 
+def test_best_score_before_rounding(spark):
+    """A better template isn't lost to a lower id within the rounding; odd vectors take no part."""
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0])], "probe_id LONG, vector ARRAY<DOUBLE>")
+    g = spark.createDataFrame([(1, 1, [0.50001, 0.0]), (2, 2, [0.50003, 0.0]), (3, 3, [float("inf"), 0.0]), (4, 4, [None, 9.0]), (5, 5, []), (6, None, [0.1, 0.0])], "template_id LONG, subject_id INT, vector ARRAY<DOUBLE>")
+    got = {r.probe_id: (r.template_id, r.score, r.reason) for r in matching.identify(p, g, 0.5).collect()}
+    assert got == {1: (2, 0.5, None), 2: (None, 0.0, "NO_CANDIDATE"), 3: (None, 0.0, "NO_CANDIDATE"), 4: (None, 0.0, "NO_CANDIDATE")}
+    assert [r.template_id for r in matching.candidates(p, g, 5).orderBy("rank").collect()] == [2, 1, 6]
+    assert matching.cross_subject_duplicates(g, 0.2).collect()[0][:2] == (1, 2)
+
+
+def test_gallery_by_batch(spark, tmp_path):
+    def rows(*x):
+        return spark.createDataFrame(list(x), "subject_id INT, finger_bit INT, batch_id INT, v STRING")
+
+    path = str(tmp_path / "g")
+    tables.upsert_gallery(rows((1, 1, 1, "a")), path, "b1")
+    tables.upsert_gallery(rows((2, 1, 2, "b"), (1, 1, 2, "c")), path, "b 2/x")
+    assert tables.upsert_gallery(rows((9, 9, 9, "z")), path, "b1").count() == 2  # the batch is there already
+    got = tables.upsert_gallery(rows((3, 1, 3, "d")), path, "b3").collect()
+    assert sorted((r.subject_id, r.v) for r in got) == [(1, "c"), (2, "b"), (3, "d")]
+    (tmp_path / "g" / "v=2-b3" / "_SUCCESS").unlink()  # an interrupted write
+    assert tables.upsert_gallery(rows((3, 1, 3, "d")), path, "b3").count() == 3
+    for _ in range(2):
+        tables.write_rejects(spark.createDataFrame([(1, "X")], "id INT, reason STRING"), str(tmp_path / "r"), "a b")
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_listed_property(spark):
+    df = spark.createDataFrame([("50 100 150 200 250",), (" 10 10  10 10 1000",), ("9 100 150 200 250",), ("50 100",), ("50 x 1 2 3",), (None,)], "value STRING").withColumn("property", F.lit("WET_FINGER_DETECT_LEVEL_THRESHOLD"))
+    assert [r.verdict for r in devices.audit_properties(df).collect()] == ["OK", "OK", "OUT_OF_RANGE", "OUT_OF_RANGE", "NOT_NUMERIC", "NOT_NUMERIC"]
+
+
 def test_slots_and_outcomes(spark):
     ops = spark.createDataFrame([(1, 1, 1, "add", False), (1, 1, 2, "add", False), (1, 1, 3, "add", True), (1, 1, 4, "remove", False), (1, 2, 5, "add", False)], "session_id INT, finger_bit INT, seq INT, op STRING, force BOOLEAN")
     results, masks = enrollment.finger_slots(ops)
