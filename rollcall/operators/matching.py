@@ -201,6 +201,32 @@ def _in_buckets(rows: DataFrame, planes: int, tables: int) -> DataFrame:
     return rows.mapInPandas(go, f"{kinds}, t int, bucket long")
 
 
+def _by_bucket(matcher: Matcher | None):
+    """Rows sorted by key, a bucket's templates (side 0, of bounded number) before its probes, to the best for each probe."""
+
+    def go(frames):
+        import pandas as pd
+
+        now, held = None, []
+        for f in frames:
+            key, side = f.key.to_numpy(), f.side.to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1
+            out = []
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(f)]):
+                if key[a] != now:
+                    now, held = key[a], []
+                part = f.iloc[a:b]
+                if side[a] == 0:
+                    held = [*held, part]
+                elif held:
+                    held = [pd.concat(held)] if len(held) > 1 else held
+                    out.append(_match(part.rename(columns={"id": "probe_id"}), held[0].rename(columns={"id": "template_id"}), 1, matcher))
+            if out:
+                yield pd.concat(out)
+
+    return go
+
+
 def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, planes: int = LEAST_PLANES, tables: int = 9, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
     """J2. The answer of J1 over candidates that share a bucket with the probe in some table; compare with J1 for recall.
     Buckets of more than TEMPLATES templates are dealt out in chunks, each of which meets all probes of the bucket."""
@@ -208,11 +234,12 @@ def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, pl
     p = _in_buckets(valid(probes.select(F.col("probe_id").cast("long"), "vector")), planes, tables)
     g = _in_buckets(valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector")), planes, tables)
     hot = g.groupBy("t", "bucket").agg(F.ceil(F.count("*") / TEMPLATES).alias("chunks")).where("chunks > 1")
-    keys, chunks = ["t", "bucket", "chunk"], F.expr("coalesce(chunks, 1)")
+    chunks = F.expr("coalesce(chunks, 1)")
     every, own = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)), F.pmod(F.xxhash64("template_id"), chunks).cast("long")
-    p = p.join(hot, ["t", "bucket"], "left").select("probe_id", "vector", "t", "bucket", every.alias("chunk"))
-    g = g.join(hot, ["t", "bucket"], "left").select("template_id", "subject_id", "vector", "t", "bucket", own.alias("chunk"))
-    found = p.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInPandas(lambda a, b: _match(a, b, 1, matcher), FOUND)
+    none, key = F.lit(None).cast("long").alias("subject_id"), F.xxhash64("t", "bucket", "chunk", F.size("vector")).alias("key")  # a collision only adds comparisons
+    p = p.join(hot, ["t", "bucket"], "left").select("probe_id", "vector", "t", "bucket", every.alias("chunk")).select(key, F.lit(1).alias("side"), F.col("probe_id").alias("id"), none, "vector")
+    g = g.join(hot, ["t", "bucket"], "left").select("template_id", "subject_id", "vector", "t", "bucket", own.alias("chunk")).select(key, F.lit(0).alias("side"), F.col("template_id").alias("id"), "subject_id", "vector")
+    found = g.unionByName(p).repartition("key").sortWithinPartitions("key", "side").mapInPandas(_by_bucket(matcher), FOUND)
     return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
 
 
