@@ -34,24 +34,80 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+_run: dict[str, str] = {}
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def run_folder(spark: SparkSession) -> str:
+    """One folder under the shared one for all tables of this driver; it goes when the driver ends."""
+    top = shared_folder(spark)
+    if top not in _run:
+        _run[top] = f"{top}/llm-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, _run[top])
+    return _run[top]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the session has ended already: the folder stays for whoever clears the shared one
+        pass
+
+
 def keep(df: DataFrame, name: str, *, sort: list[str] | None = None, options: dict | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}-{name}"
     if sort:
         df = df.sortWithinPartitions(*sort)
     df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    _kept.append((spark, path))
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables that keep() wrote, once nothing reads them any more."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.kept_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.kept_at)
+
+
+def mark() -> int:
+    return len(_kept)
+
+
+def release(since: int) -> None:
+    """Delete the tables kept since mark(), once what was made of them is written elsewhere."""
+    while len(_kept) > since:
+        _delete(*_kept.pop())
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, stored, with a number of their own in `__row`: decisions are joined back by it, so rows that
+    repeat an id or are equal in all columns stay apart."""
+    return keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but the number: it orders rows that are alike otherwise the same way in every run."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "__row"])
+
+
+#: Decisions on fewer rows than this are broadcast to where the texts lie (16 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def by_row(rows: DataFrame, decided: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with `decided`, which has `__row` once. Texts are shuffled only if there are too many decisions to broadcast."""
+    few = decided.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(decided) if few else decided, "__row", how)
 
 
 def ascii_lower(c: Column) -> Column:

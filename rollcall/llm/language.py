@@ -1,6 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
-Text: log-likelihoods of hashed byte trigrams under one model a language, counted over all labelled rows.
+Text: log-likelihoods of hashed byte trigrams under one model a language, counted over all labelled rows. A-Z
+are lower-cased, digits count as spaces, and a space stands at both ends, so that short texts have trigrams too.
 Declaration: the lang attribute of markup, weighed by how often each declared language goes with each
 language of the text. Address: priors of hosts, shrunk to those of their domain, these to those of
 the address suffix, these to the overall shares; all are grouped sums of the texts' own posteriors,
@@ -9,8 +10,8 @@ and a row's own part is taken out of its host's sum. The posterior is the produc
 A row is rejected (lang null, accepted false) if its text has no letters, if no language makes a quarter of
 its trigrams likelier than noise would, or if none gets half of the posterior. Nulls: a null text counts as empty; without
 declaration, address or host that evidence is left out. Every label with a trigram in its rows is
-modelled, by GRAMS numbers, which the driver and each task hold; without any, every row is rejected. Rows that repeat an id are separate rows. An
-empty table gives an empty result. Further columns are ignored.
+modelled, by GRAMS numbers, which the driver and each task hold; without any, every row is rejected. Rows that repeat an id
+are separate rows. Markup that isn't closed is read as text. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,20 +20,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, keep, slices, small_batches, texts
+from .common import by_row, join_unique, keep, numbered, slices, small_batches, texts
 
 GRAMS, TEMPER, SHRINK, LEAST, FIT = 1 << 15, 0.3, 8.0, 0.5, 0.25
-BROADCAST_HOSTS, BROADCAST_WEIGHTS = 20_000, 2_000_000
+#: Numbers in a table of hosts or of declarations (rows times languages) that is broadcast at most.
+BROADCAST = 2_000_000
 #: Languages that a task counts before it hands them on.
 COUNTED = 256
 
 
+#: Lower-cases A-Z and makes digits spaces.
+FOLD = bytes(32 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def grams(text: bytes) -> np.ndarray:
-    a = np.frombuffer(text.lower(), np.uint8).astype(np.int32)
-    if len(a) < 3:
-        return np.zeros(0, np.int32)
-    word = (a < 48) | (a > 57)  # digits say nothing about the language
-    return (((a[:-2] * 7919 + a[1:-1] * 271 + a[2:]) * 40503 >> 3) & (GRAMS - 1))[word[:-2] & word[1:-1] & word[2:]]
+    """Hashed trigrams that hold a letter (a byte of 64 or more)."""
+    a = np.frombuffer(b" " + text.translate(FOLD) + b" ", np.uint8)
+    x, y, z = a[:-2], a[1:-1], a[2:]
+    own = (x | y | z) >= 64
+    h = (x.astype(np.int32) * 7919 + y.astype(np.int32) * 271 + z) * 40503
+    return ((h >> 3) & (GRAMS - 1))[own]
 
 
 def _has_letters(text: bytes) -> bool:
@@ -80,13 +87,20 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
                 held[lang] += np.bincount(grams(t), minlength=GRAMS)
         yield from out()
 
+    def whole(frame):  # one language: GRAMS rows at most
+        import pandas as pd
+
+        h = np.zeros(GRAMS)
+        h[frame.gram.to_numpy()] = frame.c.to_numpy()
+        return pd.DataFrame({"lang": frame.lang.iloc[:1], "c": [h.tobytes()]})
+
     sums = rows.mapInArrow(go, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    found = sums.groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("c").alias("c")).collect() if n else []  # GRAMS numbers a language
+    found = sums.groupBy("lang").applyInPandas(whole, "lang string, c binary").collect() if n else []  # GRAMS numbers a language
     langs = sorted(r.lang for r in found)
     counts = np.zeros((len(langs), GRAMS))
     place = {x: i for i, x in enumerate(langs)}
     for r in found:
-        counts[place[r.lang], r.g] = r.c
+        counts[place[r.lang]] = np.frombuffer(r.c)
     share = np.array([n[x] for x in langs], float)
     return Model(langs, counts, share / max(share.sum(), 1))
 
@@ -97,7 +111,19 @@ def declared_language(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    """A page without comments, scripts, styles and tags. Openings without an end are no markup; the page is gone
+    through once for each kind: it is cut at the openings, so that no search for an end runs past the next opening."""
+    for opening, end in ((r"<!--", "-->"), (r"(?i)<script\b", r"(?i)</script\s*>"), (r"(?i)<style\b", r"(?i)</style\s*>")):
+        parts = F.split(html, opening)
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: _after(x, end))
+        html = F.when(F.size(parts) > 1, F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(html)
+    return F.regexp_replace(html, r"<[^<>]*>", " ")
+
+
+def _after(part: Column, end: str) -> Column:
+    """What stands behind the first end in a part; all of it if there is no end."""
+    found = F.split(part, end, 2)
+    return F.concat(F.lit(" "), F.when(F.size(found) > 1, F.element_at(found, 2)).otherwise(part))
 
 
 def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column | None = None, url: Column | None = None, host: Column | None = None, carry: list[Column] = ()) -> DataFrame:
@@ -108,14 +134,13 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     carried = [c.alias(f"_{i}") for i, c in enumerate(carry)]
 
     base = small_batches(rows).select(*carried, text.cast("binary").alias("_text"), (declared if declared is not None else null).alias("declared"), name.alias("_host"))
-    base = base.withColumn("_ll", _likelihood(model)(F.col("_text"))).drop("_text")
-    # the likelihoods are needed twice, for the priors and for the posteriors: they are stored, unless whole rows are carried
-    kept = keep(base, "likelihoods") if len(carried) == 1 else base
+    # the likelihoods are needed twice, for the priors and for the posteriors
+    kept = keep(base.withColumn("_ll", _likelihood(model, rows.sparkSession)(F.col("_text"))).drop("_text"), "likelihoods")
 
     ll = F.slice("_ll", 1, max(L, 1))
     n = F.element_at("_ll", L + 1)
     log_share = F.array(*[F.lit(float(np.log(max(x, 1e-12)))) for x in model.share]) if L else F.array(F.lit(0.0))
-    raw = F.transform(ll, lambda x: x * F.least(n, F.lit(2000.0)) * TEMPER)
+    raw = F.transform(ll, lambda x: x * n * TEMPER)
 
     def softmax(a: Column) -> Column:
         e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
@@ -133,12 +158,16 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     address = F.split(F.substring("_key", 2, 1 << 20), r"\.")
     dotted = F.size(address) > 1
     hosts = hosts.withColumn("domain", F.when(dotted, F.concat_ws(".", F.slice(address, -2, 2))).otherwise(F.lit(""))).withColumn("suffix", F.when(dotted, F.element_at(address, -1)).otherwise(F.lit("")))
-    up = lambda t, k: t.groupBy(k).agg(array([F.sum(F.col("s")[i]) for i in range(L)]).alias(f"{k}_s"))
+    up = lambda t, k: t.groupBy(k).agg(array([F.sum(F.col("s")[i]) for i in range(L)]).alias(f"{k}_s"), F.count("*").alias(f"{k}_n"))
     shrink = lambda own, above: F.zip_with(own, above, lambda a, b: (a + SHRINK * b) / (F.aggregate(own, F.lit(0.0), lambda s, y: s + y) + SHRINK))
     overall = hosts.agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0.0)) for i in range(L)]).first()
     total = sum(overall) or 1.0
     top = F.array(*[F.lit((x + 1.0 / L) / (total + 1.0)) for x in overall])
-    above = hosts.join(up(hosts, "suffix"), "suffix").join(up(hosts, "domain"), "domain")
+    few = hosts.count() * L <= BROADCAST
+    above = hosts
+    for k in ("suffix", "domain"):  # neither has more rows than hosts
+        sums_ = up(hosts, k)
+        above = above.join(F.broadcast(sums_.drop(f"{k}_n")), k) if few else join_unique(above, sums_, k, f"{k}_n", hosts.count()).drop(f"{k}_n")
     above = above.withColumn("above", shrink(F.col("domain_s"), shrink(F.col("suffix_s"), top))).select("_key", "n", "s", "above")
 
     # how often a declared language goes with a language of the text
@@ -147,13 +176,13 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     codes = pairs.count()
     weight = F.zip_with("c", F.array(*[F.lit(float(x + 0.5 * max(1, codes))) for x in overall]), lambda a, b: F.log((a + 0.5) / b))
     weights = pairs.select("declared", "k", weight.alias("_told"))
-    if codes * L <= BROADCAST_WEIGHTS:
+    if codes * L <= BROADCAST:
         q = q.join(F.broadcast(weights.drop("k")), "declared", "left")
     else:
         said = int(pairs.agg(F.sum("k")).first()[0] or 0)
         q = join_unique(q.where("declared is not null"), weights, "declared", "k", said).drop("k").unionByName(q.where("declared is null"), allowMissingColumns=True)
 
-    if hosts.count() <= BROADCAST_HOSTS:
+    if few:
         joined = q.join(F.broadcast(above), "_key")
     else:
         joined = join_unique(q, above, "_key", "n", int(hosts.agg(F.sum("n")).first()[0] or 0))
@@ -171,14 +200,16 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
         F.when(F.col("_on"), best(F.col("_q"))).alias("text_lang"), "declared", "accepted")
 
 
-def _likelihood(model: Model):
+def _likelihood(model: Model, spark):
     from collections.abc import Iterator
 
     import pandas as pd
 
+    shared = spark.sparkContext.broadcast(model)
+
     def go(frames):
         for s in frames:
-            yield pd.Series([model.likelihood(t or b"") for t in s])
+            yield pd.Series([shared.value.likelihood(t or b"") for t in s])
 
     go.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
 
@@ -201,5 +232,7 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The input's rows that are not rejected."""
-    found = identify(docs, train(docs), F.col("text"), declared=declared_language(F.col("text")), host=F.col("source"), carry=[F.col(f"`{c}`") for c in docs.columns])
-    return found.where("accepted").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = numbered(docs)
+    found = identify(rows, train(rows), F.col("text"), declared=declared_language(F.col("text")), host=F.col("source"), carry=[F.col("__row")])
+    gone = keep(found.where(~F.col("accepted")).select(F.col("_0").alias("__row")), "gone")
+    return by_row(rows, gone, "left_anti").select(docs.columns)

@@ -7,7 +7,8 @@ is an inclusion probability. The flight phase moves the probabilities of a block
 the null space of two constraints (words and documents) until two at most are fractional; those
 left of all blocks form new blocks, until a source has one block, whose last two are landed on the
 side that leaves the word total nearest; up to four other units of it may change sides for that. Blocks hold about BLOCK documents each, so a large source
-is spread over many tasks, and the order within a block is a hash, so that reruns agree.
+is spread over many tasks, and the order within a block is a hash of the row's content, so that reruns agree. Only
+where more than a block's rows are equal in id, source and text does the hash take in their number, to spread them.
 
 Nulls: a null text has size 0, a null source is a source. Rows that repeat a doc_id are separate
 rows; one of size 0 takes nothing. An empty table gives an empty result. Further columns are ignored.
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_unique, keep, n_words
+from .common import by_row, drop, join_unique, keep, n_words, numbered
 
 WEIGHTS, LIMIT, BLOCK = (1, 2, 3), 3, 2000
 
@@ -92,7 +93,7 @@ def fly(p: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _block(frame, last: bool):
-    f = frame.sort_values(["h", "doc_id", "size"], kind="stable")
+    f = frame.sort_values(["h", "doc_id", "size", "rid"], kind="stable")
     p, size = f.p.to_numpy(), f["size"].to_numpy()
     out = fly(p, size, int(f.h.iloc[0]) & 0x7FFFFFFF)
     if last:
@@ -122,19 +123,23 @@ def _mover(columns: list[str], last: bool):
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken, text_hash."""
+    """One row per document: doc_id, size, source_size, target, copies, taken, rid (its number, if docs are numbered)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = keep(docs.select(F.col("doc_id").cast("long"), n_words(text).alias("size"), _source_key(F.col("source")).alias("source_key"), F.xxhash64(text).alias("text_hash")), "sizes")
+    rid = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), n_words(text).alias("size"), _source_key(F.col("source")).alias("source_key"), F.xxhash64(text).alias("text_hash"), rid.alias("rid"))
+    rows = keep(rows.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id", "size", "text_hash")).drop("text_hash"), "sizes")
     goal = keep(targets(rows.groupBy("source_key").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))), "targets")
     total = rows.count()
+    many = keep(rows.groupBy("h", "source_key").count().where(F.col("count") > block).select("h", "source_key", F.lit(True).alias("many")), "many")
+    if not many.isEmpty():
+        rows = rows.join(many, ["h", "source_key"], "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "rid")).otherwise(F.col("h"))).drop("many")
     joined = join_unique(rows, goal, "source_key", "n", total)
     joined = joined.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    joined = joined.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id", "size", "text_hash"))
-    columns = ["doc_id", "size", "source_key", "text_hash", "source_size", "target", "whole", "h", "p"]
+    columns = ["doc_id", "size", "source_key", "rid", "source_size", "target", "whole", "h", "p"]
     done, now, most = [], joined, goal.agg(F.max("n")).first()[0] or 0
     while True:
         blocks = F.ceil(F.col("n") / block)
-        schema = "doc_id long, size long, source_key string, text_hash long, source_size long, target double, whole long, h long, p double"
+        schema = "doc_id long, size long, source_key string, rid long, source_size long, target double, whole long, h long, p double"
         last = most <= block
         part = F.pmod(F.xxhash64("h", F.lit(len(done))), blocks).alias("part")
         moved = keep(now.select(*columns, part).groupBy("source_key", "part").applyInPandas(_mover(columns, last), schema), "flight")
@@ -150,15 +155,11 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.col("p").cast("long")).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), "text_hash")
+    return out.select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), "rid")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The input's rows, each as often as the mix takes it. Rows that agree in doc_id and text count together."""
-    def key(id_, hash_):
-        return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), hash_.cast("string"))
-
-    taken = mix(docs).select(key(F.col("doc_id"), F.col("text_hash")).alias("__key"), "copies")
-    taken = taken.groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.withColumn("__key", key(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return rows.join(taken, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """The input's rows, each as often as the mix takes that row."""
+    rows = numbered(docs)
+    taken = keep(mix(rows).where("copies > 0").select(F.col("rid").alias("__row"), F.col("copies").cast("int").alias("__copies")), "taken")
+    return by_row(rows, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

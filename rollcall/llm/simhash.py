@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_unique, keep, runs, slices, small_batches, texts
+from .common import by_row, drop, join_unique, keep, numbered, row_hash, runs, slices, small_batches, texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 ONE = np.uint64(1)
@@ -51,13 +51,15 @@ def _print_batches(batches):
 
     for b in slices(batches):
         h = np.array([fingerprint(t) for t in texts(b)], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.view(np.int64))], ["doc_id", "fp"])
+        rest = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, rest), pa.array(h.view(np.int64))], [*rest, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(_print_batches, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long); of numbered rows also their number and hash."""
+    more = [F.col("__row"), row_hash(docs).alias("h")] if "__row" in docs.columns else []
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), *more, F.col("text").cast("binary"))
+    return rows.mapInArrow(_print_batches, "doc_id long, " + "__row long, h long, " * bool(more) + "fp long")
 
 
 # -- the plan: partitions of bits, thresholds
@@ -169,8 +171,25 @@ def plan(prints: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]
 # -- probing and verification
 
 
-def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links within one bucket, by breadth-first search over what isn't reached yet."""
+def _forest(fp: np.ndarray, radius: int, least: int = 2048) -> np.ndarray:
+    """Links (pairs of places) that connect what links within one bucket of distinct fingerprints connect. Small buckets: a
+    spanning forest by breadth-first search over what isn't reached yet. In large ones the bits that vary are dealt into
+    radius + 1 groups, of which two fingerprints within the radius share one, and each group's values are solved alone."""
+    if len(fp) > least:
+        varies = int(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
+        bits, edges = [b for b in range(64) if varies >> b & 1], []
+        for g in range(radius + 1):
+            value = gather(fp, bits[g :: radius + 1])
+            order = np.argsort(value, kind="stable")
+            cuts = np.flatnonzero(np.diff(value[order])) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(order)]):
+                if b - a > 1:
+                    edges.append(order[a:b][_search(fp[order[a:b]], radius)])
+        return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    return _search(fp, radius)
+
+
+def _search(fp: np.ndarray, radius: int) -> np.ndarray:
     edges, rest = [], np.arange(len(fp))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
@@ -179,10 +198,10 @@ def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
             if near.any():
                 got = rest[near]
-                edges += [(at, x) for x in got]
+                edges.append(np.column_stack([np.full(len(got), at), got]))
                 queue += list(got)
                 rest = rest[~near]
-    return edges
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
 def _verify(radius: int):
@@ -200,7 +219,7 @@ def _verify(radius: int):
                 a.append(fp[hit])
                 b.append(fp[hit + lag])
             for s, k in zip(starts[sizes > 16], sizes[sizes > 16]):
-                edges = np.array(_forest(fp[s : s + k], radius), np.int64).reshape(-1, 2)
+                edges = _forest(fp[s : s + k], radius)
                 a.append(fp[s : s + k][edges[:, 0]])
                 b.append(fp[s : s + k][edges[:, 1]])
             if a:
@@ -255,16 +274,25 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1000) -> DataFra
     return dealt.mapInPandas(_verify(radius), "a long, b long")
 
 
+#: Above so many edges, the nodes of a giant component are joined by a broadcast instead of a shuffle by node.
+EDGES = 1_000_000
+
+
+def _join(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    return left.join(right, key) if total <= EDGES else join_unique(left, right, key, count, total)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of edges(a < b): alternating large and
     small stars; each round is written to the shared folder."""
     now = keep(edges.select("a", "b").distinct(), "edges")
     while True:
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _join(both, least, "a", "n", total).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = _join(large, least, "b", "n", total).select("m", F.explode(F.array("a", "b")).alias("b"))
         new = keep(small.where("m < b").select(F.col("m").alias("a"), "b").distinct(), "edges")
         same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         drop(now)
@@ -273,23 +301,28 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _labelled(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, n (rows that have it), root (of its component), component_id."""
+    nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), radius))
+    label = keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    least = label.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    return keep(_join(label, least, "root", "nodes", label.count()).select("fp", "n", "root", "component_id"), "labels")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row."""
     rows = keep(fingerprints(docs), "prints")
-    nodes = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    label = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    least = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = keep(label.join(least, "root").select("fp", "n", "component_id"), "labels")
-    total = rows.count()
-    found = join_unique(rows, label, "fp", "n", total)
+    found = join_unique(rows, _labelled(rows, radius), "fp", "n", rows.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The input's rows whose doc_id is that of their component; of rows that repeat a doc_id, one. A
-    component without any doc_id keeps its rows."""
-    stays = near_duplicates(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).join(stays, "__id", "left_semi")
-    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["__id"])
-    return named.unionByName(rows.where(F.col("doc_id").isNull())).select(docs.columns)
+    """One row of each component, with all its columns: that with the smallest doc_id (null last), of equal ones the
+    smallest hash of the whole row, then the first. Rows that repeat a doc_id with other text are rows of their own."""
+    rows = numbered(docs)
+    prints = keep(fingerprints(rows), "prints")
+    found = join_unique(prints, _labelled(prints, RADIUS), "fp", "n", prints.count())
+    first = found.groupBy("root").agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "h", "__row")).alias("__row"))
+    gone = keep(prints.select("__row").join(first.select("__row"), "__row", "left_anti"), "gone")
+    return by_row(rows, gone, "left_anti").select(docs.columns)

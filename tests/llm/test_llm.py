@@ -138,6 +138,38 @@ def test_simhash_odd(odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
 
 
+def test_kept_rows_of_repeated_ids(spark):
+    """A doc_id that repeats with other text loses neither text, and reruns keep the same rows."""
+    some = [f"word{i} other{i} thing{i} and so on {i * 7} times" for i in range(9)]
+    rows = [(1, some[0], "a"), (1, some[1], "b"), (2, some[0], "c"), (3, some[2], "x"), (3, some[2], "y"), (None, some[3], "n"), (None, some[3], "m"), (4, some[3].upper(), "z")]
+    made = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    for module, want in ((simhash, {(1, some[0]), (1, some[1]), (3, some[2]), (4, some[3].upper())}), (exact_dedup, {(2, some[0]), (1, some[1]), (3, some[2]), (4, some[3].upper())})):
+        got = [sorted(map(tuple, module.kept_documents(made.repartition(n)).collect())) for n in (1, 3)]
+        assert got[0] == got[1] and {r[:2] for r in got[0]} == want and len(got[0]) == 4
+
+
+def test_large_buckets(spark):
+    """A bucket that is solved by further partitions within its task links what plain search links."""
+    r = np.random.default_rng(4)
+    fp = r.integers(0, 1 << 14, 3000).astype(np.uint64)
+    fp = np.unique(np.concatenate([fp, fp[:500] ^ np.uint64(1 << 40), fp[:500] ^ np.uint64((1 << 41) + (1 << 20))]) | np.uint64(0xABC << 50))
+
+    def roots(edges):
+        top = list(range(len(fp)))
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        return [find(x) for x in range(len(fp))]
+
+    assert roots(simhash._forest(fp, 3, least=50)) == roots(simhash._search(fp, 3))
+
+
 def test_thresholds_add_up():
     assert sum(simhash.allocate([[0, 9, 20, 40]] * 3, 1)) == 1
     assert simhash.allocate([[0, 100, 200], [0, 1, 2]], 0) == [-1, 1]
@@ -185,6 +217,20 @@ def test_mixing_blocks_and_odd(spark, odd, docs):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_rows(spark):
+    """Every row comes as often as the mix takes that row, equal rows too, many of them in one block or not."""
+    rows = [(1, "one two three four five six seven", "a")] * 40 + [(i, "w " * (1 + i % 9), "b" if i % 3 else None) for i in range(2, 60)]
+    made = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    mixed = mixing.mixed_documents(made)
+    delivered = sum(len(r.text.split()) for r in mixed.collect())
+    assert mixed.columns == made.columns and delivered == sum(r.taken for r in mixing.mix(made).collect())
+    for block in (5, 2000):
+        got = mixing.mix(made, block).collect()
+        assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+        a = [r for r in got if r.doc_id == 1]
+        assert abs(sum(r.taken for r in a) - a[0].target) <= (7 if block > 100 else 40)
+
+
 def test_flight_keeps_totals():
     r = np.random.default_rng(0)
     p, size = r.random(500), r.integers(1, 900, 500)
@@ -475,8 +521,63 @@ def test_language(docs, spark, odd):
     assert (1, False) in out and (2, False) in out and (7, False) in out and (3, True) in out
     assert language.identify_documents(odd.limit(0)).count() == 0
     assert language.accepted_documents(odd).columns == odd.columns
-    pages = queries.pages_language(spark, DATA).collect()
-    assert sum(r.lang == r.declared for r in pages) > 0.9 * len(pages)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    told = {r.page_id: r.declared for r in queries.pages_language(spark, DATA).collect()}
+    hidden = pages.withColumn("html", F.regexp_replace("html", r"(?i)\blang\s*=\s*[\"']?[a-z-]+", ""))  # the text and the address alone
+    got = language.identify_pages(hidden, language.train(docs)).collect()
+    assert all(r.declared is None for r in got) and sum(r.lang == told[r.page_id] for r in got if told[r.page_id]) > 0.9 * len(got)
+
+
+def test_short_texts_and_markup(spark, docs):
+    """Texts of few letters, or with digits everywhere, are decided; open markup costs no more than its length."""
+    model = language.train(docs)
+    some = {r.lang: r.text for r in docs.collect()}
+    a = sorted(some)[0]
+    short = [w for w in some[a].split() if w.isalpha() and len(w) <= 3][0]
+    made = spark.createDataFrame([(i, t, "h") for i, t in enumerate([some[a]] * 20 + [short, "a1 b2 c3", "1 2 3", "-"])], "doc_id LONG, text STRING, source STRING")
+    got = {r.doc_id: r for r in language.identify_documents(made, model).collect()}
+    assert got[20].lang == a and got[21].text_lang is not None and got[22].lang is None and got[23].lang is None
+    html = "<html lang='en'><script>x<y</script><p>One <b>two</b> <!-- no --> three<style>p{}</style></p>"
+    odd = [html, None, "", "<!--" * 50_000 + "end", "<script>" * 30_000 + "end", "<" * 200_000 + "end", "a <!-- b"]
+    pages = spark.createDataFrame([(i, None if i % 2 else "http://x.org/", h) for i, h in enumerate(odd)], "page_id LONG, url STRING, html STRING")
+    texts = [r[0] for r in pages.select(language.visible_text(F.col("html"))).collect()]
+    assert texts[0].split() == ["One", "two", "three"] and texts[1] is None and all(t.endswith("end") for t in texts[3:6]) and "b" in texts[6]
+    assert language.identify_pages(pages, model).count() == len(odd)
+
+
+def slow_fusion(rows, model, temper=language.TEMPER, shrink=language.SHRINK):
+    """Posteriors of (text, declared, host) by loops."""
+    L = len(model.langs)
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    ll = [model.likelihood(t.encode()) for t, _, _ in rows]
+    raw = [x[:L] * x[L] * temper for x in ll]
+    q = [soft(x + np.log(np.maximum(model.share, 1e-12))) for x in raw]
+    on = [x[L] > 0 for x in ll]
+    add = lambda keep_: sum((v for v, o, r in zip(q, on, rows) if o and keep_(r)), np.zeros(L))
+    parts = lambda h: (".".join(h.split(".")[-2:]), h.split(".")[-1]) if h and "." in h else ("", "")
+    overall = add(lambda r: True)
+    top = (overall + 1 / L) / ((overall.sum() or 1) + 1)
+    codes = {d for (_, d, _), o in zip(rows, on) if o and d}
+    out = []
+    for x, v, o, (_, d, h) in zip(raw, q, on, rows):
+        s, dom, suf = add(lambda r: r[2] == h), add(lambda r: parts(r[2])[0] == parts(h)[0]), add(lambda r: parts(r[2])[1] == parts(h)[1])
+        mix = lambda own, above: (own + shrink * above) / (own.sum() + shrink)
+        prior = mix(np.maximum(s - v * o, 0), mix(dom, mix(suf, top)))
+        told = np.log((add(lambda r: r[1] == d) + 0.5) / (overall + 0.5 * max(1, len(codes)))) if d in codes else np.zeros(L)
+        out.append(soft(x + np.log(prior + 1e-9) + told).max() if o else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_fusion_by_loops(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(language, "BROADCAST", most)
+    some = docs.limit(60).collect()
+    model = language.train(docs)
+    hosts = ["a.x.org", "b.x.org", "x.org", "y.de", "z", None]
+    rows = [(r.text[: 5 + 7 * i], [None, "en", "de", "qq"][i % 4], hosts[i % 6]) for i, r in enumerate(some)]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id LONG, text STRING, said STRING, source STRING")
+    got = {r[0]: r.posterior for r in language.identify(made, model, F.col("text"), declared=F.col("said"), host=F.col("source"), carry=[F.col("doc_id")]).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(slow_fusion(rows, model), abs=1e-6)
 
 
 def test_rare_language(spark, docs):
@@ -495,7 +596,7 @@ def test_rare_language(spark, docs):
 
 @pytest.mark.parametrize("most", [0, 2_000_000])
 def test_many_declared_languages(spark, docs, monkeypatch, most):
-    monkeypatch.setattr(language, "BROADCAST_WEIGHTS", most)
+    monkeypatch.setattr(language, "BROADCAST", most)
     model = language.train(docs)
     some = {r.lang: r.text[:200] for r in docs.collect()}
     a, b = sorted(some)[:2]
