@@ -2,7 +2,8 @@
 
 Counting: words of all training documents are counted by a grouped sum; N, V and the add-one base
 score come from there. The FREQUENT most frequent words go to the tasks as a dictionary of bounded
-size; all other words of a document are joined with the counts by a shuffle.
+size; all other words of a document are joined with the counts by a shuffle. A second pass over the texts
+stores every document as symbols of two bytes, and training and scoring read those.
 
 Model: a token's class comes from a softmax over the GRU's state. The WORDS most frequent words and
 the end lie in classes of SLOTS words, each with a softmax of its own; every other word lies in one
@@ -11,8 +12,9 @@ count plus one (a word never seen counts 0). The network is trained on all train
 task runs truncated backpropagation in numpy on its own documents from the round's weights, and the tasks'
 weights are averaged by tokens. A round takes 1/ROUNDS of the documents; tables of fewer than EPOCHS *
 TRAIN_TOKENS tokens are gone through again, EPOCHS times at most. Classes' and words' biases start from the
-counts of all training documents. The weights, and so the scores, depend on how rows lie in partitions. Scoring fills lanes with whole documents one after the other; the state is carried across
-windows and set to zero where a document starts, so a text of any length is scored whole.
+counts of all training documents. The weights, and so the scores, depend on how rows lie in partitions. Scoring fills
+lanes with whole documents one after the other; the state is carried across windows and set to zero where a document
+starts, so a text of any length is scored whole.
 
 Nulls: a null text counts as empty, which is the end token alone; a null doc_id is not held out. Rows
 that repeat a doc_id are separate rows. Without training documents every count is 0. An empty table
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, keep, slices, small_batches, texts
 
 END = b""  # no word is empty
-WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 96, 24
+WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 48, 24
 FREQUENT, TRAIN_TOKENS, EPOCHS, ROUNDS = 150_000, 400_000, 3, 4
-#: Tokens of documents that a task trains on at a time, and weights in a row of their sums.
-HELD, CHUNK = 200_000, 2048
+#: Tokens of documents that a task trains on and scores at a time, lanes of training, and weights in a row of their sums.
+HELD, SCORED, LANES, CHUNK = 600_000, 1_000_000, 256, 2048
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -102,17 +104,10 @@ class Lexicon:
             cls[rare] = [self.groups + ending(w) for w in others]
         return n, cls, others
 
-    def inputs(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """The network's input symbols: 0 start, then known words, then classes of other words."""
-        own = np.where((n >= 0) & (n < self.known), n + 1, 1 + self.known + cls - self.groups)
-        return np.r_[0, own[:-1]].astype(np.int32)
-
-
-def _sigmoid(x):
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
 
 class Network:
+    """The first two thirds of the gates' inputs are the update and the reset gate, the last is the candidate."""
+
     def __init__(self, symbols: int, classes: int, groups: int, seed: int = 3):
         r, h = np.random.default_rng(seed), HIDDEN
         normal = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
@@ -129,21 +124,30 @@ class Network:
         self.p["w"][:] = w - w.max(axis=1, keepdims=True)
 
     def states(self, x, keep_, h, trace=None):
-        """States after each of the steps of x (steps by lanes); keep_ is 0 where a document starts."""
-        p, k = self.p, HIDDEN
-        gates = p["E"][x] + p["b"]
-        out = np.empty((*x.shape, k), np.float32)
+        """States after each of the steps of x (steps by lanes); keep_ is 0 where a document starts. trace takes each
+        step's state before, gates, candidate and the candidate's part of the state."""
+        k = HIDDEN
+        half = np.where(np.arange(3 * k) < 2 * k, 0.5, 1.0).astype(self.p["U"].dtype)  # sigmoid(v) = (1 + tanh(v / 2)) / 2
+        u_all = self.p["U"] * half
+        gates = ((self.p["E"] + self.p["b"]) * half)[x]
+        out = np.empty((*x.shape, k), gates.dtype)
         for t in range(len(x)):
             h = h * keep_[t, :, None]
-            u = h @ p["U"]
-            zr = _sigmoid(gates[t, :, : 2 * k] + u[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(gates[t, :, 2 * k :] + r * u[:, 2 * k :])
+            u = h @ u_all
+            zr = gates[t, :, : 2 * k] + u[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            un = u[:, 2 * k :]
+            n = zr[:, k:] * un
+            n += gates[t, :, 2 * k :]
+            np.tanh(n, out=n)
             if trace is not None:
-                trace.append((h, z, r, n, u[:, 2 * k :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h
+                trace.append((h, zr, n, un))
+            h = np.subtract(h, n, out=out[t])
+            h *= zr[:, :k]
+            h += n
+        return out, h.copy()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -157,65 +161,91 @@ class Network:
             at += self.p[k].size
         return out
 
-    def _log_softmax(self, a):
-        a = a - a.max(axis=1, keepdims=True)
-        return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+    def _by_group(self, cls):
+        """Places of the words in classes of words, by class, and where each class ends among them."""
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(self.groups + 1))
+        return order[ends[0] : ends[-1]], (ends - ends[0]).tolist()
 
     def log_p(self, h, cls, slot):
-        """ln p(class) + ln p(slot | class), the latter 0 for classes of endings."""
+        """ln p(class) + ln p(slot | class), the latter 0 for classes of endings. Logits stay far from what exp() can't take."""
         a = h @ self.p["C"] + self.p["c"]
-        top = a.max(axis=1)
-        out = a[np.arange(len(a)), cls] - top - np.log(np.exp(a - top[:, None]).sum(axis=1))
+        out = a[np.arange(len(a)), cls] - np.log(np.exp(a, out=a).sum(axis=1))
+        place, ends = self._by_group(cls)
+        own, s = h[place], slot[place]
+        part = np.empty(len(place), out.dtype)
         for g in range(self.groups):
-            i = np.flatnonzero(cls == g)
-            if len(i):
-                out[i] += self._log_softmax(h[i] @ self.p["W"][g] + self.p["w"][g])[np.arange(len(i)), slot[i]]
+            i, j = ends[g], ends[g + 1]
+            if i < j:
+                a = own[i:j] @ self.p["W"][g] + self.p["w"][g]
+                part[i:j] = a[np.arange(j - i), s[i:j]] - np.log(np.exp(a, out=a).sum(axis=1))
+        out[place] += part
         return out
 
     def gradient(self, x, keep_, cls, slot, h0, on=None):
         """Loss, gradient and last state; steps that `on` leaves out have no loss."""
         p, k, trace = self.p, HIDDEN, []
         hs, last = self.states(x, keep_, h0, trace)
-        flat, c, s, n = hs.reshape(-1, k), cls.ravel(), slot.ravel(), x.size
-        off = np.zeros(0, np.int64) if on is None else np.flatnonzero(~on.ravel())
-        if len(off):
-            c, n = c.copy(), n - len(off)
-        g = {name: np.zeros_like(v) for name, v in p.items()}
-        logp = self._log_softmax(flat @ p["C"] + p["c"])
-        logp[off] = -np.inf  # no share in the gradient
-        at = np.flatnonzero(on.ravel()) if len(off) else np.arange(n)
-        loss = -logp[at, c[at]].sum()
-        d = np.exp(logp)
-        d[at, c[at]] -= 1
-        d /= n
-        c[off] = -1
+        flat, c, s = hs.reshape(-1, k), cls.ravel(), slot.ravel()
+        g = {}
+        at = np.arange(x.size) if on is None else np.flatnonzero(on.ravel())
+        if len(at) < x.size:
+            flat, c, s = flat[at], c[at], s[at]
+        n, rows = max(len(at), 1), np.arange(len(at))
+        d = flat @ p["C"]
+        d += p["c"]
+        loss = -float(d[rows, c].sum(dtype=np.float64))
+        np.exp(d, out=d)
+        mass = d.sum(axis=1)
+        loss += float(np.log(mass).sum(dtype=np.float64))
+        d *= (1 / (n * mass))[:, None]
+        d[rows, c] -= 1 / n
         g["C"], g["c"], dh = flat.T @ d, d.sum(axis=0), d @ p["C"].T
+        g["W"], g["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
+        place, ends = self._by_group(c)
+        own, s, more = flat[place], s[place], np.empty((len(place), k), flat.dtype)
         for j in range(self.groups):
-            i = np.flatnonzero(c == j)
-            if len(i):
-                logp = self._log_softmax(flat[i] @ p["W"][j] + p["w"][j])
-                loss -= logp[np.arange(len(i)), s[i]].sum()
-                d = np.exp(logp)
-                d[np.arange(len(i)), s[i]] -= 1
-                d /= n
-                g["W"][j], g["w"][j] = flat[i].T @ d, d.sum(axis=0)
-                dh[i] += d @ p["W"][j].T
+            a, b = ends[j], ends[j + 1]
+            if a < b:
+                d = own[a:b] @ p["W"][j]
+                d += p["w"][j]
+                loss -= float(d[np.arange(b - a), s[a:b]].sum(dtype=np.float64))
+                np.exp(d, out=d)
+                mass = d.sum(axis=1)
+                loss += float(np.log(mass).sum(dtype=np.float64))
+                d *= (1 / (n * mass))[:, None]
+                d[np.arange(b - a), s[a:b]] -= 1 / n
+                g["W"][j], g["w"][j] = own[a:b].T @ d, d.sum(axis=0)
+                more[a:b] = d @ p["W"][j].T
+        dh[place] += more
+        if len(at) < x.size:
+            full = np.zeros((x.size, k), dh.dtype)
+            full[at] = dh
+            dh = full
         dh = dh.reshape(*x.shape, k)
-        da, carry = np.empty((*x.shape, 3 * k), np.float32), np.zeros_like(h0)
+        # what doesn't depend on later steps is found for all steps at once
+        before, zr, cand, un = (np.stack(y) for y in zip(*trace))
+        z, r = zr[..., :k], zr[..., k:]
+        to_n, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), un * r * (1 - r)
+        da, du, carry = np.empty((*x.shape, 3 * k), dh.dtype), np.empty((*x.shape, 3 * k), dh.dtype), np.zeros_like(h0)
+        back = p["U"].T
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, m, un = trace[t]
-            dt = dh[t] + carry
-            dn = dt * (1 - z) * (1 - m * m)
-            dz = dt * (h - m) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g["U"] += h.T @ du
-            carry = (dt * z + du @ p["U"].T) * keep_[t, :, None]
+            dt = dh[t]
+            dt += carry
+            dn = np.multiply(dt, to_n[t], out=da[t, :, 2 * k :])
+            np.multiply(dt, to_z[t], out=du[t, :, :k])
+            np.multiply(dn, to_r[t], out=du[t, :, k : 2 * k])
+            np.multiply(dn, r[t], out=du[t, :, 2 * k :])
+            carry = du[t] @ back
+            carry += dt * z[t]
+            carry *= keep_[t, :, None]
+        da[..., : 2 * k] = du[..., : 2 * k]
+        g["U"] = before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
         flat = da.reshape(-1, 3 * k)
         g["b"] = flat.sum(axis=0)
         order = np.argsort(x.ravel(), kind="stable")
         ids, start = np.unique(x.ravel()[order], return_index=True)
+        g["E"] = np.zeros_like(p["E"])
         g["E"][ids] = np.add.reduceat(flat[order], start, axis=0)
         return loss, g, last
 
@@ -231,29 +261,33 @@ class Network:
         for _ in range(epochs):
             h = np.zeros((x.shape[1], HIDDEN), np.float32)
             for t in range(0, len(x), steps):
-                on = doc[t : t + steps] >= 0
-                lane = np.flatnonzero(on[0])  # a lane that has ended stays so
-                if len(lane) < h.shape[0]:
-                    w = np.ix_(range(t, t + len(on)), lane)
-                    _, g, h[lane] = self.gradient(x[w], keep_[w], cls[w], slot[w], h[lane], on[:, lane])
-                else:
-                    w = slice(t, t + steps)
-                    _, g, h = self.gradient(x[w], keep_[w], cls[w], slot[w], h, on)
+                live = int((doc[t] >= 0).sum())  # lanes end in the order of their numbers, the last one first
+                w = np.s_[t : t + steps, :live]
+                on = doc[w] >= 0
+                _, g, h = self.gradient(x[w], keep_[w], cls[w], slot[w], h[:live], None if on.all() else on)
                 adam["i"] += 1
                 j += 1
                 i = adam["i"]
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                lr = (rate * (1 - 0.9 * j / total) if falls else rate) * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
+                norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+                lr = np.float32((rate * (1 - 0.9 * j / total) if falls else rate) * np.sqrt(1 - 0.999**i) / (1 - 0.9**i))
+                clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
                 for k, v in g.items():
-                    v = v * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+                    v *= clip
                     a, b = adam["m"][k]
-                    a += 0.1 * (v - a)
-                    b += 0.001 * (v * v - b)
-                    self.p[k] -= (lr * a / (np.sqrt(b) + 1e-6)).astype(np.float32)
+                    a *= 0.9
+                    a += 0.1 * v
+                    v *= v
+                    b *= 0.999
+                    b += 0.001 * v
+                    np.sqrt(b, out=v)
+                    v += 1e-6
+                    np.divide(a, v, out=v)
+                    v *= lr
+                    self.p[k] -= v
 
 
 def lay_out(streams, lanes: int):
-    """Documents, one after the other, in lanes of about equal length: x, keep, class, slot, document
+    """Documents, one after the other, in lanes of about equal length, the longest first: x, keep, class, slot, document
     (steps by lanes; class 0 and document -1 where a lane has ended)."""
     lanes = max(1, min(lanes, len(streams)))
     load = [(0, j, []) for j in range(lanes)]
@@ -261,43 +295,94 @@ def lay_out(streams, lanes: int):
         n, j, own = load[0]
         own.append(i)
         heapq.heapreplace(load, (n + len(streams[i][0]), j, own))
-    length = max((n for n, _, _ in load), default=0)
-    x, cls, slot, doc = (np.zeros((length, lanes), t) for t in (np.int32, np.int64, np.int64, np.int64))
-    keep_ = np.ones((length, lanes), np.float32)
-    doc -= 1
-    for _, j, own in load:
-        at = 0
-        for i in own:
-            n = len(streams[i][0])
-            for to, a in zip((x, cls, slot), streams[i]):
-                to[at : at + n, j] = a
-            keep_[at, j], doc[at : at + n, j] = 0, i
-            at += n
-    return x, keep_, cls, slot, doc
-
-
-def score_streams(net: Network, streams, window: int = 64) -> np.ndarray:
+    load.sort(key=lambda y: (-y[0], y[1]))
+    length = load[0][0]
+    x, cls, slot = (np.zeros((lanes, length), t) for t in (np.int32, np.int16, np.int16))
+    doc, keep_ = np.full((lanes, length), -1, np.int32), np.ones((lanes, length), np.float32)
+    for j, (n, _, own) in enumerate(load):
+        if not n:
+            continue
+        for to, part in zip((x, cls, slot), range(3)):
+            to[j, :n] = np.concatenate([streams[i][part] for i in own])
+        size = [len(streams[i][0]) for i in own]
+        doc[j, :n] = np.repeat(own, size)
+        keep_[j, np.cumsum([0, *size[:-1]])] = 0
+    return tuple(np.ascontiguousarray(y.T) for y in (x, keep_, cls, slot, doc))
+
+
+def score_streams(net: Network, streams, window: int = 64, lanes: int = 256) -> np.ndarray:
     """ln p of each document."""
     out = np.zeros(len(streams) + 1)
     size = [len(s[0]) for s in streams]
-    x, keep_, cls, slot, doc = lay_out(streams, int(np.clip(sum(size) // max(1, max(size)), 16, 192)))
+    x, keep_, cls, slot, doc = lay_out(streams, int(np.clip(sum(size) // max(1, max(size)), 16, lanes)))
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     for t in range(0, len(x), window):
-        hs, h = net.states(x[t : t + window], keep_[t : t + window], h)
-        d = doc[t : t + window].ravel()
-        on = d >= 0
-        lp = net.log_p(hs.reshape(-1, HIDDEN)[on], cls[t : t + window].ravel()[on], slot[t : t + window].ravel()[on])
-        out += np.bincount(d[on], lp, len(out))
+        live = int((doc[t] >= 0).sum())
+        w = np.s_[t : t + window, :live]
+        hs, h = net.states(x[w], keep_[w], h[:live])
+        d, c, s, hs = doc[w].ravel(), cls[w].ravel(), slot[w].ravel(), hs.reshape(-1, HIDDEN)
+        if (d < 0).any():
+            on = np.flatnonzero(d >= 0)
+            d, c, s, hs = d[on], c[on], s[on], hs[on]
+        out += np.bincount(d, net.log_p(hs, c, s), len(out))
     return out[:-1]
 
 
-def _streams(lexicon: Lexicon, words: list[bytes]):
-    n, cls, others = lexicon.encode(words)
-    return (lexicon.inputs(n, cls), cls, np.where(cls < lexicon.groups, lexicon.slot[n], 0)), n, others
+def stream(symbols: np.ndarray, known: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's input symbols, classes and slots from its stored symbols: known words, then classes of endings."""
+    word = symbols < known
+    cls = np.where(word, symbols // SLOTS, symbols - known + groups).astype(np.int16)
+    x = np.empty(len(symbols), np.int32)
+    x[0] = 0
+    np.add(symbols[:-1], 1, out=x[1:])
+    return x, cls, np.where(word, symbols % SLOTS, 0).astype(np.int16)
+
+
+def _stored(batch) -> list[np.ndarray]:
+    return [np.frombuffer(y, np.int16) for y in batch.column("symbols").to_pylist()]
+
+
+ENCODED = "rid long, doc_id long, held_out boolean, round int, n_tokens long, known long, base double, inside double, rare array<binary>, times array<long>, symbols binary"
+
+
+def encode(docs: DataFrame, held_out, shared, parts: int) -> DataFrame:
+    """One pass over the texts: what the counts say of each document, its words that aren't frequent, and its symbols (two
+    bytes a token), from which training and scoring start. shared: broadcast lexicon; `round` is a hash of the row, below `parts`."""
+
+    def go(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        lex = shared.value
+        row = TaskContext.get().partitionId() << 36
+        for b in slices(batches):
+            size, known, base, inside, rare, times, symbols = [], [], [], [], [], [], []
+            for t in texts(b):
+                words = tokens(t)
+                n, cls, others = lex.encode(words)
+                seen = n[n >= 0]
+                size.append(len(words))
+                known.append(int((lex.count[seen] > 0).sum()))
+                base.append(float(lex.log_count[seen].sum()))
+                # within a class of endings: count + 1 over the class's sum; the counts of words that aren't frequent follow by the join
+                far = cls >= lex.groups
+                inside.append(float(lex.log_count[seen[seen >= lex.known]].sum() - lex.log_mass[cls[far] - lex.groups].sum()))
+                c = Counter(others)
+                rare.append(list(c))
+                times.append(list(c.values()))
+                symbols.append(np.where(far, cls + (lex.known - lex.groups), n).astype(np.int16).tobytes())
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            made = [pa.array(y, k) for y, k in zip((size, known, base, inside, rare, times, symbols), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), b.column("round"), *made], [f.split()[0] for f in ENCODED.split(", ")])
+            row += b.num_rows
+
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("round")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), held_out.alias("held_out"), part, F.col("text").cast("binary"))
+    return keep(rows.mapInArrow(go, ENCODED), "encoded")
 
 
-def _train_task(lexicon, weights, lanes: int, rate: float):
-    """Batches of texts to the weights after training on them, times their tokens: k (chunk), n (tokens), v."""
+def _train_task(known: int, weights, lanes: int, rate: float):
+    """Batches of documents to the weights after training on them, times their tokens: k (chunk), n (tokens), v."""
 
     def go(batches):
         import pyarrow as pa
@@ -305,9 +390,9 @@ def _train_task(lexicon, weights, lanes: int, rate: float):
         net = weights.value.with_flat(weights.value.flat())  # a worker keeps the broadcast one for its next task
         adam, held, size, seen = {}, [], 0, 0
         for b in slices(batches):
-            for t in texts(b):
-                held.append(_streams(lexicon.value, tokens(t))[0])
-                size += len(held[-1][0])
+            for symbols in _stored(b):
+                held.append(stream(symbols, known, net.groups))
+                size += len(symbols)
                 if size >= HELD:
                     net.train(held, lanes, epochs=1, rate=rate, adam=adam)
                     held, size, seen = [], 0, seen + size
@@ -334,29 +419,32 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int32()), pa.array([n[k] for k in v], pa.int64()), pa.array([x.tobytes() for x in v.values()], pa.binary())], ["k", "n", "v"])
 
 
-def train_rounds(train: DataFrame, net: Network, lexicon, total: int) -> tuple[Network, int, int]:
-    """The network after training on the texts of all rows, the tokens trained on, and the epochs. lexicon: broadcast."""
+def rounds(total: int) -> tuple[int, int]:
+    """Epochs, and rounds of an epoch, for so many training tokens."""
     epochs = int(np.clip(-(-EPOCHS * TRAIN_TOKENS // max(total, 1)), 1, EPOCHS))
-    parts, seen = max(1, ROUNDS // epochs), 0
-    schema, sc = "k int, n long, v binary", train.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    return epochs, max(1, ROUNDS // epochs)
+
+
+def train_rounds(encoded: DataFrame, net: Network, known: int, total: int) -> tuple[Network, int]:
+    """The network after training on the symbols of all rows, and the tokens trained on. `round` of a row: its round in an epoch."""
+    epochs, parts = rounds(total)
+    seen, schema, sc = 0, "k int, n long, v binary", encoded.sparkSession.sparkContext
     for r in range(epochs * parts):
         weights = sc.broadcast(net)
-        rows = train.where(part == r % parts).select(F.col("text").cast("binary"))
-        sums = rows.mapInArrow(_train_task(lexicon, weights, 32 if epochs > 1 else 64, 0.01 * (1 - 0.9 * r / (epochs * parts))), schema)
+        rows = encoded.where(F.col("round") == r % parts).select("symbols")
+        sums = rows.mapInArrow(_train_task(known, weights, 32 if epochs > 1 else LANES, 0.01 * (1 - 0.9 * r / (epochs * parts))), schema)
         got = sorted(sums.repartition("k").mapInArrow(_add_up, schema).collect())  # as many rows as there are chunks of weights
         if got:
             net = net.with_flat(np.concatenate([np.frombuffer(v) / n for _, n, v in got]))
             seen += got[0].n
         weights.unpersist()
-    return net, seen, epochs
+    return net, seen
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False))
-    train = small_batches(docs).select(F.col("doc_id").cast("long"), "text").where(~out)
-    counts = keep(count_words(train), "counts")
+    counts = keep(count_words(small_batches(docs).select("doc_id", "text").where(~out)), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # words by order of magnitude (a few rows), to find the least count that FREQUENT words at most reach
@@ -385,51 +473,39 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     lexicon = Lexicon([bytes(r.word) for r in common], [r.c for r in common], mass, total, distinct)
     net = Network(1 + lexicon.known + ENDINGS, lexicon.classes, lexicon.groups)
     net.bias(lexicon)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon)  # FREQUENT words at most
-
-    net, _, _ = train_rounds(train, net, shared, total)
-    weights = spark.sparkContext.broadcast(net)
+    sc, known = docs.sparkSession.sparkContext, lexicon.known
+    rows = encode(docs, out, sc.broadcast(lexicon), rounds(total)[1])  # FREQUENT words at most
+    net, _ = train_rounds(rows.where(~F.col("held_out")), net, known, total)
+    weights = sc.broadcast(net)
+    columns = ["rid", "doc_id", "held_out", "n_tokens", "known", "base"]
 
     def go(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        lex, model = shared.value, weights.value
-        row = TaskContext.get().partitionId() << 36
-        for b in slices(batches, 2048):
-            streams, size, known, base, part, rare, times = [], [], [], [], [], [], []
-            for t in texts(b):
-                words = tokens(t)
-                s, n, others = _streams(lex, words)
-                streams.append(s)
-                seen = n[n >= 0]
-                size.append(len(words))
-                known.append(int((lex.count[seen] > 0).sum()))
-                base.append(float(lex.log_count[seen].sum()))
-                # within a class of endings: count + 1 over the class's sum; the counts of words that aren't frequent follow by the join
-                inside = s[1] >= lex.groups
-                part.append(float(lex.log_count[seen[seen >= lex.known]].sum() - lex.log_mass[s[1][inside] - lex.groups].sum()))
-                c = Counter(others)
-                rare.append(list(c))
-                times.append(list(c.values()))
-            if not streams:
-                continue
-            ln = score_streams(model, streams)
-            part = ln / np.log(10) + np.array(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(size))), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(part), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                ["rid", "doc_id", "n_tokens", "known", "base", "part", "rare", "times"])
-            row += len(size)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    rows = keep(rows.mapInArrow(go, "rid long, doc_id long, n_tokens long, known long, base double, part double, rare array<binary>, times array<long>"), "parts")
+        def done():
+            part = score_streams(model, streams) / np.log(10) + np.concatenate([h.column("inside").to_numpy() for h in held_])
+            yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([h.column(c) for h in held_]) for c in columns), pa.array(part)], [*columns, "part"])
+
+        model = weights.value
+        streams, held_, size = [], [], 0
+        for b in slices(batches):
+            held_.append(b)
+            for symbols in _stored(b):
+                streams.append(stream(symbols, known, model.groups))
+                size += len(symbols)
+            if size >= SCORED:
+                yield from done()
+                streams, held_, size = [], [], 0
+        if streams:
+            yield from done()
+
+    scored = rows.select(*columns, "inside", "symbols").mapInArrow(go, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double")
     rare = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts.where(F.col("c") < least), "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("found"))
     # words without a count add log10(0 + 1) = 0
-    all_ = rows.select("rid", "doc_id", "n_tokens", "known", "base", "part").join(found, "rid", "left")
+    all_ = scored.join(found, "rid", "left")
     more = F.coalesce("more", F.lit(0.0))
     per = float(np.log10(total + distinct + 1))
     return all_.select(
-        "doc_id", out.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * per).alias("base_score"), (F.col("part") + more).alias("score"))

@@ -423,14 +423,60 @@ def test_lm_score(docs, rows, odd):
 def test_training_takes_every_token(docs, rows, monkeypatch, few, epochs):
     monkeypatch.setattr(lm_score, "TRAIN_TOKENS", few)
     words = Counter(w for _, t, _ in rows for w in [*lower(t), b""])
-    lexicon = lm_score.Lexicon([w for w, _ in words.most_common(3000)], [c for _, c in words.most_common(3000)], np.zeros(lm_score.ENDINGS, np.int64), sum(words.values()), len(words))
+    total = sum(words.values())
+    lexicon = lm_score.Lexicon([w for w, _ in words.most_common(3000)], [c for _, c in words.most_common(3000)], np.zeros(lm_score.ENDINGS, np.int64), total, len(words))
     net = lm_score.Network(1 + lexicon.known + lm_score.ENDINGS, lexicon.classes, lexicon.groups)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    got, seen, times = lm_score.train_rounds(docs.repartition(3), net, shared, sum(words.values()))
-    assert (seen, times) == (epochs * sum(words.values()), epochs)
+    made = lm_score.encode(docs.repartition(3), F.lit(False), docs.sparkSession.sparkContext.broadcast(lexicon), lm_score.rounds(total)[1])
+    assert lm_score.rounds(total)[0] == epochs
+    got, seen = lm_score.train_rounds(made, net, lexicon.known, total)
+    assert seen == epochs * total
     assert all(np.isfinite(v).all() and not np.array_equal(v, net.p[k]) for k, v in got.p.items())
 
 
+def plain_score(net, lexicon, counts, mass, words):
+    """log10 probability token by token: p(class) p(word | class), one state after the other."""
+    p, k = net.p, lm_score.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, before, out = np.zeros(k), 0, 0.0
+    for w in words:
+        u, g = h @ p["U"], p["E"][before] + p["b"]
+        z, r = sigmoid(g[:k] + u[:k]), sigmoid(g[k : 2 * k] + u[k : 2 * k])
+        n = np.tanh(g[2 * k :] + r * u[2 * k :])
+        h = (1 - z) * n + z * h
+        a = h @ p["C"] + p["c"]
+        i = lexicon.number.get(w, -1)
+        if 0 <= i < lexicon.known:
+            cls, before = i // lm_score.SLOTS, 1 + i
+            b = h @ p["W"][cls] + p["w"][cls]
+            out += b[i % lm_score.SLOTS] - np.log(np.exp(b).sum())
+        else:
+            cls = lexicon.groups + lm_score.ending(w)
+            before = 1 + lexicon.known + lm_score.ending(w)
+            out += np.log((counts.get(w, 0) + 1) / (mass[lm_score.ending(w)] + 1))
+        out += a[cls] - np.log(np.exp(a).sum())
+    return out / np.log(10)
+
+
+def test_scores_token_by_token(docs, rows, monkeypatch):
+    """score() against the plain sum, with few frequent words so that many come by the join."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 1500)
+    seen = {}
+    real = lm_score.train_rounds
+    monkeypatch.setattr(lm_score, "train_rounds", lambda *a: seen.setdefault("net", real(*a)))
+    made = lm_score.Lexicon.__init__
+    monkeypatch.setattr(lm_score.Lexicon, "__init__", lambda self, *a: (seen.setdefault("lexicon", self), made(self, *a))[1])
+    some = docs.where("doc_id < 60")
+    got = {r.doc_id: r for r in lm_score.score(some).collect()}
+    texts = {i: [*lower(t), b""] for i, t, _ in rows if i < 60}
+    counts = Counter(w for i, ws in texts.items() if crc32(str(i).encode()) % 7 != 2 for w in ws)
+    lexicon, mass = seen["lexicon"], Counter()
+    for w, c in counts.items():
+        if lexicon.number.get(w, 1 << 30) >= lexicon.known:
+            mass[lm_score.ending(w)] += c + 1
+    for i, words in sorted(texts.items(), key=lambda y: len(y[1]))[:: 6]:
+        assert got[i].score == pytest.approx(plain_score(seen["net"][0], lexicon, counts, mass, words), rel=1e-4)
+
+
 def test_training_takes_whole_documents(monkeypatch):
     """Lanes of different lengths, an empty text among them, and a last window of fewer steps."""
     r = np.random.default_rng(0)
