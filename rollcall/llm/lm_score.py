@@ -25,50 +25,75 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from itertools import repeat
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep, slices, small_batches, texts
+from .common import crc_mod, keep, slices, small_batches
 
 END = b""  # no word is empty
-WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 48, 24
+WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 32, 24
 FREQUENT, TRAIN_TOKENS, EPOCHS, ROUNDS = 150_000, 400_000, 3, 4
 #: Tokens of documents that a task trains on and scores at a time, lanes of training, and weights in a row of their sums.
-HELD, SCORED, LANES, CHUNK = 600_000, 1_000_000, 256, 2048
-
-
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()  # bytes: A-Z only, and the contract's white space
-    words.append(END)
-    return words
+HELD, SCORED, LANES, CHUNK = 600_000, 1_000_000, 128, 2048
 
 
 def ending(word: bytes) -> int:
-    return crc32(word[-3:]) % ENDINGS
+    """The class of a word's last three bytes."""
+    h = 0
+    for x in word[:-4:-1]:
+        h = h * 257 + x + 1
+    return h * 2654435761 % (1 << 32) * ENDINGS >> 32
+
+
+def endings(words) -> np.ndarray:
+    """ending() of the words of an Arrow array; none is empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    h, size = np.zeros(len(words), np.uint64), np.diff(at)
+    for i in range(1, 4):
+        x = data[np.maximum(at[1:] - i, 0)].astype(np.uint64)
+        h = np.where(size >= i, h * np.uint64(257) + x + np.uint64(1), h)
+    return (h * np.uint64(2654435761) % np.uint64(1 << 32) * np.uint64(ENDINGS) >> np.uint64(32)).astype(np.int64)
+
+
+def words_of(column):
+    """The lower-cased words of a binary Arrow column, one after the other, and the row of each. Arrow's white space is the contract's."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null(b"").view(pa.string())))
+    flat, row = pc.list_flatten(lists).view(pa.binary()), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), row.filter(full).to_numpy()
 
-def count_words(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """word (binary), c over all texts. A task hands on what it has counted when it holds `most` words."""
+
+def count_words(docs: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """word (binary), c over all texts, the end of each included. A task hands on what it has counted every `most` words."""
 
     def go(batches):
         import pyarrow as pa
-
-        def out(c):
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "c"])
-
-        held: Counter = Counter()
-        for b in slices(batches):
-            for t in texts(b):
-                held.update(tokens(t))
-            if len(held) > most:
-                yield out(held)
-                held = Counter()
-        if held:
-            yield out(held)
+        import pyarrow.compute as pc
+
+        def out():
+            c = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            return pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], ["word", "c"])
+
+        held, size, ends = [], 0, 0
+        for b in slices(batches, 1024):
+            held.append(words_of(b.column("text"))[0])
+            size += len(held[-1])
+            ends += b.num_rows
+            if size > most:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(go, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -79,14 +104,12 @@ class Lexicon:
     def __init__(self, words: list[bytes], counts: list[int], rare_mass: np.ndarray, total: int, distinct: int):
         keep_ = [END, *(w for w in words if w != END)]
         c = dict(zip(words, counts))
-        self.number = {w: i for i, w in enumerate(keep_)}
+        self.words = keep_
         self.count = np.array([c.get(w, 0) for w in keep_], np.int64)
         self.total, self.distinct = total, distinct
         self.known = min(len(keep_), WORDS)
         self.groups = -(-self.known // SLOTS)
         self.classes = self.groups + ENDINGS
-        self.cls = np.array([i // SLOTS if i < self.known else self.groups + ending(w) for i, w in enumerate(keep_)], np.int64)
-        self.slot = np.arange(len(keep_)) % SLOTS
         mass = rare_mass.astype(float).copy()  # of all words outside the model's vocabulary: count + 1
         for i in range(1, self.known):
             mass[ending(keep_[i])] -= self.count[i] + 1
@@ -94,15 +117,9 @@ class Lexicon:
         self.log_count = np.log10(self.count + 1.0)
         self.mass = mass
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers (-1: not frequent), classes, and the words that are not frequent."""
-        n = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-        cls = self.cls[n]
-        rare = np.flatnonzero(n < 0)
-        others = [words[i] for i in rare]
-        if others:
-            cls[rare] = [self.groups + ending(w) for w in others]
-        return n, cls, others
+    def symbols(self, n: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Known words' numbers, then one symbol for each class of endings; n: numbers, -1 for words that aren't frequent."""
+        return np.where((n >= 0) & (n < self.known), n, self.known + end).astype(np.int16)
 
 
 class Network:
@@ -115,7 +132,7 @@ class Network:
         self.groups = groups
 
     def bias(self, lexicon: Lexicon) -> None:
-        c = np.bincount(lexicon.cls[: lexicon.known], lexicon.count[: lexicon.known] + 1.0, lexicon.classes)
+        c = np.bincount(np.arange(lexicon.known) // SLOTS, lexicon.count[: lexicon.known] + 1.0, lexicon.classes)
         c[lexicon.groups :] += np.maximum(lexicon.mass, 0) + 1
         self.p["c"][:] = np.log(c / c.sum())
         w = np.full(self.groups * SLOTS, -30.0)
@@ -124,26 +141,27 @@ class Network:
         self.p["w"][:] = w - w.max(axis=1, keepdims=True)
 
     def states(self, x, keep_, h, trace=None):
-        """States after each of the steps of x (steps by lanes); keep_ is 0 where a document starts. trace takes each
-        step's state before, gates, candidate and the candidate's part of the state."""
+        """States after each of the steps of x (steps by lanes); keep_ is 0 where a document starts. trace takes, for all
+        steps, the state before, gates, candidate and the candidate's part of the state."""
         k = HIDDEN
         half = np.where(np.arange(3 * k) < 2 * k, 0.5, 1.0).astype(self.p["U"].dtype)  # sigmoid(v) = (1 + tanh(v / 2)) / 2
         u_all = self.p["U"] * half
         gates = ((self.p["E"] + self.p["b"]) * half)[x]
         out = np.empty((*x.shape, k), gates.dtype)
+        if trace is not None:
+            trace += [np.empty((*x.shape, m), gates.dtype) for m in (k, 2 * k, k, k)]
         for t in range(len(x)):
             h = h * keep_[t, :, None]
             u = h @ u_all
-            zr = gates[t, :, : 2 * k] + u[:, : 2 * k]
+            zr = np.add(gates[t, :, : 2 * k], u[:, : 2 * k], out=trace[1][t] if trace else None)
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            un = u[:, 2 * k :]
-            n = zr[:, k:] * un
+            n = np.multiply(zr[:, k:], u[:, 2 * k :], out=trace[2][t] if trace else None)
             n += gates[t, :, 2 * k :]
             np.tanh(n, out=n)
-            if trace is not None:
-                trace.append((h, zr, n, un))
+            if trace:
+                trace[0][t], trace[3][t] = h, u[:, 2 * k :]
             h = np.subtract(h, n, out=out[t])
             h *= zr[:, :k]
             h += n
@@ -224,7 +242,7 @@ class Network:
             dh = full
         dh = dh.reshape(*x.shape, k)
         # what doesn't depend on later steps is found for all steps at once
-        before, zr, cand, un = (np.stack(y) for y in zip(*trace))
+        before, zr, cand, un = trace
         z, r = zr[..., :k], zr[..., k:]
         to_n, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), un * r * (1 - r)
         da, du, carry = np.empty((*x.shape, 3 * k), dh.dtype), np.empty((*x.shape, 3 * k), dh.dtype), np.zeros_like(h0)
@@ -249,7 +267,7 @@ class Network:
         g["E"][ids] = np.add.reduceat(flat[order], start, axis=0)
         return loss, g, last
 
-    def train(self, streams, lanes: int = 32, steps: int = 24, epochs: int = EPOCHS, rate: float = 0.01, adam=None) -> None:
+    def train(self, streams, lanes: int = 32, steps: int = 32, epochs: int = EPOCHS, rate: float = 0.01, adam=None) -> None:
         """Truncated backpropagation over windows of `steps`, with Adam. streams: (x, cls, slot) by document.
         The rate falls over the epochs; with adam (from an earlier call, or empty) it stays and the moments go on."""
         x, keep_, cls, slot, doc = lay_out(streams, lanes)
@@ -342,7 +360,7 @@ def _stored(batch) -> list[np.ndarray]:
     return [np.frombuffer(y, np.int16) for y in batch.column("symbols").to_pylist()]
 
 
-ENCODED = "rid long, doc_id long, held_out boolean, round int, n_tokens long, known long, base double, inside double, rare array<binary>, times array<long>, symbols binary"
+ENCODED = "rid long, doc_id long, held_out boolean, round int, n_tokens long, known long, base double, inside double, rare array<binary>, symbols binary"
 
 
 def encode(docs: DataFrame, held_out, shared, parts: int) -> DataFrame:
@@ -351,30 +369,31 @@ def encode(docs: DataFrame, held_out, shared, parts: int) -> DataFrame:
 
     def go(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        lex = shared.value
-        row = TaskContext.get().partitionId() << 36
-        for b in slices(batches):
-            size, known, base, inside, rare, times, symbols = [], [], [], [], [], [], []
-            for t in texts(b):
-                words = tokens(t)
-                n, cls, others = lex.encode(words)
-                seen = n[n >= 0]
-                size.append(len(words))
-                known.append(int((lex.count[seen] > 0).sum()))
-                base.append(float(lex.log_count[seen].sum()))
-                # within a class of endings: count + 1 over the class's sum; the counts of words that aren't frequent follow by the join
-                far = cls >= lex.groups
-                inside.append(float(lex.log_count[seen[seen >= lex.known]].sum() - lex.log_mass[cls[far] - lex.groups].sum()))
-                c = Counter(others)
-                rare.append(list(c))
-                times.append(list(c.values()))
-                symbols.append(np.where(far, cls + (lex.known - lex.groups), n).astype(np.int16).tobytes())
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-            made = [pa.array(y, k) for y, k in zip((size, known, base, inside, rare, times, symbols), kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), b.column("round"), *made], [f.split()[0] for f in ENCODED.split(", ")])
-            row += b.num_rows
+        lex, row = shared.value, TaskContext.get().partitionId() << 36
+        frequent = pa.array(lex.words, pa.binary())
+        for b in slices(batches, 1024):
+            rows = b.num_rows
+            flat, doc = words_of(b.column("text"))
+            n, end = pc.fill_null(pc.index_in(flat, value_set=frequent), -1).to_numpy(), endings(flat)
+            add = lambda v, on: np.bincount(doc[on], v, rows)  # noqa: B023, E731
+            seen, far, rare = n >= 0, (n < 0) | (n >= lex.known), n < 0
+            known = np.bincount(doc, seen & (lex.count[n] > 0), rows).astype(np.int64) + int(lex.count[0] > 0)
+            base = add(lex.log_count[n[seen]], seen) + lex.log_count[0]
+            # within a class of endings: count + 1 over the class's sum; the counts of words that aren't frequent follow by the join
+            inside = add(lex.log_count[n[seen & far]], seen & far) - add(lex.log_mass[end[far]], far)
+            size = np.bincount(doc, minlength=rows) + 1
+            symbols = np.zeros(size.sum(), np.int16)  # the end is number 0
+            symbols[np.arange(len(doc)) + doc] = lex.symbols(n, end)
+            ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=rows))].astype(np.int32)), flat.filter(pa.array(rare)))
+            packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(2 * ends), pa.py_buffer(symbols)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + rows)), b.column("doc_id"), b.column("held_out"), b.column("round"), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(inside), others, packed],
+                [f.split()[0] for f in ENCODED.split(", ")])
+            row += rows
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("round")
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), held_out.alias("held_out"), part, F.col("text").cast("binary"))
@@ -459,12 +478,12 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def masses(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         sums = np.zeros(ENDINGS, np.int64)
         for b in batches:
-            i = np.fromiter((ending(w) for w in b.column("word").to_pylist() if w), np.int64)
-            c = np.array([c for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()) if w], np.int64)
-            sums += np.bincount(i, c + 1, ENDINGS).astype(np.int64)
+            b = b.filter(pc.greater(pc.binary_length(b.column("word")), 0))
+            sums += np.bincount(endings(b.column("word")), b.column("c").to_numpy() + 1, ENDINGS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(sums)], ["k", "s"])
 
     mass = np.zeros(ENDINGS, np.int64)
@@ -500,8 +519,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             yield from done()
 
     scored = rows.select(*columns, "inside", "symbols").mapInArrow(go, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double")
-    rare = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = rare.join(counts.where(F.col("c") < least), "word").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("found"))
+    rare = rows.select("rid", F.explode("rare").alias("word"))
+    found = rare.join(counts.where(F.col("c") < least), "word").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("found"))
     # words without a count add log10(0 + 1) = 0
     all_ = scored.join(found, "rid", "left")
     more = F.coalesce("more", F.lit(0.0))
