@@ -378,7 +378,7 @@ def encode(docs: DataFrame, held_out, shared, parts: int) -> DataFrame:
             rows = b.num_rows
             flat, doc = words_of(b.column("text"))
             n, end = pc.fill_null(pc.index_in(flat, value_set=frequent), -1).to_numpy(), endings(flat)
-            add = lambda v, on: np.bincount(doc[on], v, rows)  # noqa: B023, E731
+            add = lambda v, on: np.bincount(doc[on], v, rows).astype(float)  # noqa: B023, E731
             seen, far, rare = n >= 0, (n < 0) | (n >= lex.known), n < 0
             known = np.bincount(doc, seen & (lex.count[n] > 0), rows).astype(np.int64) + int(lex.count[0] > 0)
             base = add(lex.log_count[n[seen]], seen) + lex.log_count[0]
