@@ -1,10 +1,12 @@
 """Harmonic packing of tokenised documents into sequences.
 
-A document's ids, with the end id, are cut into pieces of whole sequences and powers of two, so that
-every piece belongs to a reciprocal-capacity class 1/1, 1/2, 1/4, ...: a sequence of class 1/k holds
-exactly k pieces and is full. Each task fills the bins of its classes by itself, without a shuffle;
-what its open bins hold at the end goes into shorter sequences of a power of two. So no sequence
-needs padding, however many workers there are.
+A document's ids, with the end id, lie whole in one sequence where they fit. What exceeds the capacity is
+cut off as full sequences. The rest has a length in one of the reciprocal-capacity classes: class k holds lengths
+from capacity/(k+1) (exclusive) to capacity/k, and its bins take exactly k documents each; the last of the CLASSES
+holds all shorter ones. A bin with its k documents has a gap, which is closed by the documents that come
+next: whole ones as long as they fit, then the first part of one that is cut. So a sequence costs one cut at most, and only the
+sequences that a task leaves open at its end are put together anew, the last one as sequences of powers of two.
+No sequence needs padding; each task fills its bins by itself, without a shuffle.
 
 Nulls: a null text counts as empty (one piece, the end id alone). Rows that repeat a doc_id are
 separate documents. Texts are read whole. An empty table gives an empty result. Further columns are
@@ -13,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+from unicodedata import category, normalize
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
-CAPACITY, END = 4096, 2
+CAPACITY, END, CLASSES = 4096, 2, 64
 _tokenizers: dict = {}
 
 
@@ -29,6 +32,11 @@ _tokenizers: dict = {}
 PUNCTUATION = '.,;:!?%*$&#|"()-'
 
 
+def ends_in_letter(word: str) -> bool:
+    """The tokenizer's form of the word ends in a letter too, not in a mark, which would go with the punctuation behind it."""
+    return word.isascii() or category(normalize("NFC", word).lower()[-1])[0] == "L"
+
+
 class Words:
     """ids of a text by a word tokenizer: white space is dropped, and letters never share a token with the punctuation
     behind them. Each space-separated chunk is put together once, from its words and marks, and its ids kept. When
@@ -70,7 +78,7 @@ class Words:
                 parts = made[c] = []
                 for line in c.split("\n"):
                     word = line.rstrip(PUNCTUATION)
-                    parts += [word, line[len(word) :]] if word.isalpha() else [line]
+                    parts += [word, line[len(word) :]] if word.isalpha() and ends_in_letter(word) else [line]
         parts = {p for ps in made.values() for p in ps}
         words_ = {p for p in parts if p.isalpha()}
         self._add(new - made.keys() | words_, True)
@@ -93,45 +101,65 @@ def words(path: str) -> Words:
     return _tokenizers[path]
 
 
-def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of n ids."""
-    out = [(i, capacity) for i in range(0, n - capacity + 1, capacity)]
-    at = len(out) * capacity
-    size = capacity
-    while at < n:
-        size //= 2
-        if n - at >= size:
-            out.append((at, size))
-            at += size
-    return out
+class Bin:
+    """A sequence in the making: its pieces (document, start, length) and ids so far."""
+
+    def __init__(self):
+        self.pieces, self.used = [], 0
+
+    def put(self, doc, start: int, length: int) -> None:
+        self.pieces.append((doc, start, length))
+        self.used += length
 
 
 class Bins:
-    """Open bins of one task, one a class. Emits (sequence, offset, piece)."""
-
-    def __init__(self, first: int, capacity: int = CAPACITY):
-        self.next, self.capacity, self.open = first, capacity, {}
-
-    def add(self, length: int, piece) -> list:
-        if length == self.capacity:
-            self.next += 1
-            return [(self.next - 1, 0, piece)]
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length < self.capacity:
-            return []
-        self.open[length] = []
-        self.next += 1
-        return [(self.next - 1, i * length, p) for i, p in enumerate(held)]
-
-    def rest(self) -> list:
-        out = []
-        for length, held in sorted(self.open.items(), reverse=True):
-            while held:
-                k = 1 << (len(held).bit_length() - 1)
-                out += [(self.next, i * length, p) for i, p in enumerate(held[:k])]
-                held, self.next = held[k:], self.next + 1
-        return out
+    """Open bins of one task, one a class, and one that is being closed. place() and rest() give finished ones."""
+
+    def __init__(self, capacity: int = CAPACITY, classes: int = CLASSES):
+        self.capacity, self.classes, self.open, self.closing = capacity, classes, {}, None
+
+    def place(self, doc, n: int) -> list[Bin]:
+        done, at, full = [], 0, self.capacity
+        if self.closing and n:
+            at = min(full - self.closing.used, n)
+            self.closing.put(doc, 0, at)
+            if self.closing.used == full:
+                done.append(self.closing)
+                self.closing = None
+        while n - at >= full:
+            one = Bin()
+            one.put(doc, at, full)
+            done.append(one)
+            at += full
+        if at < n:
+            k = min(full // (n - at), self.classes)
+            held = self.open.setdefault(k, Bin())
+            held.put(doc, at, n - at)
+            if len(held.pieces) == k:
+                del self.open[k]
+                if held.used == full:
+                    done.append(held)
+                else:  # no other is being closed: this document would have gone there
+                    self.closing = held
+        return done
+
+    def rest(self) -> list[Bin]:
+        """All pieces of the open bins, one after the other, in full sequences and, at last, powers of two."""
+        held = [p for b in [*([self.closing] if self.closing else []), *self.open.values()] for p in b.pieces]
+        left, done, self.open, self.closing = sum(p[2] for p in held), [], {}, None
+        size = self.capacity
+        while held:
+            while size > left:
+                size //= 2
+            now = Bin()
+            while now.used < size:
+                doc, start, length = held[0]
+                take = min(length, size - now.used)
+                now.put(doc, start, take)
+                held[:1] = [(doc, start + take, length - take)] if take < length else []
+            left -= size
+            done.append(now)
+        return done
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,32 +174,35 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bins = Bins(TaskContext.get().partitionId() << 36, capacity)
+        bins, sequence = Bins(capacity), TaskContext.get().partitionId() << 36
         vocabulary = words(tokenizer)
-
-        def rows(placed):
-            c = list(zip(*[(*p[:5], s, o, *p[5:]) for s, o, p in placed]))
-            names = [f.split()[0] for f in SCHEMA.split(", ")] + ["ids"] * with_ids
-            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names)
+        names = [f.split()[0] for f in SCHEMA.split(", ")] + ["ids"] * with_ids
+        kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
+
+        def rows(done):
+            nonlocal sequence
+            out = []
+            for one in done:
+                offset = 0
+                for (id_, ids), start, length in one.pieces:
+                    part = memoryview(ids)[4 * start : 4 * (start + length)]
+                    out.append((id_, start, length, crc32(part), len(ids) // 4, sequence, offset, *([bytes(part)] if with_ids else [])))
+                    offset += length
+                sequence += 1
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
         for b in slices(batches):
-            out, got = [], b.column("text").to_pylist()
+            done, got = [], b.column("text").to_pylist()
             chunks: set[str] = set()
             for t in got:
                 chunks.update((t or "").split(" "))
             vocabulary.learn(chunks)
             for id_, text in zip(b.column("doc_id").to_pylist(), got):
                 ids = vocabulary.ids(text or "") + last
-                n = len(ids) // 4
-                view = memoryview(ids)
-                for start, length in cut(n, capacity):
-                    part = view[4 * start : 4 * (start + length)]
-                    piece = (id_, start, length, crc32(part), n, *([bytes(part)] if with_ids else []))
-                    out += bins.add(length, piece)
-            if out:
-                yield rows(out)
-        if out := bins.rest():
-            yield rows(out)
+                done += bins.place((id_, ids), len(ids) // 4)
+            if done:
+                yield rows(done)
+        if done := bins.rest():
+            yield rows(done)
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, SCHEMA + ", ids binary" * with_ids)

@@ -250,14 +250,15 @@ def test_packing(request, which):
     t = Tokenizer.from_file(tokenizer())
     want = Counter((r.doc_id, np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in df.collect())
     pieces = packing.pack(df, tokenizer(), with_ids=True).collect()
-    sequences, parts = defaultdict(list), defaultdict(Counter)
+    sequences, parts = defaultdict(list), defaultdict(list)
     for p in pieces:
         assert len(p.ids) == 4 * p.length and crc32(p.ids) == p.ids_crc32
         sequences[p.sequence_id].append((p.offset, p.length))
-        parts[p.doc_id, p.doc_tokens][p.start, bytes(p.ids)] += 1
-    for (i, data), n in want.items():  # texts of equal id and length don't occur, so the pieces join to the text again
-        assert Counter({(s, data[4 * s : 4 * (s + k)]): n for s, k in packing.cut(len(data) // 4)}) == parts[i, len(data) // 4]
-    assert sum(p.length for p in pieces) == sum(len(d) // 4 * n for (_, d), n in want.items())
+        parts[p.doc_id, p.doc_tokens].append((p.start, bytes(p.ids)))
+    for (i, data), n in want.items():  # texts of equal id and length don't occur but as copies, which one piece holds, so the pieces join to the text again
+        got = sorted(parts.pop((i, len(data) // 4)))
+        assert b"".join(d for _, d in got) == data * n and (n > 1 or [s for s, _ in got] == [sum(len(d) // 4 for _, d in got[:k]) for k in range(len(got))])
+    assert not parts
     for s in sequences.values():
         at = 0
         for offset, length in sorted(s):
@@ -276,13 +277,36 @@ def test_cached_ids():
         assert w.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_cut():
-    for n in (1, 2, 4095, 4096, 4097, 12345):
-        at = 0
-        for start, length in packing.cut(n):
-            assert start == at and length & (length - 1) == 0
-            at += length
-        assert at == n
+def test_ids_of_random_texts():
+    """Letters that the tokenizer's form ends in a mark, before punctuation and not, among others."""
+    from tokenizers import Tokenizer
+
+    t, w, r = Tokenizer.from_file(tokenizer()), packing.Words(tokenizer(), most=500), random.Random(3)
+    letters = ["a", "Bc", "e\u0301", "é", "İ", "ıI", "क़", "ß", "Σ", "ς", "ﬁ", "漢", "x1", "'s", "’", "\u0307", "ǰ", "ΐ", "ẞ", "\n", "\u00a0", "\t", "😀", "Ａ"]
+    for _ in range(4000):
+        text = "".join(r.choice([*letters, *packing.PUNCTUATION, " "]) for _ in range(r.randint(1, 12)))
+        w.learn(set(text.split(" ")))
+        assert w.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("lengths", [[1], [4096], [4097, 4095], [1365] * 30, [600, 700, 800] * 40, [1] * 9000, "mixed"])
+def test_classes(lengths):
+    """Whole documents where they fit: a bin holds its class's number of documents and what closes it; no padding at all."""
+    r = random.Random(1)
+    lengths = [int(r.lognormvariate(6, 1)) + 1 for _ in range(3000)] if lengths == "mixed" else lengths
+    bins, done, seen = packing.Bins(), [], defaultdict(int)
+    for i, n in enumerate(lengths):
+        done += bins.place(i, n)
+    assert len(bins.open) <= packing.CLASSES
+    done += bins.rest()
+    for one in done:
+        assert one.used == sum(p[2] for p in one.pieces) and one.used <= 4096 and one.used & (one.used - 1) == 0
+    for i, start, length in sorted(p for one in done for p in one.pieces):
+        assert start == seen[i] and length > 0
+        seen[i] += length
+    assert [seen[i] for i in range(len(lengths))] == lengths
+    cuts = sum(len(one.pieces) for one in done) - len(lengths)
+    assert cuts <= sum(lengths) / 4096 + 2 * packing.CLASSES
 
 
 # -- token counts
