@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 One pass over the whole texts finds candidates: the spans of the base patterns, which are always
-reported, and looser forms (written-out mail addresses, phone numbers without country code,
-numbers that look like cards but fail the check digit). LABELERS vote on each candidate, yes, no or abstain:
+reported, and looser forms (written-out mail and network addresses, national phone numbers and those with
+00 before the country, numbers that look like cards but fail the check digit). Every scan takes time in proportion to the text's length: base
+patterns are searched from what can only occur once in them (the @, the +, a run of digits). LABELERS vote on each candidate, yes, no or abstain:
 two on its form, one on gazetteers, one on context words, one on what it touches. The votes are
 counted by pattern (4 kinds x 3**5 patterns at most); expectation-maximisation on those counts
 estimates each labeler's reliability and each pattern's probability. A logistic classifier over
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
@@ -29,17 +31,18 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "strict form", "gazetteer", "context", "edges")
 ACCEPT, SHAPES = 0.8, 512
 
-BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # matches wherever there is a digit, so nothing is searched twice
+SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+AT = re.compile(r"[(\[{]\s?at\s?[)\]}]|(?<=\s)at(?=\s)", re.I)
+SPELLED = re.compile(r"\s{0,3}[A-Za-z0-9-]+(?:\s{0,3}(?:[(\[{]\s?dot\s?[)\]}]|\sdot\s)\s{0,3}[A-Za-z0-9-]+)+", re.I)
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+\s*(?:[(\[]at[)\]]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:[(\[]dot[)\]]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s*\[?\.\]\s*[0-9]{1,3}){3}(?![0-9.])"),
-    "card": re.compile(r"(?<![0-9-])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{3,4}(?![0-9-])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s{0,3}(?:\[\.\]|\(\.\)|\.|\[dot\]|\sdot\s)\s{0,3}[0-9]{1,3}){3}(?![0-9.])", re.I),
+    "card": re.compile(r"(?<![0-9-])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{3,4}(?![0-9-])"),
+    # 00 and the country; the national forms of North America; those with a leading 0 and groups
+    "phone": re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[-. /][0-9]{1,4}(?:[-. /][0-9]{2,4}){2,4}|(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|0[1-9][0-9]{0,4}[-. /](?:[0-9]{2,4}[-. ]){1,3}[0-9]{2,4}|\(0[0-9]{1,4}\)[-. /]?[0-9]{3,8})(?![0-9])"),
 }
 # Words that speak for a kind or against it, and gazetteers.
 FOR = {
@@ -49,9 +52,15 @@ FOR = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "fon", "telefon", "mobil", "llama"},
 }
 AGAINST = {"version", "release", "isbn", "order", "invoice", "token", "sha", "commit", "section", "license", "licensed", "figure", "page", "id"}
-DOMAINS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz"}
-ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35")
-COUNTRIES = ("1", "33", "34", "44", "49", "39", "31", "32", "41", "43", "351", "81", "86", "91")
+DOMAINS = {
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "co", "me", "tv", "app", "dev", "xyz", "online", "site", "shop", "blog", "cloud", "tech",
+    "ac", "ae", "ar", "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "ee", "eg", "es", "eu", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "ir", "is", "it",
+    "jp", "ke", "kr", "lt", "lu", "lv", "ma", "mx", "my", "ng", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "ro", "rs", "ru", "sa", "se", "sg", "si", "sk", "th", "tr", "tw", "ua", "uk", "us",
+    "uy", "ve", "vn", "za"}
+ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "6011", "62", "644", "645", "646", "647", "648", "649", "65", *(str(n) for n in range(222, 273)))
+# one and two digits are whole codes; the rest of the plan has three, with these beginnings
+COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63",
+             "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "85", "88", "96", "97", "99")
 
 
 def luhn(digits: str) -> bool:
@@ -78,16 +87,78 @@ def passes(kind: str, s: str) -> bool:
     return True
 
 
+def _back(text: str, end: int, least: int) -> int:
+    """Where the run of characters of a mail address's first part begins that ends at `end`."""
+    while end > least and text[end - 1] in LOCAL:
+        end -= 1
+    return end
+
+
+def _matches(kind: str, text: str):
+    """(start, end) of the leftmost non-overlapping matches of a base pattern."""
+    if kind == "email":
+        last, at = 0, text.find("@")
+        while at >= 0:
+            start = _back(text, at, last)
+            m = DOMAIN.match(text, at + 1) if start < at else None
+            if m:
+                last = m.end()
+                yield start, last
+            at = text.find("@", max(last, at + 1))
+    elif kind == "ip":
+        for m in DOTTED.finditer(text):  # every four numbers of a dotted run are a match
+            ends = [x.end() for x in re.finditer("[0-9]+", m[0])]
+            start = 0
+            for i in range(3, len(ends), 4):
+                yield m.start() + start, m.start() + ends[i]
+                start = ends[i] + 1
+    else:
+        yield from (m.span() for m in (SPACED if kind == "card" else PLUS).finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), unsorted."""
     out = []
     numbers = re.search("[0-9]", text)
     for k, kind in enumerate(KINDS):
         if "@" in text if kind == "email" else numbers and (kind != "phone" or "+" in text):
-            out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if passes(kind, m[0])]
+            out += [(k, s, e) for s, e in _matches(kind, text) if passes(kind, text[s:e])]
     return out
 
 
+def loose_spans(kind: str, text: str):
+    """(start, end) of the looser forms."""
+    if kind != "email":
+        yield from (m.span() for m in LOOSE[kind].finditer(text) if kind != "ip" or all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])))
+        return
+    last = 0
+    for a in AT.finditer(text):
+        if a.start() < last:
+            continue
+        end = a.start()
+        while end > last and a.start() - end < 3 and text[end - 1].isspace():
+            end -= 1
+        start = _back(text, end, last)
+        m = SPELLED.match(text, a.end()) if start < end else None
+        if m:
+            last = m.end()
+            yield start, last
+
+
+class Taken:
+    """Spans that may overlap one another, to ask whether a span touches one of them."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []  # ends[i]: the furthest end of the spans up to i
+        for s, e in sorted(spans):
+            self.starts.append(s)
+            self.ends.append(max(e, self.ends[-1] if self.ends else 0))
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
 def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     """1, -1 or 0 of each of the LABELERS."""
     s = text[start:end]
@@ -97,12 +168,12 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     if kind == "email":
         form = 1 if "@" in s else 0
         last = re.findall("[a-z0-9-]+", s.lower())[-1:]
-        strict = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}", s) else 1 if re.search(r"[(\[]at[)\]]", s, re.I) else -1
+        strict = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}", s) else 1 if re.search(r"[(\[{]\s?at\s?[)\]}]", s, re.I) else 0 if "@" not in s else -1
         known = 1 if last and last[0] in DOMAINS else -1
     elif kind == "ip":
         form = 1 if all(p and int(p[-4:]) <= 255 for p in re.findall("[0-9]+", s)) else -1
         strict = -1 if re.search(r"(^|\.)0[0-9]", s) else 1
-        known = -1 if d.startswith("0") else 0
+        known = -1 if d.startswith("0") else 1 if re.match(r"10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|127\.", s) else 0
     elif kind == "card":
         form = 1 if 13 <= len(d) <= 19 else -1
         strict = 1 if luhn(d) else -1
@@ -110,9 +181,10 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     else:
         form = 1 if 9 <= len(d) <= 15 else -1
         strict = 1 if s.startswith("+") or re.search("[()]", s) else 0
-        known = 1 if s.startswith("+") and d.startswith(COUNTRIES) else 0 if s.startswith("+") else -1 if d[0] in "01" else 1
+        abroad = d[2:] if d.startswith("00") and not s.startswith("+") else d if s.startswith("+") else None
+        known = (1 if abroad.startswith(COUNTRIES) else 0) if abroad else 0 if d[0] == "0" else -1 if d[0] == "1" else 1
     context = 1 if FOR[kind] & set(before) else -1 if AGAINST & set(before) else 0
-    edges = -1 if (left and (left.isalnum() or left in "._-/=")) or (right and (right.isalnum() or right in "_/=")) else 1
+    edges = -1 if (left and (left.isalnum() or left in "._-/=")) or (right and (right.isalnum() or right in "-_/=")) else 1
     return [form, strict, known, context, edges]
 
 
@@ -126,10 +198,11 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """Base spans, and (kind, start, end, pattern of votes, shape, is base) of all candidates."""
     base = sorted(base_spans(text), key=lambda s: (s[1], s[0]))
     found = [(*s, True) for s in base]
-    taken = [(s, e) for _, s, e in base]
+    taken = Taken((s, e) for _, s, e in base)
+    digits, low = re.search("[0-9]", text), text.lower()
     for k, kind in enumerate(KINDS):
-        if re.search("[0-9]", text) if kind != "email" else re.search(r"[(\[\s]at[)\]\s]", text, re.I) and re.search(r"[(\[\s]dot[)\]\s]", text, re.I):
-            found += [(k, m.start(), m.end(), False) for m in LOOSE[kind].finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        if digits if kind != "email" else "at" in low and "dot" in low:
+            found += [(k, s, e, False) for s, e in loose_spans(kind, text) if not taken.touches(s, e)]
     out = []
     for k, s, e, own in found:
         code = 0
@@ -227,9 +300,11 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
                 loose = np.array([x for x in found if not x[5]], np.int64).reshape(-1, 6)
                 if len(loose):
                     sure = loose[model.probability(loose[:, 0], loose[:, 3], loose[:, 4]) >= accept]
+                    last = 0  # none touches a base span; of those that touch one another the first stays
                     for k, s, e in sorted(map(tuple, sure[:, :3].tolist()), key=lambda x: (x[1], x[0])):
-                        if not any(a < e and s < z for _, a, z in spans):
+                        if s >= last:
                             spans.append((k, s, e))
+                            last = e
                 out.append((*count, sha, _joined(spans)))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in cols[:4]), *(pa.array(x, pa.string()) for x in cols[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
