@@ -36,7 +36,9 @@ END = b""  # no word is empty
 WORDS, SLOTS, ENDINGS, HIDDEN = 1024, 64, 32, 24
 FREQUENT, TRAIN_TOKENS, EPOCHS, ROUNDS = 150_000, 400_000, 3, 4
 #: Tokens of documents that a task trains on and scores at a time, lanes of training, and weights in a row of their sums.
-HELD, SCORED, LANES, CHUNK = 600_000, 1_000_000, 128, 2048
+HELD, SCORED, LANES, CHUNK = 600_000, 2_500_000, 128, 2048
+#: Training goes through longer documents in pieces of so many tokens, side by side; the state starts anew in each.
+PIECE = 2048
 
 
 def ending(word: bytes) -> int:
@@ -410,7 +412,8 @@ def _train_task(known: int, weights, lanes: int, rate: float):
         adam, held, size, seen = {}, [], 0, 0
         for b in slices(batches):
             for symbols in _stored(b):
-                held.append(stream(symbols, known, net.groups))
+                whole = stream(symbols, known, net.groups)
+                held += [tuple(y[i : i + PIECE] for y in whole) for i in range(0, len(symbols), PIECE)]
                 size += len(symbols)
                 if size >= HELD:
                     net.train(held, lanes, epochs=1, rate=rate, adam=adam)
