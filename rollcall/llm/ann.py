@@ -141,12 +141,22 @@ def _matrix(column) -> np.ndarray:
     return np.concatenate(rows).astype(np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by `every`, the k nearest found."""
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks of query ids, by a mixed hash: the ids share a divisor."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every`, the k nearest found. chunk: rows of a
+    leaf, and queries of it, that a task holds at a time."""
     rows = keep(valid(vectors), "vectors")
     n = rows.count()
     hashed = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1_000_000))
-    x = _matrix(rows.where(hashed < 1_000_000 * SAMPLE // max(n, 1)).sort("vec_id").select("v").toPandas().v)
+    some = rows.where(hashed < 1_000_000 * SAMPLE // max(n, 1)).sort("vec_id", "v").limit(2 * SAMPLE)  # ids that repeat are sampled together
+    x = _matrix(some.select("v").toPandas().v)
     leaves = min(MAX_LEAVES, max(1, n // LEAF))
     tree = Tree(x if len(x) else np.zeros((0, 1)), leaves)
 
@@ -159,20 +169,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
     visits = _calibrate(tree, index, queries, k, recall)
     sizes = dict(index.groupBy("leaf").count().collect())  # one row a leaf
     wanted = queries.count() * visits / max(tree.leaves, 1)
-    chunks = {leaf: -(-c // CHUNK) for leaf, c in sizes.items()}
-    blocks = max(1, round(wanted / CHUNK))
+    chunks = {leaf: -(-c // chunk) for leaf, c in sizes.items()}
+    blocks = max(1, round(wanted / chunk))
 
     def descend(frames):
         import pandas as pd
 
         for f in frames:
-            out = [(leaf, c, q % blocks if blocks > 1 else 0, q, v) for q, v in zip(f.vec_id, f.v) for leaf in tree.visits(np.asarray(v), visits) for c in range(chunks.get(leaf, 0))]
+            out = [(leaf, c, block, q, v) for q, block, v in zip(f.vec_id, _block(f.vec_id.to_numpy(), blocks), f.v) for leaf in tree.visits(np.asarray(v), visits) for c in range(chunks.get(leaf, 0))]
             yield pd.DataFrame(out, columns=["leaf", "chunk", "block", "query_id", "v"])
 
     probes = queries.mapInPandas(descend, "leaf int, chunk long, block long, query_id long, v array<double>")
     count = F.element_at(F.create_map(*[F.lit(y) for kv in chunks.items() for y in kv]), F.col("leaf")) if chunks else F.lit(1)
-    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), count).cast("long"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")) if blocks > 1 else dealt.withColumn("block", F.lit(0).cast("long"))
+    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), count).cast("long"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else dealt.withColumn("block", F.lit(0).cast("long"))
 
     def scan(probe, own):
         import pandas as pd
@@ -204,7 +214,7 @@ def _calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall:
     """The number of leaves after whose visit the wanted share of the sampled queries' exact neighbours is seen."""
     n = queries.count()
     hashed = F.pmod(F.xxhash64("vec_id", F.lit("calibrate")), F.lit(1_000_000))
-    sample = queries.where(hashed <= 1_000_000 * CALIBRATION // max(n, 1)).toPandas()
+    sample = queries.where(hashed <= 1_000_000 * CALIBRATION // max(n, 1)).sort("vec_id", "v").limit(2 * CALIBRATION).toPandas()
     if not len(sample):
         return tree.leaves
     q, qid = _matrix(sample.v), sample.vec_id.to_numpy()

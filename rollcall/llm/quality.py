@@ -7,7 +7,7 @@ walks all trees of a batch of documents level by level in numpy.
 
 Nulls: a null text counts as empty and is scored like any other; a null doc_id is not held out and
 never matches a label. Null labels are ignored; without labels every score is 0.5. Rows that repeat a
-doc_id are separate rows. An empty table gives an empty result. Further columns are ignored.
+doc_id are separate rows; labels that do count once, with their mean. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,11 +134,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int
     doc_id is not a multiple of `folds`; at most about `most` of them."""
     x = keep(document_statistics(docs), "statistics")
     out = F.coalesce(crc_mod(F.col("doc_id"), folds) == 0, F.lit(False))
-    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1)")
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).where("y in (0, 1)").groupBy("id").agg(F.avg("y").alias("y"))
     train = x.where(~out).join(marked, F.col("doc_id") == F.col("id")).select("doc_id", "x", "y")
     n = train.count()
     share = 1_000_000 * most // max(n, 1)
-    rows = train.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share).sort("doc_id", "y", "x").toPandas()
+    # by id and content, and never more than twice `most`: rows that repeat an id, or are equal, are picked together
+    rows = train.where(F.pmod(F.xxhash64("doc_id", "x", F.lit("fit")), F.lit(1_000_000)) < share).sort("doc_id", "y", "x").limit(2 * most).toPandas()
     got = np.array(rows.x.tolist(), np.float32).reshape(len(rows), len(STATISTICS))
     model = fit(got, rows.y.to_numpy(float))
 

@@ -354,6 +354,22 @@ def test_quality_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_statistics_by_hand():
+    x = dict(zip(quality.STATISTICS, quality.statistics(b"Ab ab, 12!\nAb ab, 12!")))
+    assert x["log_words"] == pytest.approx(math.log(7)) and x["upper"] == pytest.approx(2 / 21) and x["digit"] == pytest.approx(4 / 21) and x["newline"] == pytest.approx(1 / 21)
+    assert x["distinct_words"] == pytest.approx(3 / 6) and x["top_word"] == pytest.approx(2 / 6) and x["distinct_lines"] == pytest.approx(1 / 2) and x["once_words"] == 0
+    assert x["mean_word"] == pytest.approx(16 / 6) and x["short_words"] == 1 and x["bang"] == pytest.approx(2 / 21) and x["words_per_stop"] == pytest.approx(math.log1p(2))
+
+
+def test_labels_that_repeat(spark, docs):
+    """Repeated labels and repeated documents don't multiply training rows."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    key = lambda t: sorted((r.doc_id, round(r.score, 9)) for r in t.collect())
+    assert key(quality.score_quality(docs, labels)) == key(quality.score_quality(docs, labels.unionByName(labels)))
+    twice = quality.score_quality(docs.unionByName(docs), labels, most=50).collect()
+    assert len(twice) == 2 * docs.count() and all(0 <= r.score <= 1 for r in twice)
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (5, None, 1), (99, 1, 0)], "doc_id LONG, quality INT, toxic INT")
     for l_ in (labels, labels.limit(0)):
@@ -402,6 +418,25 @@ def test_ann_recall(spark):
     assert few.count() == 4 and ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4096, 40, 4])
+def test_ann_blocks_and_repeats(spark, chunk):
+    """Queries in any number of blocks find the same; rows that repeat a vec_id are candidates of their own."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1200, 8)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 30 + [(20, x[21].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>"), recall=1.0, chunk=chunk).toPandas()
+    ids, v = np.array([i for i, _ in rows]), np.array([y for _, y in rows])
+    for q in (0, 40, 1180):
+        s = ann.inner(x[q : q + 1], v)[0]
+        want = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine.vec_id) == list(ids[want]) and np.allclose(mine.score, s[want])
+    assert set(got.query_id) == set(range(0, 1200, 20))
+    for n in (2, 5, 20):
+        share = np.bincount(ann._block(np.arange(0, 20_000, 20), n), minlength=n)
+        assert share.min() > 0.5 * 1000 / n
+
+
 @pytest.mark.parametrize("case", range(30))
 def test_ann_nearest_of_a_leaf(case):
     r = np.random.default_rng(case)
