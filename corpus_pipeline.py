@@ -2,17 +2,16 @@
 
 Each stage reads what its predecessor wrote and returns the columns of documents; the last one
 returns the pieces of the packed sequences. Language ID and SimHash can't be said in SQL, so there is
-no SQL for the whole; tests compare every stage with a plain version.
+no SQL for the whole; tests compare every stage with a plain version. A stage's input and its intermediate
+tables are deleted once its output is written; the last output goes with the driver.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm import exact_dedup, language, mixing, packing, simhash
-from rollcall.llm.common import shared_folder
+from rollcall.llm.common import keep, mark, release_but
 from rollcall.llm.queries import tokenizer_file
 
 
@@ -47,9 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_but(docs, since)
     return docs

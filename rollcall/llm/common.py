@@ -83,10 +83,12 @@ def mark() -> int:
     return len(_kept)
 
 
-def release(since: int) -> None:
-    """Delete the tables kept since mark(), once what was made of them is written elsewhere."""
-    while len(_kept) > since:
-        _delete(*_kept.pop())
+def release_but(table: DataFrame, since: int) -> None:
+    """Delete the tables kept since mark(), except `table`, which keep() made of them."""
+    for spark, path in _kept[since:]:
+        if path != table.kept_at:
+            _delete(spark, path)
+    _kept[since:] = [(table.sparkSession, table.kept_at)]
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollcall.llm import ann, exact_dedup, language, lm_score, mixing, packing, pii, quality, queries, simhash, token_count
+from rollcall.llm import ann, common, exact_dedup, language, lm_score, mixing, packing, pii, quality, queries, simhash, token_count
 
 DATA = "/root/testdata/sf0.001"
 ODD = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, score DOUBLE, rid STRING, `key` INT"
@@ -789,7 +789,43 @@ def test_pipeline(spark, docs):
             want = set(classes([x.doc_id for x in r], [slow_print(x.text) for x in r]).values())
             assert {x.doc_id for x in out.collect()} == want
         at = spark.createDataFrame(out.collect(), docs.schema)
-    assert corpus_pipeline.run(spark, DATA).columns == [f.split()[0] for f in packing.SCHEMA.split(", ")]
+    folder = Path(common.run_folder(spark).removeprefix("file://"))
+    before, since = set(folder.iterdir()), common.mark()
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.columns == [f.split()[0] for f in packing.SCHEMA.split(", ")] and out.count() == out.count() > 0
+    # what the stages stored is gone, but for the result
+    assert [p.name for p in set(folder.iterdir()) - before] == [Path(out.kept_at).name] and common.mark() == since + 1
+
+
+def _multiset(df, columns):
+    return Counter(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_odd(spark, odd, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows and columns with clashing names, through every stage and through run()."""
+    from tokenizers import Tokenizer
+
+    at = spark.createDataFrame(odd.limit(0).collect() if empty else odd.collect(), ODD)
+    at.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == odd.columns
+        left = _multiset(out, odd.columns)
+        before = _multiset(at, odd.columns)
+        assert not set(left) - set(before) and (name == "mixing" or not left - before)
+        if name == "mixing" and not empty:  # copies of a row are taken as often as its own decisions say
+            sizes = {k: len(lower(k[1])) for k in before}
+            assert all(n <= 3 * before[k] for k, n in left.items() if sizes[k])
+        at = spark.createDataFrame(out.collect(), ODD)
+    t = Tokenizer.from_file(tokenizer())
+    want = Counter()
+    for r in at.collect():
+        want[r.doc_id] += len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+    assert got == want and (not empty or not got)
 
 
 def _groups(df, norm):
