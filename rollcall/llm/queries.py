@@ -1,10 +1,10 @@
-"""The ten operators as queries over the given tables, and their SQL where SQL can say the same."""
+"""The operators as queries over the given tables, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, language, lm_score, mixing, packing, pii, quality, simhash, token_count
+from . import ann, divergence, exact_dedup, language, lm_score, mixing, packing, pii, quality, simhash, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -62,9 +62,13 @@ def pages_language(spark, d):
     return language.identify_pages(_table(spark, d, "pages"), language.train(_table(spark, d, "documents")))
 
 
+def op11_divergence(spark, d):
+    return divergence.audit(_table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_nearest_neighbours, op3_lm_score, op4_simhash, op5_mixing, op6_packing, op7_personal_data, op8_exact_dedup,
-    op9_token_count, op10_language, pages_language)}
+    op9_token_count, op10_language, pages_language, op11_divergence)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
@@ -73,4 +77,18 @@ ORACLE = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256
         FROM n JOIN g ON n.norm = g.norm""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+        w AS (SELECT k, lang, source, unnest(regexp_extract_all(norm, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(c) AS lang_n FROM kept GROUP BY lang),
+        held AS (SELECT lang, source, term, count(*) AS tf FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        grp AS (SELECT g.lang, g.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(tf) AS n FROM held GROUP BY ALL) h ON g.lang = h.lang AND g.source = h.source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(tf, 0) AS tf, 1 + (1000000000::HUGEINT * (coalesce(tf, 0) + 1)) // (n + v) AS p, 1 + (1000000000::HUGEINT * (c + 1)) // (lang_n + v) AS q
+            FROM grp g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN
+            (SELECT x.lang, x.source AS a, y.source AS b, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+            ON s.lang = a.lang AND s.a = a.source AND s.b = b.source),
+        every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE tf > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every) WHERE part = 'pair' OR rank <= 200""",
 }
