@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, divergence, exact_dedup, language, lm_score, mixing, packing, pii, quality, simhash, token_count
+from . import ann, chat, divergence, exact_dedup, language, lexical, lm_score, mixing, packing, pii, quality, simhash, token_count
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,9 +66,22 @@ def op11_divergence(spark, d):
     return divergence.audit(_table(spark, d, "documents"))
 
 
+def op12_lexical_search(spark, d):
+    return lexical.search(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
+#: A conversation whose texts hold control strings.
+ESCAPED = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_format(spark, d):
+    extra = spark.createDataFrame([(-7, i, role, ESCAPED) for i, role in enumerate(("user", "assistant"))], "conv_id LONG, turn LONG, role STRING, text STRING")
+    return chat.digests(_table(spark, d, "conversations").select(extra.columns).unionByName(extra))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_nearest_neighbours, op3_lm_score, op4_simhash, op5_mixing, op6_packing, op7_personal_data, op8_exact_dedup,
-    op9_token_count, op10_language, pages_language, op11_divergence)}
+    op9_token_count, op10_language, pages_language, op11_divergence, op12_lexical_search, op13_chat_format)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = {
@@ -91,4 +104,30 @@ ORACLE = {
             ON s.lang = a.lang AND s.a = a.source AND s.b = b.source),
         every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE tf > 0 AND p > q)
         SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every) WHERE part = 'pair' OR rank <= 200""",
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+        w AS (SELECT k, doc_id, unnest(regexp_extract_all(norm, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        len AS (SELECT k, count(*) AS n FROM w GROUP BY k),
+        t AS (SELECT count(*) AS docs, sum(n) AS words FROM len),
+        tf AS (SELECT k, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, t GROUP BY term),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, tf.k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+            FROM i JOIN tf ON tf.term = i.term JOIN weight ON weight.term = i.term JOIN len ON len.k = tf.k, t GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
+    # fixed values: lengths of the marks, and the control strings
+    "op13_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+                + length(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|(begin|system|user|assistant|other|named|end|im_start|im_end|endoftext)\|>')) AS chars,
+            CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) + 5 ELSE length(role) + 19 END + 8 AS marks,
+            lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            (length('<|begin|>') + sum(chars + marks))::BIGINT AS formatted_chars,
+            bool_and(before || '-' || role IN ('start-system', 'start-user', 'system-user', 'user-assistant', 'assistant-user')) AS valid,
+            last(role ORDER BY turn, role, text) = 'assistant' AS complete
+        FROM e GROUP BY conv_id""",
 }
