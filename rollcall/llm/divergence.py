@@ -114,7 +114,7 @@ def _cell(frame):
         for group, item, by, by_none in ((a, others, p[others], none[others]), (others, a, p[a], none[a])):
             value = (square // by).sum(axis=1) + rest * (away // by_none)
             out.append(pd.DataFrame({"a": source[group], "b": source[item], "value": value if v else np.zeros(len(others), np.int64)}))
-    found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "value": []})
+    found = pd.concat(out) if out else pd.DataFrame({"a": source[:0], "b": source[:0], "value": np.zeros(0, np.int64)})
     found.insert(0, "lang", frame.lang.iloc[0])
     return found
 

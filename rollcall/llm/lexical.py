@@ -32,6 +32,8 @@ from .common import keep, slices, small_batches, texts
 K = 20
 #: Items and characters of a block, about; numbers in a block's matrix of documents; groups of tasks that merge first.
 ITEMS, CHARS, CELLS, MERGE = 256, 1 << 20, 1 << 20, 64
+#: Doubles hold whole numbers exactly below this.
+EXACT = 2**53
 
 #: Lower-cases A-Z and makes a space of every other byte below 128 that is neither letter nor digit.
 SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -146,14 +148,14 @@ def _best(hits: DataFrame, items: Items, N: int, L: int, df: np.ndarray, k: int)
     """item (its place), doc_id, score: the k best of each task for each item."""
     w = np.array([math.floor(1000 * math.log((2 * N + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
     shared = hits.sparkSession.sparkContext.broadcast((items, w))
-    step = max(1, CELLS // max(len(items.terms), 1))
+    step, exact = max(1, CELLS // max(len(items.terms), 1)), EXACT
 
     def go(batches):
         import pyarrow as pa
 
         items, w = shared.value
         times = items.matrix()
-        small = int((times * w[:, None]).sum(axis=0).max(initial=0)) * 1_000_000 < 2**53
+        small = int((times * w[:, None]).sum(axis=0).max(initial=0)) * 1_000_000 < exact
         times = times.astype(np.float64) if small else times
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))]
         least = np.zeros(len(items.ids), np.int64)  # the k-th best score so far
