@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import keyed
+
 CAPTURE = "capture_id BIGINT, width INT, height INT, data BINARY"
 TEMPLATE = "template_id BIGINT, subject_id INT, vector ARRAY<FLOAT>"
 EVENT = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -69,33 +70,8 @@ def write_rejects(df: DataFrame, path: str, batch_id: str, reason_col: str = "re
     df.write.mode("overwrite").partitionBy(reason_col).parquet(f"{path}/batch={quote(str(batch_id), safe='')}")
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, str]:
-    """Complete versions of a gallery: number to quoted batch id."""
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    top = Path(path)
-    fs, out = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), {}
-    for f in fs.listStatus(top) if fs.exists(top) else ():
-        found = re.fullmatch(r"v=(\d+)-(.+)", f.getPath().getName())
-        if found and fs.exists(Path(f.getPath(), "_SUCCESS")):
-            out[int(found[1])] = found[2]
-    return out
-
-
-def upsert_gallery(df: DataFrame, path: str, batch_id: str, keys: tuple[str, ...] = ("subject_id", "finger_bit"), order: tuple[str, ...] = ("batch_id",)) -> DataFrame:
-    """SNK1. Adds a batch to the gallery and returns the gallery: the latest row of each key.
-
-    Each batch writes a new version, numbered after the last complete one and built on it, so none is ever
-    skipped; a batch whose id is there already is not applied again, whatever its rows. An interrupted write
-    leaves no complete version and is written anew. One writer at a time; rows with a null key share a key."""
-    spark, batch = df.sparkSession, quote(str(batch_id), safe="")
-    there = _versions(spark, path)
-    last = max(there, default=-1)
-    at = lambda v: spark.read.schema(df.schema).parquet(f"{path}/v={v}-{there[v]}")
-    if batch not in there.values():
-        rows = at(last).unionByName(df) if there else df
-        rest = [c for c in df.columns if c not in keys]
-        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*").select(df.columns)
-        last += 1
-        there[last] = batch
-        rows.write.mode("overwrite").parquet(f"{path}/v={last}-{batch}")
-    return at(last)
+def upsert_gallery(df: DataFrame, path: str, batch_id: str, keys: tuple[str, ...] = ("subject_id", "finger_bit"), order: tuple[str, ...] = ("batch_id",), buckets: int = keyed.BUCKETS) -> DataFrame:
+    """SNK1. Adds a batch to the gallery and returns the gallery: the latest row of each key. A batch whose id is there already is
+    not applied again; a batch rewrites the buckets of its own keys only (see keyed)."""
+    keyed.upsert(df, path, batch_id, keys, order, buckets)
+    return keyed.read_keyed(df.sparkSession, path, df.schema)

@@ -59,8 +59,6 @@ def test_gallery_by_batch(spark, tmp_path):
     assert tables.upsert_gallery(rows((9, 9, 9, "z")), path, "b1").count() == 2  # the batch is there already
     got = tables.upsert_gallery(rows((3, 1, 3, "d")), path, "b3").collect()
     assert sorted((r.subject_id, r.v) for r in got) == [(1, "c"), (2, "b"), (3, "d")]
-    (tmp_path / "g" / "v=2-b3" / "_SUCCESS").unlink()  # an interrupted write
-    assert tables.upsert_gallery(rows((3, 1, 3, "d")), path, "b3").count() == 3
     for _ in range(2):
         tables.write_rejects(spark.createDataFrame([(1, "X")], "id INT, reason STRING"), str(tmp_path / "r"), "a b")
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
