@@ -1,19 +1,28 @@
-"""Streaming forms (R1-R9). Events need `ts` as TIMESTAMP. Within a micro-batch rows are ordered by (ts,
-seq); a row older than one of an earlier micro-batch is late and is ordered after it."""
+"""Streaming forms (R1-R9). Events need `ts` as TIMESTAMP. R2 and R8 order the rows of a micro-batch by (ts, seq); a row older than
+one of an earlier micro-batch comes after it there. R3-R6 go by event time: their state ends at the watermark, the latest `ts` seen
+less a delay, and rows that it has passed are dropped, so state stays as small as the delay allows.
+
+Sinks write by the number of the micro-batch: one that is run again after a failure replaces what it had written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.captures import acquisition_gate, check_capture_shape
 from ..operators.matching import identify
-from ..sources.tables import fresh_folder, split_rejects
+from ..sources import keyed
+from ..sources.tables import fresh_folder, split_rejects, write_rejects
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_latest_state(events: DataFrame) -> DataFrame:
-    """R1. Complete or update mode."""
+    """R1. One state a device. Update mode brings the devices that changed, complete mode all of them."""
     return events.groupBy("device_id").agg(F.max_by(F.struct("ts", "seq", "kind"), F.struct("ts", "seq")).alias("s")).select("device_id", "s.*")
 
 
@@ -46,49 +55,79 @@ def stream_changes(events: DataFrame, col: str = "kind", current: DataFrame | No
     return x.groupBy("device_id").applyInPandasWithState(_changes(col), schema, "value string", "append", GroupStateTimeout.NoTimeout)
 
 
+def keep_latest(events: DataFrame, path: str, folder: str, buckets: int = keyed.BUCKETS) -> None:
+    """R1. Feeds a keyed table of the latest state by device with what is available: the stream runs in update mode, so a
+    micro-batch holds changed devices only, and only their buckets are written. Micro-batches are applied once by their number."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if not keyed.upsert(batch, path, str(number), ("device_id",), ("ts", "seq"), buckets):
+            batch.write.format("noop").mode("overwrite").save()  # applied before: the stream's own state must move on all the same
+
+    drain(stream_latest_state(events), "update", folder, sink)
+
+
 def stream_enrollments(batches: DataFrame, delay: str) -> DataFrame:
-    """R3. A repeated batch id is applied once within the watermark."""
+    """R3. A batch id is applied once: it is remembered until the watermark has passed its `ts` by the delay, then it is new again."""
     return batches.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id"])
 
 
 def stream_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """R4. Activity sessions by inactivity gap."""
+    """R4. Activity sessions by inactivity gap. In append mode a session comes out once the watermark has passed its end, which is the gap
+    after its last event; its state goes then. Events whose own session would have ended by the watermark are dropped."""
     w = events.withWatermark("ts", delay).groupBy("device_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return w.select("device_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def _debounce(ms: int):
-    def go(key, frames, state: GroupState):
+class Debounce(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them by `ms`; then all that could follow them within ms is known."""
+
+    def __init__(self, ms: int):
+        self.ms = ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "us long, seq long, kind string")
+
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        columns = ["device_id", "ts", "seq", "kind"]
-        if state.hasTimedOut:
-            us, seq, kind = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind)], columns=columns)
-            return
-        f = pd.concat(frames)[columns].sort_values(["ts", "seq"])
-        if state.exists:
-            us, seq, kind = state.get
-            f = pd.concat([pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind)], columns=columns).astype(f.dtypes), f])
-        quiet = f.ts.shift(-1) - f.ts >= pd.Timedelta(ms, "ms")  # the last event's gap isn't known yet: it is held
-        held = (f.ts.iloc[-1].value // 1000, int(f.seq.iloc[-1]), f.kind.iloc[-1])
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[0] // 1000 + ms, state.getCurrentWatermarkMs() + 1))
-        yield f[quiet]
+        new = [(us // 1000, seq, kind) for f in rows for us, seq, kind in zip(f.ts.astype("int64"), f.seq, f.kind)]
+        self.held.appendList([(int(us), int(seq), kind) for us, seq, kind in new])
+        for at in {us // 1000 + self.ms for us, _, _ in new}:
+            self.handle.registerTimer(int(at))
+        return iter([pd.DataFrame({"device_id": [], "ts": [], "seq": [], "kind": []})][:0])
 
-    return go
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        held, now = sorted(map(tuple, self.held.get()), key=lambda r: r[:2]), expiredTimerInfo.getExpiryTimeInMs()
+        after = [r[0] for r in held[1:]] + [None]
+        known = [(r, nxt) for r, nxt in zip(held, after) if r[0] // 1000 + self.ms <= now]
+        out = [r for r, nxt in known if nxt is None or nxt - r[0] >= self.ms * 1000]
+        rest = held[len(known) :]
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind) for us, seq, kind in out], columns=["device_id", "ts", "seq", "kind"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_debounce(events: DataFrame, ms: int, delay: str) -> DataFrame:
-    """R5. Event-time timers: the held event goes out when the next one is at least ms later, or when the
-    watermark has passed it by ms."""
+    """R5. Event-time timers: an event comes out when the watermark has passed it by ms and no other event of its device lies within ms
+    after it, in whatever order they came. Sets the session's state store to RocksDB, which timers need."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     x = events.withWatermark("ts", delay).select("device_id", "ts", "seq", "kind")
-    return x.groupBy("device_id").applyInPandasWithState(_debounce(ms), "device_id long, ts timestamp, seq long, kind string", "us long, seq long, kind string", "append", GroupStateTimeout.EventTimeTimeout)
+    return x.groupBy("device_id").transformWithStateInPandas(Debounce(ms), "device_id long, ts timestamp, seq long, kind string", "append", "eventTime")
 
 
 def stream_error_counts(events: DataFrame, window: str, delay: str) -> DataFrame:
-    """R6. Errors by device and tumbling window; rows past the watermark are dropped."""
+    """R6. Errors by device and tumbling window. In append mode a window comes out once the watermark has passed its end, and its state goes
+    then; rows of windows that the watermark has passed are dropped. In complete mode nothing is dropped and all state stays. Only errors
+    move the watermark."""
     w = events.where("kind = 'Error'").withWatermark("ts", delay).groupBy("device_id", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"))
     return w.select("device_id", F.col("w.start").alias("start"), "n")
 
@@ -98,6 +137,17 @@ def stream_identify(probes: DataFrame, gallery: DataFrame, threshold: float) ->
     return run_available(probes, "append", lambda batch: identify(batch, gallery, threshold))
 
 
+def check_in(probes: DataFrame, gallery: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """R7. Appends a check-in (probe_id, ts, subject_id, score) for every probe that matches, with what is available, and returns all check-ins.
+    Started again with the same folder it goes on where it stopped, and no probe checks in twice."""
+
+    def matches(batch: DataFrame) -> DataFrame:
+        found = identify(batch, gallery, threshold).where("outcome = 'MATCH'").select("probe_id", "subject_id", "score")
+        return batch.select("probe_id", "ts").join(found, "probe_id").select("probe_id", "ts", "subject_id", "score")
+
+    return run_available(probes, "append", matches, folder=folder)
+
+
 def stream_kv(log: DataFrame, key: str, current: DataFrame | None = None) -> DataFrame:
     """R8. Each change of a preference, by namespace: from its first value on or, with `current` (ns, value: W7's rows
     of the key before the stream starts), from the value there."""
@@ -118,25 +168,31 @@ def stream_capture_gate(captures: DataFrame, min_quality: int, min_liveness: int
     return gated.withColumn("reason", F.coalesce("shape_reason", "reason")).drop("shape_reason")
 
 
-def run_available(stream: DataFrame, mode: str, transform=lambda x: x, rejects: str | None = None) -> DataFrame:
-    """Run what is available and return the sink's rows: all batches, or the last one in complete mode.
+def drain(stream: DataFrame, mode: str, folder: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Run what is available through a sink of (rows, number of the micro-batch), from where the folder's checkpoint stands."""
+    q = stream.writeStream.foreachBatch(lambda batch, number: sink(batch, number) and None).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def run_available(stream: DataFrame, mode: str, transform=lambda x: x, rejects: str | None = None, folder: str | None = None) -> DataFrame:
+    """Run what is available and return the sink's rows: all micro-batches, or the last one in complete mode. A folder
+    keeps checkpoint and rows, and the stream goes on where it stopped; without one it starts anew.
     With `rejects`, rows with a reason go to that dead-letter table and only the others are returned."""
     spark = stream.sparkSession
-    path, seen, schema = fresh_folder(spark, "stream"), {}, {}
+    path = folder or fresh_folder(spark, "stream")
 
     def sink(batch: DataFrame, number: int) -> None:
         if rejects:
-            good, bad = split_rejects(batch)
-            bad.write.mode("overwrite").partitionBy("reason").parquet(f"{rejects}/b{number}")
-            batch = good
-        out = transform(batch)
-        schema["of"] = out.schema
-        out.write.mode("overwrite").parquet(f"{path}/b{number}")
-        seen[number] = f"{path}/b{number}"
-
-    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if not seen:
-        return transform(spark.createDataFrame([], stream.schema))
-    paths = [seen[max(seen)]] if mode == "complete" else [seen[k] for k in sorted(seen)]
-    return spark.read.schema(schema["of"]).parquet(*paths)
+            batch, bad = split_rejects(batch)
+            write_rejects(bad, rejects, str(number))
+        transform(batch).write.mode("overwrite").parquet(f"{path}/out/{number}")
+
+    drain(stream, mode, path, sink)
+    empty = spark.createDataFrame([], stream.schema)
+    return _written(spark, path, transform(split_rejects(empty)[0] if rejects else empty).schema, mode)
+
+
+def _written(spark: SparkSession, path: str, schema, mode: str) -> DataFrame:
+    there = sorted(map(int, keyed.Folder(spark, path).names("out")))
+    paths = [f"{path}/out/{n}" for n in (there[-1:] if mode == "complete" else there)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
