@@ -41,8 +41,22 @@ HANDS = {"left_hand": 15, "right_hand": 960, "thumbs": 48}
 PAIRS = {"left_little_ring": 3, "left_middle_index": 12, "right_index_middle": 192, "right_ring_little": 768}
 OPTIONS = {1: "AUTO_CONTRAST", 2: "AUTO_CAPTURE", 4: "IGNORE_FINGER_COUNT"}
 COMMAND_FAILED = -10
-#: Defined status codes, as inclusive ranges.
-STATUS_CODES = [(-11, -1), (-107, -100), (-213, -200), (-299, -299), (-308, -300), (-502, -500), (-603, -600), (100, 102), (200, 203), (300, 307), (400, 400), (512, 515), (600, 602)]
+#: Names of the status codes.
+STATUS_NAMES = {
+    0: "STATUS_OK",
+    -1: "INVALID_PARAM_VALUE", -2: "MEM_ALLOC", -3: "NOT_SUPPORTED", -4: "FILE_OPEN", -5: "FILE_READ", -6: "RESOURCE_LOCKED", -7: "MISSING_RESOURCE", -8: "INVALID_ACCESS_POINTER",
+    -9: "THREAD_CREATE", -10: "COMMAND_FAILED", -11: "LIBRARY_UNLOAD_FAILED", -100: "CHANNEL_IO_COMMAND_FAILED", -101: "CHANNEL_IO_READ_FAILED", -102: "CHANNEL_IO_WRITE_FAILED",
+    -103: "CHANNEL_IO_READ_TIMEOUT", -104: "CHANNEL_IO_WRITE_TIMEOUT", -105: "CHANNEL_IO_UNEXPECTED_FAILED", -106: "CHANNEL_IO_INVALID_HANDLE", -107: "CHANNEL_IO_WRONG_PIPE_INDEX",
+    -200: "DEVICE_IO", -201: "DEVICE_NOT_FOUND", -202: "DEVICE_NOT_MATCHED", -203: "DEVICE_ACTIVE", -204: "DEVICE_NOT_INITIALIZED", -205: "DEVICE_INVALID_STATE", -206: "DEVICE_BUSY",
+    -207: "DEVICE_NOT_SUPPORTED_FEATURE", -208: "INVALID_LICENSE", -209: "USB20_REQUIRED", -210: "DEVICE_ENABLED_POWER_SAVE_MODE", -211: "DEVICE_NEED_UPDATE_FIRMWARE",
+    -212: "DEVICE_NEED_CALIBRATE_TOF", -213: "DEVICE_INVALID_CALIBRATION_DATA", -299: "DEVICE_NOT_ACCESSIBLE", -300: "CAPTURE_COMMAND_FAILED", -301: "CAPTURE_STOP", -302: "CAPTURE_TIMEOUT",
+    -303: "CAPTURE_STILL_RUNNING", -304: "CAPTURE_NOT_RUNNING", -305: "CAPTURE_INVALID_MODE", -306: "CAPTURE_ALGORITHM", -307: "CAPTURE_ROLLING", -308: "CAPTURE_ROLLING_TIMEOUT",
+    -500: "NBIS_NFIQ_FAILED", -501: "NBIS_WSQ_ENCODE_FAILED", -502: "NBIS_WSQ_DECODE_FAILED", -600: "DUPLICATE_EXTRACTION_FAILED", -601: "DUPLICATE_ALREADY_USED",
+    -602: "DUPLICATE_SEGMENTATION_FAILED", -603: "DUPLICATE_MATCHING_FAILED", 100: "CHANNEL_IO_FRAME_MISSING", 101: "CHANNEL_IO_CAMERA_WRONG", 102: "CHANNEL_IO_SLEEP_STATUS",
+    200: "OUTDATED_FIRMWARE", 201: "ALREADY_INITIALIZED", 202: "API_DEPRECATED", 203: "ALREADY_ENHANCED_IMAGE", 300: "BGET_IMAGE", 301: "ROLLING_NOT_RUNNING", 302: "NO_FINGER",
+    303: "INCORRECT_FINGERS", 304: "ROLLING_SMEAR", 305: "ROLLING_SHIFTED_HORIZONTALLY", 306: "ROLLING_SHIFTED_VERTICALLY", 307: "ROLLING_SHIFTED_HORIZONTALLY_VERTICALLY",
+    400: "EMPTY_IBSM_RESULT_IMAGE", 512: "QUALITY_INVALID_AREA", 513: "QUALITY_INVALID_AREA_HORIZONTALLY", 514: "QUALITY_INVALID_AREA_VERTICALLY",
+    515: "QUALITY_INVALID_AREA_HORIZONTALLY_VERTICALLY", 600: "INVALID_BRIGHTNESS_FINGERS", 601: "WET_FINGERS", 602: "MULTIPLE_FINGERS_DURING_ROLL"}
 #: Families of status codes, as inclusive ranges.
 FAMILIES = [(-11, -1, "general"), (-199, -100, "channel"), (-299, -200, "device"), (-399, -300, "capture"), (-499, -400, "client"), (-599, -500, "codec"), (-699, -600, "duplicate"), (100, 199, "trace"), (200, 299, "api"), (300, 399, "acquisition"), (400, 499, "image"), (512, 515, "area"), (600, 699, "finger")]
 #: property: least, most (CAPTURE_TIMEOUT may also be -1).
@@ -55,10 +69,3 @@ PROPERTY_LISTS = {"WET_FINGER_DETECT_LEVEL_THRESHOLD": (10, 1000, 5)}
 def lookup(code: Column, table: dict) -> Column:
     """The table's value for a code, null for an unknown one: a literal map, so no join."""
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), code)
-
-
-def in_ranges(code: Column, ranges) -> Column:
-    out = F.lit(False)
-    for lo, hi, *_ in ranges:
-        out = out | code.between(lo, hi)
-    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import COMMAND_FAILED, FAMILIES, FINGER_BITS, HANDS, PAIRS, STATUS_CODES, in_ranges, lookup
+from ..functions.codes import COMMAND_FAILED, FAMILIES, FINGER_BITS, HANDS, PAIRS, STATUS_NAMES, lookup
 
 
 def check_capture_shape(df: DataFrame, width: int = 400, height: int = 500, length: Column | None = None) -> DataFrame:
@@ -32,12 +32,12 @@ def decode_quality_array(df: DataFrame, col: str, table: dict, out: str = "quali
 
 
 def classify_status(df: DataFrame, code_col: str) -> DataFrame:
-    """P4. severity, effective_code (an unknown code counts as COMMAND_FAILED) and family."""
+    """P4. severity, effective_code (an unknown code counts as COMMAND_FAILED), its name, and family."""
     raw = F.col(code_col)
-    code = F.when((raw == 0) | in_ranges(raw, STATUS_CODES), raw).otherwise(F.lit(COMMAND_FAILED))
+    code = F.when(raw.isin(list(STATUS_NAMES)), raw).otherwise(F.lit(COMMAND_FAILED))
     family = F.coalesce(*[F.when(F.col("effective_code").between(lo, hi), F.lit(name)) for lo, hi, name in FAMILIES])
     severity = F.when(F.col("effective_code") == 0, "OK").when(F.col("effective_code") < 0, "ERROR").otherwise("WARNING")
-    return df.withColumn("effective_code", F.when(raw.isNotNull(), code)).withColumn("severity", F.when(raw.isNotNull(), severity)).withColumn("family", family)
+    return df.withColumn("effective_code", F.when(raw.isNotNull(), code)).withColumn("severity", F.when(raw.isNotNull(), severity)).withColumn("family", family).withColumn("status_name", lookup(F.col("effective_code").cast("int"), STATUS_NAMES))
 
 
 def decode_finger_mask(df: DataFrame, col: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Device event log (U1, P14, P15, W1-W6, J6, J7, J10, A4, A5, A7, A8). Order is (ts, seq)."""
+"""Device event log (U1, P14, P15, W1-W6, J6, J7, J10, A4, A5, A7, A8). Order is (ts, seq).
+
+W2-W6 and J10 scan a device's rows in order; devices of more than `chunk` rows are scanned by chunks (see scan), with the same rows
+as a result."""
 
 from __future__ import annotations
 
@@ -9,16 +12,21 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import PROPERTY_EXTRA, PROPERTY_LISTS, PROPERTY_RANGES
 from .captures import classify_status
+from .scan import CHUNK, Scan, last_known, scanned
 
 VENDOR = 0x113F
 
 
-def _w(key: str = "device_id"):
-    return Window.partitionBy(key).orderBy("ts", "seq")
+ORDER = ("ts", "seq")
+
 
+def _latest(*cols: Column | str) -> Column:
+    """The columns' values in the last row, as a struct."""
+    return F.max_by(F.struct(*cols), F.struct(*ORDER))
 
-def _so_far(key: str = "device_id"):
-    return _w(key).rowsBetween(Window.unboundedPreceding, 0)
+
+def _last_not_null(c: str) -> Column:
+    return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*ORDER)))
 
 
 def union_channels(*channels: DataFrame) -> DataFrame:
@@ -50,52 +58,85 @@ def latest_state(df: DataFrame, key: str = "device_id", default: tuple[DataFrame
     return out
 
 
-def distinct_until_changed(df: DataFrame, cols: list[str], key: str = "device_id") -> DataFrame:
+def distinct_until_changed(df: DataFrame, cols: list[str], key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
     """W2. Rows that differ, null-safe, from the row before them; the first one stays."""
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lag(c).over(_w(key))) for c in cols])
-    return df.withColumn("_same", same & (F.row_number().over(_w(key)) > 1)).where(~F.col("_same")).drop("_same")
 
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, _before=(_latest(*cols), F.last)).withColumn("_first", s.first())
+        before = lambda c: F.when(F.col("_first"), F.col("_before")[c]).otherwise(F.lag(c).over(s.window))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(before(c)) for c in cols])
+        return x.withColumn("_same", same & (~F.col("_first") | F.col("_before").isNotNull())).where(~F.col("_same")).select(df.columns)
+
+    return scanned(df, work, key, ORDER, chunk)
 
-def device_sessions(df: DataFrame) -> DataFrame:
+
+def device_sessions(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """W3. From Attached to the next Detached; a repeated Attached opens nothing; the last may stay open."""
     flag = F.when(F.col("kind") == "Attached", 1).when(F.col("kind") == "Detached", 0)
-    x = df.select("device_id", "ts", "seq", "kind", flag.alias("flag"))
-    before = F.coalesce(F.last("flag", ignorenulls=True).over(_w().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("opens", F.when((F.col("flag") == 1) & (before == 0), 1).otherwise(0)).withColumn("closes", F.when((F.col("flag") == 0) & (before == 1), 1).otherwise(0))
-    x = x.withColumn("session", F.sum("opens").over(_so_far())).withColumn("inside", (before == 1) | (F.col("opens") == 1)).where("inside")
+
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, _flag=(_last_not_null("flag"), last_known))
+        before = F.coalesce(F.last("flag", ignorenulls=True).over(s.before), "_flag", F.lit(0))
+        x = x.withColumn("attached", before).withColumn("opens", F.when((F.col("flag") == 1) & (F.col("attached") == 0), 1).otherwise(0))
+        x = s.carry(x.drop("_flag"), _opened=(F.sum("opens"), F.sum))
+        x = x.withColumn("session", F.sum("opens").over(s.so_far) + F.coalesce("_opened", F.lit(0)))
+        closes = (F.col("flag") == 0) & (F.col("attached") == 1)
+        return x.where((F.col("attached") == 1) | (F.col("opens") == 1)).select("device_id", "session", "ts", "kind", closes.alias("closes"))
+
+    x = scanned(df.select("device_id", *ORDER, "kind", flag.alias("flag")), work, "device_id", ORDER, chunk)
     return x.groupBy("device_id", "session").agg(
-        F.min("ts").alias("opened"), F.max(F.when(F.col("closes") == 1, F.col("ts"))).alias("closed"), F.count_if(F.col("kind") == "Error").alias("n_errors")
+        F.min("ts").alias("opened"), F.max(F.when(F.col("closes"), F.col("ts"))).alias("closed"), F.count_if(F.col("kind") == "Error").alias("n_errors")
     ).withColumn("duration_us", F.unix_micros("closed") - F.unix_micros("opened"))
 
 
-def capture_cycles(df: DataFrame) -> DataFrame:
+def capture_cycles(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """W4. A cycle opens at each Default; first platen, process, acquired and result times; COMPLETED, ERROR or ABANDONED."""
-    x = df.withColumn("cycle", F.sum(F.when(F.col("kind") == "Default", 1).otherwise(0)).over(_so_far())).where("cycle > 0")
+    opens = F.sum(F.when(F.col("kind") == "Default", 1).otherwise(0))
+
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, _cycles=(opens, F.sum))
+        return x.withColumn("cycle", opens.over(s.so_far) + F.coalesce("_cycles", F.lit(0))).where("cycle > 0").select("device_id", "cycle", "ts", "kind")
+
+    x = scanned(df.select("device_id", *ORDER, "kind"), work, "device_id", ORDER, chunk)
     first = {k.lower(): F.min(F.when(F.col("kind") == k, F.col("ts"))).alias(k.lower()) for k in ("Platen", "Process", "Acquired", "Result")}
     out = x.groupBy("device_id", "cycle").agg(F.min("ts").alias("opened"), *first.values(), F.count_if(F.col("kind") == "Error").alias("n_errors"))
     return out.withColumn("outcome", F.when(F.col("n_errors") > 0, "ERROR").when(F.col("result").isNotNull(), "COMPLETED").otherwise("ABANDONED")).withColumn(
         "latency_us", F.unix_micros("result") - F.unix_micros("opened"))
 
 
-def init_progress(df: DataFrame) -> DataFrame:
+def init_progress(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """W5. Running maximum of Initialize progress, completion and regressions."""
-    x = only_kind(df, "Initialize")
-    return x.withColumn("best", F.max("progress").over(_so_far())).withColumn("completed", F.col("best") >= 100).withColumn(
-        "regressed", F.coalesce(F.col("progress") < F.lag("progress").over(_w()), F.lit(False)))
 
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, _best=(F.max("progress"), F.max), _last=(_latest("progress"), F.last))
+        before = F.when(s.first(), F.col("_last")["progress"]).otherwise(F.lag("progress").over(s.window))
+        x = x.withColumn("best", F.greatest(F.max("progress").over(s.so_far), "_best")).withColumn("completed", F.col("best") >= 100)
+        return x.withColumn("regressed", F.coalesce(F.col("progress") < before, F.lit(False))).select(*df.columns, "best", "completed", "regressed")
+
+    return scanned(only_kind(df, "Initialize"), work, "device_id", ORDER, chunk)
 
-def debounce(df: DataFrame, ms: int, key: str = "device_id") -> DataFrame:
+
+def debounce(df: DataFrame, ms: int, key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
     """W6. Events without another one of their key within ms after them; the last one stays."""
-    gap = F.unix_micros(F.lead("ts").over(_w(key))) - F.unix_micros("ts")
-    return df.withColumn("_gap", gap).where(F.coalesce(F.col("_gap") >= ms * 1000, F.lit(True))).drop("_gap")
 
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, after=True, _next=(F.min("ts"), F.min))
+        gap = F.unix_micros(F.coalesce(F.lead("ts").over(s.window), "_next")) - F.unix_micros("ts")
+        return x.withColumn("_gap", gap).where(F.coalesce(F.col("_gap") >= ms * 1000, F.lit(True))).select(df.columns)
+
+    return scanned(df, work, key, ORDER, chunk)
 
-def combine_latest(a: DataFrame, b: DataFrame, key: str = "device_id") -> DataFrame:
+
+def combine_latest(a: DataFrame, b: DataFrame, key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
     """J10. At each event of either stream, the latest kind of both. Rows before both have spoken are left out."""
-    u = a.select(key, "ts", "seq", F.col("kind").alias("a_kind")).unionByName(b.select(key, "ts", "seq", F.col("kind").alias("b_kind")), allowMissingColumns=True)
-    both = [F.last(c, ignorenulls=True).over(_so_far(key)).alias(c) for c in ("a_kind", "b_kind")]
-    out = u.select(key, "ts", "seq", *both).where("a_kind is not null and b_kind is not null")
-    return out.withColumn("ready_to_scan", (F.col("a_kind") == "Platen") & F.col("b_kind").isin("Initialize", "Ready"))
+    u = a.select(key, *ORDER, F.col("kind").alias("a_kind")).unionByName(b.select(key, *ORDER, F.col("kind").alias("b_kind")), allowMissingColumns=True)
+
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, _a=(_last_not_null("a_kind"), last_known), _b=(_last_not_null("b_kind"), last_known))
+        both = [F.coalesce(F.last(c, ignorenulls=True).over(s.so_far), before).alias(c) for c, before in (("a_kind", "_a"), ("b_kind", "_b"))]
+        return x.select(key, *ORDER, *both).where("a_kind is not null and b_kind is not null")
+
+    return scanned(u, work, key, ORDER, chunk).withColumn("ready_to_scan", (F.col("a_kind") == "Platen") & F.col("b_kind").isin("Initialize", "Ready"))
 
 
 def error_breakdown(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Identification over template vectors.
 
-Scores are inner products in double precision, or whatever a `matcher` gives: a function of two numpy
-matrices (probes by components, templates by components) to the matrix of scores. Ranks and thresholds
+Scores are inner products in double precision, or whatever a customer's own matcher gives (X1): `matcher` is a function of two numpy
+matrices (probes by components, templates by components) to the matrix of scores; `score_fn` is a function of two array columns to a
+Column, or a pandas_udf of two series of vectors to doubles. A null or NaN score is no candidate. Ranks and thresholds
 look at the raw score; the output is rounded to `digits`. Vectors that are null, empty, or hold null or
 non-finite components take no part; vectors of different lengths never meet.
 
@@ -18,6 +19,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 DIGITS = 4
 #: Probes that are sent to all tasks at most, templates in a block, and scores that are held at a time.
@@ -26,7 +28,11 @@ PROBES, TEMPLATES, SCORES = 10_000, 16_384, 4_000_000
 BUCKET, LEAST_PLANES = 4096, 6
 PRIME = 1_000_003
 
+#: Templates in an array that a score expression goes through, and arrays' groups that a small gallery is dealt into.
+ARRAY, SPREAD = 256, 64
+
 Matcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Expression = Callable[[Column, Column], Column]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,17 +59,22 @@ def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, matcher: Matc
     out, step = [], max(1, SCORES // max(len(x), 1))
     for i in range(0, len(q), step):
         part = q[i : i + step]
-        s = part @ x.T if matcher is None else np.asarray(matcher(part, x), np.float64)
+        s = part @ x.T if matcher is None else _scored(matcher, part, x)
         slack = 0.0
         if matcher is None:
             slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * np.sqrt((part**2).sum(axis=1) * (x**2).sum(axis=1).max(initial=0.0))[:, None]
         kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else np.full((len(part), 1), -np.inf)
-        r, c = np.nonzero(s >= kth - slack)
+        r, c = np.nonzero((s >= kth - slack) & (s > -np.inf))
         v = _added(part, x, r, c) if matcher is None else s[r, c]
         out.append(_first(i + r, c, v, ids[c], k))
     return tuple(np.concatenate(y) for y in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _scored(matcher: Matcher, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    s = np.asarray(matcher(q, x), np.float64)
+    return np.where(np.isnan(s), -np.inf, s)
+
+
 def _added(q, x, r, c, some: int = 20_000) -> np.ndarray:
     parts = [np.cumsum(q[r[j : j + some]] * x[c[j : j + some]], axis=1)[:, -1] for j in range(0, len(r), some)]
     return np.concatenate(parts) if parts else np.zeros(0)
@@ -121,11 +132,53 @@ def _scan(shared, k: int, matcher: Matcher | None):
     return go
 
 
-def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None) -> DataFrame:
+def _own_score(score_fn, matcher: Matcher | None) -> tuple[Expression | None, Matcher | None]:
+    """A pandas_udf of two series becomes a matcher, one probe at a time; everything else is an expression."""
+    if score_fn is None or matcher is not None:
+        return None, matcher
+    if not hasattr(score_fn, "evalType"):
+        return score_fn, None
+    if score_fn.evalType != PythonEvalType.SQL_SCALAR_PANDAS_UDF:
+        raise ValueError("score_fn is to be a pandas_udf of two series to a series")
+    series = score_fn.func
+
+    def scored(q, x):
+        import pandas as pd
+
+        templates = pd.Series(list(x))
+        return np.array([np.asarray(series(pd.Series([one] * len(x)), templates), np.float64) for one in q]).reshape(len(q), len(x))
+
+    return None, scored
+
+
+def _by_expression(p: DataFrame, g: DataFrame, k: int, score: Expression) -> DataFrame:
+    """The k best for each probe and key, from probes and templates of the same key: templates lie in arrays of about ARRAY, and an expression
+    goes through each, so that a row is a probe and an array, never a pair."""
+    part = F.pmod(F.xxhash64("template_id", F.lit("array")), F.greatest(F.lit(1), F.ceil(F.col("n") / ARRAY)))
+    sizes = g.groupBy("key").agg(F.count("*").alias("n"))
+    arrays = g.join(sizes, "key").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("template_id", "subject_id", "vector")).alias("templates"))
+
+    def scored(t):
+        s = score(F.col("vector"), t["vector"]).cast("double")
+        return F.struct((-F.when(~F.isnan(s), s)).alias("down"), t["template_id"].alias("template_id"), t["subject_id"].alias("subject_id"))
+
+    same = F.filter("templates", lambda t: F.size(t["vector"]) == F.size("vector"))
+    best = F.slice(F.array_sort(F.filter(F.transform(same, scored), lambda x: x["down"].isNotNull())), 1, k)
+    found = p.join(arrays, "key").select("probe_id", F.explode(best).alias("b"))
+    return found.select("probe_id", "b.template_id", "b.subject_id", (-F.col("b.down")).alias("score"))
+
+
+def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None, score_fn=None) -> DataFrame:
     """probe_id, template_id, subject_id, score, rank of the k best templates of each probe."""
+    score, matcher = _own_score(score_fn, matcher)
     p = valid(probes.select(F.col("probe_id").cast("long"), "vector"))
     kind = gallery.schema["subject_id"].dataType
     g = valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector"))
+    if score:
+        n = F.greatest(F.lit(1), F.ceil(g.agg(F.count("*")).scalar() / TEMPLATES), F.least(F.lit(SPREAD), F.ceil(g.agg(F.count("*")).scalar() / ARRAY))).cast("int")
+        p = p.withColumn("key", F.explode(F.sequence(F.lit(0), n - 1)))
+        found = _by_expression(p, g.withColumn("key", F.pmod(F.xxhash64("template_id"), n).cast("int")), k, score)
+        return _top(found, k).withColumn("subject_id", F.col("subject_id").cast(kind))
     few = p.limit(PROBES + 1).toPandas()
     if len(few) <= PROBES:
         ids = few.probe_id.to_numpy()
@@ -148,9 +201,9 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def identify(probes: DataFrame, gallery: DataFrame, threshold: float, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
+def identify(probes: DataFrame, gallery: DataFrame, threshold: float, matcher: Matcher | None = None, digits: int = DIGITS, score_fn: Expression | None = None) -> DataFrame:
     """J1. probe_id, outcome (MATCH or RETRY), subject_id, template_id, score, reason; ties to the lowest template_id."""
-    return _answer(probes, _best(probes, gallery, 1, matcher), threshold, digits)
+    return _answer(probes, _best(probes, gallery, 1, matcher, score_fn), threshold, digits)
 
 
 def _answer(probes: DataFrame, best: DataFrame, threshold: float, digits: int) -> DataFrame:
@@ -160,9 +213,9 @@ def _answer(probes: DataFrame, best: DataFrame, threshold: float, digits: int) -
         F.coalesce(F.round("score", digits), F.lit(0.0)).alias("score"), F.when(F.col("score").isNull(), "NO_CANDIDATE").when(~ok, "LOW_SCORE").alias("reason"))
 
 
-def candidates(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
+def candidates(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None = None, digits: int = DIGITS, score_fn: Expression | None = None) -> DataFrame:
     """T1. The k best templates of each probe, ties to the lowest template_id."""
-    return _best(probes, gallery, k, matcher).withColumn("score", F.round("score", digits)).select("probe_id", "template_id", "subject_id", "score", "rank")
+    return _best(probes, gallery, k, matcher, score_fn).withColumn("score", F.round("score", digits)).select("probe_id", "template_id", "subject_id", "score", "rank")
 
 
 # -- buckets of random hyperplanes
@@ -227,9 +280,10 @@ def _by_bucket(matcher: Matcher | None):
     return go
 
 
-def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, planes: int = LEAST_PLANES, tables: int = 9, matcher: Matcher | None = None, digits: int = DIGITS) -> DataFrame:
+def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, planes: int = LEAST_PLANES, tables: int = 9, matcher: Matcher | None = None, digits: int = DIGITS, score_fn: Expression | None = None) -> DataFrame:
     """J2. The answer of J1 over candidates that share a bucket with the probe in some table; compare with J1 for recall.
     Buckets of more than TEMPLATES templates are dealt out in chunks, each of which meets all probes of the bucket."""
+    score, matcher = _own_score(score_fn, matcher)
     kind = gallery.schema["subject_id"].dataType
     p = _in_buckets(valid(probes.select(F.col("probe_id").cast("long"), "vector")), planes, tables)
     g = _in_buckets(valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector")), planes, tables)
@@ -239,15 +293,28 @@ def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, pl
     none, key = F.lit(None).cast("long").alias("subject_id"), F.xxhash64("t", "bucket", "chunk", F.size("vector")).alias("key")  # a collision only adds comparisons
     p = p.join(hot, ["t", "bucket"], "left").select("probe_id", "vector", "t", "bucket", every.alias("chunk")).select(key, F.lit(1).alias("side"), F.col("probe_id").alias("id"), none, "vector")
     g = g.join(hot, ["t", "bucket"], "left").select("template_id", "subject_id", "vector", "t", "bucket", own.alias("chunk")).select(key, F.lit(0).alias("side"), F.col("template_id").alias("id"), "subject_id", "vector")
+    if score:
+        templates = g.select("key", F.col("id").alias("template_id"), "subject_id", "vector")
+        found = _by_expression(p.select("key", F.col("id").alias("probe_id"), "vector"), templates, 1, score)
+        return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
     found = g.unionByName(p).repartition("key").sortWithinPartitions("key", "side").mapInPandas(_by_bucket(matcher), FOUND)
     return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
 
 
-def duplicate_fingers(prints: DataFrame, threshold: float) -> DataFrame:
-    """J3. For each print, the OR of the finger bits of earlier prints of its session that score at least the threshold (0: none)."""
+def duplicate_fingers(prints: DataFrame, thresholds: float | DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """J3. For each print, the OR of the finger bits of earlier prints of its session that score at least the threshold (0: none). A session
+    stores few prints. One threshold for all, or thresholds (security_level, threshold) with the level of each session in
+    sessions (session_id, security_level); where a session has no level, or its level no threshold, nothing counts as a duplicate."""
     a = prints.select("session_id", "print_id", F.col("vector").alias("v"))
     b = prints.select("session_id", F.col("print_id").alias("other"), "finger_bit", F.col("vector").alias("w"))
-    hit = a.join(b, "session_id").where("other < print_id").where(dot(F.col("v"), F.col("w")) >= threshold)
+    if isinstance(thresholds, DataFrame):
+        if sessions is None:
+            raise ValueError("thresholds by level need the sessions' levels")
+        levels = thresholds.select("security_level", F.col("threshold").cast("double").alias("least"))
+        a = a.join(sessions.select("session_id", "security_level").join(levels, "security_level").select("session_id", "least"), "session_id")
+    else:
+        a = a.withColumn("least", F.lit(float(thresholds)))
+    hit = a.join(b, "session_id").where("other < print_id").where(dot(F.col("v"), F.col("w")) >= F.col("least"))
     mask = hit.groupBy("session_id", "print_id").agg(F.bit_or("finger_bit").alias("m"))
     return prints.select("session_id", "print_id").join(mask, ["session_id", "print_id"], "left").select("session_id", "print_id", F.coalesce("m", F.lit(0)).alias("matched_mask"))
 
@@ -260,7 +327,7 @@ def _pairs_of(frame, threshold: float, matcher: Matcher | None, digits: int, bot
     for _, (at, x) in _by_length(frame.vector.to_numpy()).items():
         ids, subject, block = (frame[c].to_numpy()[at] for c in ("template_id", "subject_id", "block"))
         for i in range(0, len(x), step := max(1, SCORES // max(len(x), 1))):
-            s = x[i : i + step] @ x.T if matcher is None else np.asarray(matcher(x[i : i + step], x), np.float64)
+            s = x[i : i + step] @ x.T if matcher is None else _scored(matcher, x[i : i + step], x)
             ok = (ids[i : i + step, None] < ids) & (subject[i : i + step, None] != subject) & both(block[i : i + step, None], block)
             r, c = np.nonzero(ok & (s >= threshold - 1e-9))
             v = _added(x[i : i + step], x, r, c) if matcher is None else s[r, c]

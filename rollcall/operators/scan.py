@@ -29,12 +29,12 @@ def split_busy(df: DataFrame, key: str, order: tuple[str, ...], chunk: int = CHU
     Counting the rows of each key is a job of its own. Chunks are stored, since ranges are found by sampling and must not be
     found twice; rows that are equal in key and order share a chunk."""
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
+    if sizes.isEmpty():
+        return df, None
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, "busy")
     sizes.write.parquet(f"{path}/keys")
     busy = spark.read.schema(sizes.schema).parquet(f"{path}/keys")  # fewer rows than one for each `chunk` rows of df
     total = busy.agg(F.sum("_rows")).first()[0]
-    if not total:
-        return df, None
     named = F.broadcast(busy.select(F.col(key).alias("_key")))
     same = F.col(key).eqNullSafe(F.col("_key"))
     # half a chunk on average, so that uneven samples don't make one larger than a chunk
@@ -57,9 +57,6 @@ class Scan:
         """The partition's first row; another chunk may come before it."""
         return F.row_number().over(self.window) == 1
 
-    def last(self) -> Column:
-        return F.lead(F.lit(True)).over(self.window).isNull()
-
     def carry(self, rows: DataFrame, after: bool = False, **sums: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
         """Adds what the chunks before (or after) a row's chunk come to: an aggregate of each chunk, and how to put those of several
         chunks together, in order. Null where there is no such chunk."""

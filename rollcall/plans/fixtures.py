@@ -71,9 +71,19 @@ SELECT concat(CASE WHEN event_id % 4 = 0 THEN 'S' ELSE 'C' END, CAST(user_id AS
 FROM events WHERE event_type IN ('click', 'view')"""
 F8_STUDENTS = "SELECT concat('C', CAST(c_custkey AS STRING)) AS subject_id FROM customer"
 F8_STAFF = "SELECT concat('S', CAST(s_suppkey AS STRING)) AS subject_id FROM supplier"
-F9 = "SELECT concat('C', CAST(user_id AS STRING)) AS subject_id, CAST(ts AS DATE) AS start_day FROM events WHERE event_type = 'purchase'"
+# leaves of -2 to 6 days, some of ten years and some without an end
+F9 = """
+SELECT concat('C', CAST(user_id AS STRING)) AS subject_id, CAST(ts AS DATE) AS start_day, CASE WHEN event_id % 97 = 0 THEN NULL
+  ELSE CAST(CAST(ts AS DATE) + CAST(CASE WHEN event_id % 53 = 0 THEN 3650 ELSE event_id % 9 - 2 END AS INT) * INTERVAL '1' DAY AS DATE) END AS end_day
+FROM events WHERE event_type = 'purchase'"""
 F10_BATCHES = "SELECT o_orderkey AS batch_id, o_custkey AS subject_id FROM orders"
 F10_CAPTURES = "SELECT l_orderkey AS batch_id, CAST(l_quantity AS INT) * 2 AS quality, l_returnflag <> 'R' OR l_linestatus <> 'F' AS shape_ok FROM lineitem"
+# enrollment batches with those that are sent again: at once, after 20 days, after 1100 days
+F10_SENT = """
+SELECT o_orderkey AS batch_id, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders
+UNION ALL SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '20' DAY FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1100' DAY FROM orders WHERE o_orderkey % 7 = 0"""
 F10_SLOTS = """
 SELECT vec_id $div 10 AS session_id, CAST(power(2, (vec_id * 3 + round) % 4) AS INT) AS finger_bit, round * 1000000 + vec_id AS seq,
   CASE WHEN (vec_id + round) % 3 = 0 THEN 'remove' ELSE 'add' END AS op, vec_id % 5 = 0 AS force

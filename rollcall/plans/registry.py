@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import accounts, attendance, captures, devices, enrollment, matching, prefs
-from ..sources import tables
+from ..sources import keyed, tables
 from ..streaming import events as st
 from . import fixtures as fx
 
@@ -125,12 +126,45 @@ def _(s, d):
     return captures.decode_codes(x, "quality_code", codes.FINGER_QUALITY, "reject", out="quality").select("seq", "format", "quality", "quality_reason")
 
 
+# Fixed values, written out apart from the operator's tables so that a mistake in either shows.
+WIRE = {
+    "image_type": """0 TYPE_NONE, 1 ROLL_SINGLE_FINGER, 2 FLAT_SINGLE_FINGER, 3 FLAT_TWO_FINGERS, 4 FLAT_FOUR_FINGERS, 5 FLAT_THREE_FINGERS""",
+    "image_format": """0 GRAY, 1 RGB24, 2 RGB32, 3 UNKNOWN""",
+    "resolution": """500 RESOLUTION_500, 1000 RESOLUTION_1000""",
+    "finger_count": """0 FINGER_COUNT_OK, 1 TOO_MANY_FINGERS, 2 TOO_FEW_FINGERS, 3 NON_FINGER""",
+    "finger_quality": """0 FINGER_NOT_PRESENT, 1 GOOD, 2 FAIR, 3 POOR, 4 INVALID_AREA_TOP, 5 INVALID_AREA_LEFT, 6 INVALID_AREA_RIGHT, 7 INVALID_AREA_BOTTOM""",
+    "platen": """0 CLEARD, 1 HAS_FINGERS""",
+    "rolling": """0 NOT_PRESENT, 1 TAKE_ACQUISITION, 2 COMPLETE_ACQUISITION, 3 RESULT_IMAGE""",
+    "event_type": """1 COMMUNICATION_BROKEN, 2 PREVIEW_IMAGE_AVAILABLE, 3 ACQUISITION_BEGUN, 4 ACQUISITION_COMPLETED, 5 RESULT_IMAGE_AVAILABLE, 6 FINGER_QUALITY_CHANGED, 7 FINGER_COUNT_CHANGED, 9
+        PLATEN_STATE_CHANGED, 11 WARNING_RECEIVED, 12 RESULT_IMAGE_EXTENDED_AVAILABLE, 13 KEYBUTTON""",
+    "stored_format": """0 NO_BIT_PACKING, 1 BIT_PACKED, 2 WSQ, 3 JPEG_LOSSY, 4 JPEG2000_LOSSY, 5 JPEG2000_LOSSLESS, 6 PNG""",
+    "impression_type": """0 LIVE_SCAN_PLAIN, 1 LIVE_SCAN_ROLLED, 2 NONLIVE_SCAN_PLAIN, 3 NONLIVE_SCAN_ROLLED, 4 LATENT_IMPRESSION, 5 LATENT_TRACING, 6 LATENT_PHOTO, 7 LATENT_LIFT, 8 LIVE_SCAN_SWIPE, 9
+        LIVE_SCAN_VERTICAL_ROLL, 10 LIVE_SCAN_PALM, 11 NONLIVE_SCAN_PALM, 12 LATENT_PALM_IMPRESSION, 13 LATENT_PALM_TRACING, 14 LATENT_PALM_PHOTO, 15 LATENT_PALM_LIFT, 24
+        LIVE_SCAN_OPTICAL_CONTRCTLESS_PLAIN, 28 OTHER, 29 UNKNOWN""",
+    "finger_position": """0 UNKNOWN, 1 RIGHT_THUMB, 2 RIGHT_INDEX_FINGER, 3 RIGHT_MIDDLE_FINGER, 4 RIGHT_RING_FINGER, 5 RIGHT_LITTLE_FINGER, 6 LEFT_THUMB, 7 LEFT_INDEX_FINGER, 8 LEFT_MIDDLE_FINGER, 9
+        LEFT_RING_FINGER, 10 LEFT_LITTLE_FINGER, 13 PLAIN_RIGHT_FOUR_FINGERS, 14 PLAIN_LEFT_FOUR_FINGERS, 15 PLAIN_THUMBS, 20 UNKNOWN_PALM, 21 RIGHT_FULL_PALM, 22 RIGHT_WRITERS_PALM, 23
+        LEFT_FULL_PALM, 24 LEFT_WRITERS_PALM, 25 RIGHT_LOWER_PALM, 26 RIGHT_UPPER_PALM, 27 LEFT_LOWER_PALM, 28 LEFT_UPPER_PALM, 29 RIGHT_OTHER, 30 LEFT_OTHER, 31 RIGHT_INTERDIGITAL, 32
+        RIGHT_THENAR, 33 RIGHT_HYPOTHENAR, 34 LEFT_INTERDIGITAL, 35 LEFT_THENAR, 36 LEFT_HYPOTHENAR, 40 RIGHT_INDEX_AND_MIDDLE, 41 RIGHT_MIDDLE_AND_RING, 42 RIGHT_RING_AND_LITTLE, 43
+        LEFT_INDEX_AND_MIDDLE, 44 LEFT_MIDDLE_AND_RING, 45 LEFT_RING_AND_LITTLE, 46 RIGHT_INDEX_AND_LEFT_INDEX, 47 RIGHT_INDEX_AND_MIDDLE_AND_RING, 48 RIGHT_MIDDLE_AND_RING_AND_LITTLE, 49
+        LEFT_INDEX_AND_MIDDLE_AND_RING, 50 LEFT_MIDDLE_AND_RING_AND_LITTLE""",
+    "capture_tech": """0 UNKNOWN_OR_UNSPECIFIED, 1 WHITE_LIGHT_OPTICAL_TIR, 2 WHITE_LIGHT_OPTICAL_DIRECT_VIEW_ON_PLATEN, 3 WHITE_LIGHT_OPTICAL_TOUCHLESS, 4 MONOCHROMATIC_VISIBLE_OPTICAL_TIR, 5
+        MONOCHROMATIC_VISIBLE_OPTICAL_DIRECT_VIEW_ON_PLATEN, 6 MONOCHROMATIC_VISIBLE_OPTICAL_TOUCHLESS, 7 MONOCHROMATIC_IR_OPTICAL_TIR, 8 MONOCHROMATIC_IR_OPTICAL_DIRECT_VIEW_ON_PLATEN, 9
+        MONOCHROMATIC_IR_OPTICAL_TOUCHLESS, 10 MULTISPECTRAL_OPTICAL_TIR, 11 MULTISPECTRAL_OPTICAL_DIRECT_VIEW_ON_PLATEN, 12 MULTISPECTRAL_OPTICAL_TOUCHLESS, 13 ELECTRO_LUMINESCENT, 14
+        SEMICONDUCTOR_CAPACITIVE, 15 SEMICONDUCTOR_RF, 16 SEMICONDUCTOR_THEMAL, 17 PRESSURE_SENSITIVE, 18 ULTRASOUND, 19 MECHANICAL, 20 GLASS_FIBER""",
+}
+
+
+def written(col: str, names: str) -> str:
+    """CASE of a text of codes and names."""
+    return f"CASE {col} " + " ".join("WHEN {} THEN '{}'".format(*x.split()) for x in names.split(",")) + " END"
+
+
 TABLES = ("IMAGE_TYPE", "IMAGE_FORMAT", "RESOLUTION", "FINGER_COUNT", "FINGER_QUALITY", "PLATEN", "ROLLING", "EVENT_TYPE", "STORED_FORMAT", "IMPRESSION_TYPE", "FINGER_POSITION", "CAPTURE_TECH")
 DEFAULTS = {"IMAGE_TYPE": "TYPE_NONE", "IMAGE_FORMAT": "UNKNOWN"}
 RAW = "CASE WHEN seq % 3 = 0 THEN 500 * CAST(seq % 4 AS INT) ELSE CAST(seq % 53 AS INT) END"
 
 
-@query("p2_all_tables", "SELECT seq, " + ", ".join(f"coalesce({case('raw', getattr(codes, t))}, '{DEFAULTS.get(t, '-')}') AS {t.lower()}" for t in TABLES) + f" FROM (SELECT seq, {RAW} AS raw FROM f3)", f3=fx.F3)
+@query("p2_all_tables", "SELECT seq, " + ", ".join(f"coalesce({written('raw', WIRE[t.lower()])}, '{DEFAULTS.get(t, '-')}') AS {t.lower()}" for t in TABLES) + f" FROM (SELECT seq, {RAW} AS raw FROM f3)", f3=fx.F3)
 def _(s, d):
     x = log(s, d).select("seq", F.expr(RAW).alias("raw"))
     for t in TABLES:
@@ -144,26 +178,39 @@ def _(s, d):
 
 
 # Fixed values, written out apart from the operator's table so that a mistake in either shows.
-DEFINED = """0, -1, -2, -3, -4, -5, -6, -7, -8, -9, -10, -11, -100, -101, -102, -103, -104, -105, -106, -107, -200, -201, -202, -203, -204, -205, -206, -207, -208, -209, -210, -211, -212, -213, -299,
-    -300, -301, -302, -303, -304, -305, -306, -307, -308, -500, -501, -502, -600, -601, -602, -603, 100, 101, 102, 200, 201, 202, 203, 300, 301, 302, 303, 304, 305, 306, 307, 400, 512, 513, 514, 515, 600, 601, 602"""
-EFFECTIVE = f"CASE WHEN status_code IN ({DEFINED}) THEN status_code ELSE -10 END"
+DEFINED = """0 STATUS_OK, -1 INVALID_PARAM_VALUE, -2 MEM_ALLOC, -3 NOT_SUPPORTED, -4 FILE_OPEN, -5 FILE_READ, -6 RESOURCE_LOCKED, -7 MISSING_RESOURCE, -8 INVALID_ACCESS_POINTER, -9
+        THREAD_CREATE, -10 COMMAND_FAILED, -11 LIBRARY_UNLOAD_FAILED, -100 CHANNEL_IO_COMMAND_FAILED, -101 CHANNEL_IO_READ_FAILED, -102 CHANNEL_IO_WRITE_FAILED, -103
+        CHANNEL_IO_READ_TIMEOUT, -104 CHANNEL_IO_WRITE_TIMEOUT, -105 CHANNEL_IO_UNEXPECTED_FAILED, -106 CHANNEL_IO_INVALID_HANDLE, -107 CHANNEL_IO_WRONG_PIPE_INDEX, -200 DEVICE_IO, -201
+        DEVICE_NOT_FOUND, -202 DEVICE_NOT_MATCHED, -203 DEVICE_ACTIVE, -204 DEVICE_NOT_INITIALIZED, -205 DEVICE_INVALID_STATE, -206 DEVICE_BUSY, -207 DEVICE_NOT_SUPPORTED_FEATURE, -208
+        INVALID_LICENSE, -209 USB20_REQUIRED, -210 DEVICE_ENABLED_POWER_SAVE_MODE, -211 DEVICE_NEED_UPDATE_FIRMWARE, -212 DEVICE_NEED_CALIBRATE_TOF, -213 DEVICE_INVALID_CALIBRATION_DATA,
+        -299 DEVICE_NOT_ACCESSIBLE, -300 CAPTURE_COMMAND_FAILED, -301 CAPTURE_STOP, -302 CAPTURE_TIMEOUT, -303 CAPTURE_STILL_RUNNING, -304 CAPTURE_NOT_RUNNING, -305 CAPTURE_INVALID_MODE,
+        -306 CAPTURE_ALGORITHM, -307 CAPTURE_ROLLING, -308 CAPTURE_ROLLING_TIMEOUT, -500 NBIS_NFIQ_FAILED, -501 NBIS_WSQ_ENCODE_FAILED, -502 NBIS_WSQ_DECODE_FAILED, -600
+        DUPLICATE_EXTRACTION_FAILED, -601 DUPLICATE_ALREADY_USED, -602 DUPLICATE_SEGMENTATION_FAILED, -603 DUPLICATE_MATCHING_FAILED, 100 CHANNEL_IO_FRAME_MISSING, 101
+        CHANNEL_IO_CAMERA_WRONG, 102 CHANNEL_IO_SLEEP_STATUS, 200 OUTDATED_FIRMWARE, 201 ALREADY_INITIALIZED, 202 API_DEPRECATED, 203 ALREADY_ENHANCED_IMAGE, 300 BGET_IMAGE, 301
+        ROLLING_NOT_RUNNING, 302 NO_FINGER, 303 INCORRECT_FINGERS, 304 ROLLING_SMEAR, 305 ROLLING_SHIFTED_HORIZONTALLY, 306 ROLLING_SHIFTED_VERTICALLY, 307
+        ROLLING_SHIFTED_HORIZONTALLY_VERTICALLY, 400 EMPTY_IBSM_RESULT_IMAGE, 512 QUALITY_INVALID_AREA, 513 QUALITY_INVALID_AREA_HORIZONTALLY, 514 QUALITY_INVALID_AREA_VERTICALLY, 515
+        QUALITY_INVALID_AREA_HORIZONTALLY_VERTICALLY, 600 INVALID_BRIGHTNESS_FINGERS, 601 WET_FINGERS, 602 MULTIPLE_FINGERS_DURING_ROLL"""
+EFFECTIVE = f"CASE WHEN {written('status_code', DEFINED)} IS NOT NULL THEN status_code ELSE -10 END"
 FAMILY = """CASE WHEN effective_code < 0 THEN CASE WHEN effective_code >= -11 THEN 'general' WHEN effective_code > -200 THEN 'channel' WHEN effective_code > -300 THEN 'device' WHEN effective_code > -400 THEN 'capture'
     WHEN effective_code > -500 THEN 'client' WHEN effective_code > -600 THEN 'codec' ELSE 'duplicate' END WHEN effective_code BETWEEN 100 AND 199 THEN 'trace' WHEN effective_code BETWEEN 200 AND 299 THEN 'api'
     WHEN effective_code BETWEEN 300 AND 399 THEN 'acquisition' WHEN effective_code BETWEEN 400 AND 499 THEN 'image' WHEN effective_code BETWEEN 512 AND 515 THEN 'area' WHEN effective_code >= 600 THEN 'finger' END"""
 SEVERITY = "CASE WHEN effective_code = 0 THEN 'OK' WHEN effective_code < 0 THEN 'ERROR' ELSE 'WARNING' END"
-STATUS = f"SELECT device_id, seq, effective_code, {SEVERITY} AS severity, {FAMILY} AS family FROM (SELECT *, {EFFECTIVE} AS effective_code FROM f3 WHERE kind = 'Error')"
+STATUS = f"SELECT device_id, seq, effective_code, {written('effective_code', DEFINED)} AS status_name, {SEVERITY} AS severity, {FAMILY} AS family FROM (SELECT *, {EFFECTIVE} AS effective_code FROM f3 WHERE kind = 'Error')"
 
 
 @query("p4_status", STATUS, f3=fx.F3)
 def _(s, d):
-    return captures.classify_status(devices.only_kind(log(s, d), "Error"), "status_code").select("device_id", "seq", "effective_code", "severity", "family")
+    return captures.classify_status(devices.only_kind(log(s, d), "Error"), "status_code").select("device_id", "seq", "effective_code", "status_name", "severity", "family")
+
+
+MASK = "CAST((finger_bit * (1 + template_id % 7) + session_id) % 1024 AS INT)"
 
 
-@query("p5_finger_mask", "SELECT session_id, bit_or(finger_bit) & 1023 AS mask, bit_count(bit_or(finger_bit) & 1023)::INT AS n_fingers, (bit_or(finger_bit) & 48) <> 0 AS thumbs, bit_or(finger_bit) & 12 = 12 AS left_middle_index, bit_or(finger_bit) & 768 = 768 AS right_ring_little, "
-       "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN bit_or(finger_bit) & {b} <> 0 THEN '{n}' END" for b, n in codes.FINGER_BITS.items()) + "], lambda x: x IS NOT NULL)), ',') AS fingers FROM f2 WHERE template_id % 7 <> 3 GROUP BY session_id", f2=fx.F2)
+@query("p5_finger_mask", "SELECT template_id, mask, bit_count(mask)::INT AS n_fingers, mask & 48 <> 0 AS thumbs, mask & 12 = 12 AS left_middle_index, mask & 768 = 768 AS right_ring_little, array_to_string(list_sort(list_filter(["
+       + ", ".join(f"CASE WHEN mask & {b} <> 0 THEN '{n}' END" for b, n in codes.FINGER_BITS.items()) + f"], lambda x: x IS NOT NULL)), ',') AS fingers FROM (SELECT template_id, {MASK} AS mask FROM f2)", f2=fx.F2)
 def _(s, d):
-    m = fx.load(s, d, fx.F2).where("template_id % 7 <> 3").groupBy("session_id").agg(F.bit_or("finger_bit").alias("m"))
-    return captures.encode_finger_mask(captures.decode_finger_mask(m, "m"), "fingers").select("session_id", "mask", "n_fingers", "thumbs", "left_middle_index", "right_ring_little", "fingers")
+    m = fx.load(s, d, fx.F2).select("template_id", F.expr(MASK).alias("m"))
+    return captures.encode_finger_mask(captures.decode_finger_mask(m, "m"), "fingers").select("template_id", "mask", "n_fingers", "thumbs", "left_middle_index", "right_ring_little", "fingers")
 
 
 @query("p6_option_mask", "SELECT seq, option_bits AS mask, option_bits | 7 AS effective_mask FROM f3", f3=fx.F3)
@@ -298,10 +345,13 @@ def _(s, d):
     return matching.identify_blocked(probes, gallery, 0.5, *matching.blocking(gallery.count()))
 
 
-@query("j3_duplicate_fingers", f"""SELECT p.session_id, p.print_id, coalesce(bit_or(CASE WHEN {DOT.format('p.vector', 'o.vector')} >= 0.1 THEN o.finger_bit END), 0)::INT AS matched_mask
+@query("j3_duplicate_fingers", f"""SELECT p.session_id, p.print_id, coalesce(bit_or(CASE WHEN {DOT.format('p.vector', 'o.vector')} >= CASE p.session_id % 4 WHEN 0 THEN 0.05 WHEN 1 THEN 0.1 WHEN 2 THEN 0.2 END THEN o.finger_bit END), 0)::INT AS matched_mask
     FROM f2 p LEFT JOIN f2 o ON p.session_id = o.session_id AND o.print_id < p.print_id GROUP BY ALL""", f2=fx.F2)
 def _(s, d):
-    return matching.duplicate_fingers(fx.load(s, d, fx.F2), 0.1)
+    """Sessions of four levels, the last of which has no threshold."""
+    prints = fx.load(s, d, fx.F2)
+    sessions = prints.select("session_id", F.expr("CAST(session_id % 4 AS INT)").alias("security_level")).distinct()
+    return matching.duplicate_fingers(prints, s.createDataFrame([(0, 0.05), (1, 0.1), (2, 0.2)], "security_level INT, threshold DOUBLE"), sessions)
 
 
 @query("j4_cross_subject", f"SELECT a.template_id AS template_a, b.template_id AS template_b, round({DOT.format('a.vector', 'b.vector')}, 4) AS score FROM f2 a JOIN f2 b ON a.template_id < b.template_id AND a.subject_id <> b.subject_id WHERE {DOT.format('a.vector', 'b.vector')} >= 0.4", f2=fx.F2)
@@ -381,10 +431,9 @@ def _(s, d):
     return _absent(s, d).select("subject_id", "category", "day")
 
 
-@query("j12_exeat", "SELECT a.subject_id, a.day::VARCHAR AS day, EXISTS (SELECT 1 FROM f9 WHERE f9.subject_id = a.subject_id AND a.day BETWEEN f9.start_day AND f9.start_day + 2) AS covered FROM absent a", **R, f9=fx.F9, absent=ABSENT)
+@query("j12_exeat", "SELECT a.subject_id, a.day::VARCHAR AS day, EXISTS (SELECT 1 FROM f9 WHERE f9.subject_id = a.subject_id AND a.day >= f9.start_day AND (f9.end_day IS NULL OR a.day <= f9.end_day)) AS covered FROM absent a", **R, f9=fx.F9, absent=ABSENT)
 def _(s, d):
-    ex = fx.load(s, d, fx.F9).withColumn("end_day", F.date_add("start_day", 2))
-    return attendance.exeat_overlap(_absent(s, d).select("subject_id", "day"), ex).select("subject_id", "day", "covered")
+    return attendance.exeat_overlap(_absent(s, d).select("subject_id", "day"), fx.load(s, d, fx.F9)).select("subject_id", "day", "covered")
 
 
 # -- aggregations
@@ -552,7 +601,10 @@ def _(s, d):
 # -- top-k, sets
 
 
-@query("t1_candidates", f"SELECT probe_id, template_id, subject_id, round(score, 4) AS score, rank::INT AS rank FROM ({BEST}) WHERE rank <= 5", f2=fx.F2)
+T1 = f"SELECT probe_id, template_id, subject_id, round(score, 4) AS score, rank::INT AS rank FROM ({BEST}) WHERE rank <= 5"
+
+
+@query("t1_candidates", T1, f2=fx.F2)
 def _(s, d):
     return matching.candidates(*_probes(s, d), 5)
 
@@ -589,7 +641,33 @@ def _stream(s, d, text, name="events"):
     return s.sql(fx.sql(text, "spark"))
 
 
+# the rows come in three parts by time, of which the last one also brings late rows of the first
+LATE = "seq % 50 = 7 AND ts < TIMESTAMP '2024-01-11'"
+ARRIVAL = f"CASE WHEN {LATE} THEN 2 WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+
+
+def _arriving(s, rows, arrival, n, run):
+    """Runs a stream over rows that come in n parts, each by a restart from the checkpoint: run(stream, folder), its last result."""
+    path = tables.fresh_folder(s, "arrivals")
+    for k in range(n):
+        rows.where(f"({arrival}) = {k}").write.parquet(f"{path}/in/{k}")
+        out = run(s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in"), f"{path}/run")
+    return out
+
+
+def _resumed(make):
+    return lambda stream, folder: st.run_available(make(stream), "append", folder=folder)
+
+
 @query("r1_stream_latest", LATEST, f3=fx.F3)
+def _(s, d):
+    """Update mode into a keyed table, which the stream goes on with after each restart."""
+    rows, table = log(s, d).select("device_id", "ts", "seq", "kind"), tables.fresh_folder(s, "latest")
+    _arriving(s, rows, ARRIVAL, 3, lambda stream, folder: st.keep_latest(stream, table, folder, 16))
+    return keyed.read_keyed(s, table, rows.schema)
+
+
+@query("r1_stream_latest_complete", LATEST, f3=fx.F3)
 def _(s, d):
     return st.run_available(st.stream_latest_state(_stream(s, d, fx.F3)), "complete")
 
@@ -599,26 +677,31 @@ def _(s, d):
     return st.run_available(st.stream_changes(_stream(s, d, fx.F3)), "append")
 
 
-@query("r3_stream_enrollments", "SELECT DISTINCT l_orderkey AS batch_id FROM lineitem")
+# a batch is sent again at once, after 20 days or after 1100; it is remembered for 30
+SENT_ARRIVAL = "CASE WHEN ts < TIMESTAMP '1997-01-01' THEN 0 WHEN ts < TIMESTAMP '1999-01-01' THEN 1 WHEN ts < TIMESTAMP '2001-01-01' THEN 2 WHEN ts < TIMESTAMP '2003-01-01' THEN 3 ELSE 4 END"
+
+
+@query("r3_stream_enrollments", "SELECT o_orderkey AS batch_id, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS applied FROM orders")
 def _(s, d):
-    x = _stream(s, d, "SELECT l_orderkey AS batch_id, CAST(l_shipdate AS TIMESTAMP) AS ts FROM lineitem", "lineitem")
-    return st.run_available(st.stream_enrollments(x, "10000 days").select("batch_id"), "append")
+    out = _arriving(s, fx.load(s, d, fx.F10_SENT), SENT_ARRIVAL, 5, _resumed(lambda x: st.stream_enrollments(x, "30 days").select("batch_id")))
+    return out.groupBy("batch_id").agg(F.count("*").cast("int").alias("applied"))
 
 
-@query("r4_stream_sessions", f"""SELECT device_id, $us(min(ts)) AS start, $us(max(ts)) + 21600000000 AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN gap >= 21600000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS k
-    FROM (SELECT *, $us(ts) - lag($us(ts)) OVER ({W}) AS gap FROM f3)) GROUP BY device_id, k""", f3=fx.F3)
+@query("r4_stream_sessions", f"""SELECT device_id, $us(a) AS start, z AS "end", n FROM (SELECT device_id, min(ts) AS a, $us(max(ts)) + 21600000000 AS z, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap >= 21600000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS k
+    FROM (SELECT *, $us(ts) - lag($us(ts)) OVER ({W}) AS gap FROM f3 WHERE NOT ({LATE}))) GROUP BY device_id, k) WHERE z <= (SELECT max($us(ts)) $div 1000 * 1000 - 86400000000 FROM f3)""", f3=fx.F3)
 def _(s, d):
-    return st.run_available(st.stream_sessions(_stream(s, d, fx.F3), "6 hours", "30 days"), "complete")
+    return _arriving(s, log(s, d).select("device_id", "ts", "seq", "kind"), ARRIVAL, 3, _resumed(lambda x: st.stream_sessions(x, "6 hours", "1 day")))
 
 
-@query("r5_stream_debounce", f"""SELECT device_id, seq, $us(ts) AS ts, kind FROM f3 QUALIFY coalesce($us(lead(ts) OVER ({W})) - $us(ts) >= 3600000000, $us(ts) // 1000 + 3600000 < (SELECT max($us(ts)) // 1000 FROM f3) - 60000)""", f3=fx.F3)
+@query("r5_stream_debounce", f"""SELECT device_id, seq, $us(ts) AS ts, kind FROM (SELECT * FROM f3 WHERE NOT ({LATE}) QUALIFY coalesce($us(lead(ts) OVER ({W})) - $us(ts) >= 3600000000, true)) WHERE $us(ts) $div 1000 + 3600000 <= (SELECT max($us(ts)) $div 1000 - 60000 FROM f3)""", f3=fx.F3)
 def _(s, d):
-    return st.run_available(st.stream_debounce(_stream(s, d, fx.F3), 3_600_000, "1 minute"), "append")
+    return _arriving(s, log(s, d).select("device_id", "ts", "seq", "kind"), ARRIVAL, 3, _resumed(lambda x: st.stream_debounce(x, 3_600_000, "1 minute")))
 
 
-@query("r6_stream_errors", "SELECT device_id, $us(date_trunc('day', ts)) AS start, count(*) AS n FROM f3 WHERE kind = 'Error' GROUP BY ALL", f3=fx.F3)
+@query("r6_stream_errors", f"""SELECT device_id, start, n FROM (SELECT device_id, $us(date_trunc('day', ts)) AS start, count(*) AS n FROM f3 WHERE kind = 'Error' AND NOT ({LATE}) GROUP BY ALL)
+    WHERE start + 86400000000 <= (SELECT max($us(ts)) $div 1000 * 1000 - 86400000000 FROM f3 WHERE kind = 'Error')""", f3=fx.F3)
 def _(s, d):
-    return st.run_available(st.stream_error_counts(_stream(s, d, fx.F3), "1 day", "1 day"), "complete")
+    return _arriving(s, log(s, d).select("device_id", "ts", "seq", "kind"), ARRIVAL, 3, _resumed(lambda x: st.stream_error_counts(x, "1 day", "1 day")))
 
 
 @query("r7_stream_identify", J1, f2=fx.F2)
@@ -627,6 +710,14 @@ def _(s, d):
     return st.stream_identify(_stream(s, d, fx.F2, "embeddings").where("probe_id % 10 = 0"), gallery, 0.35)
 
 
+@query("r7_check_ins", f"SELECT probe_id, subject_id, score FROM ({J1}) WHERE outcome = 'MATCH'", f2=fx.F2)
+def _(s, d):
+    """Check-ins by a stream that is stopped and started again."""
+    probes, gallery = _probes(s, d)
+    probes = probes.select("probe_id", F.lit("2024-01-01 08:00:00").cast("timestamp").alias("ts"), "vector")
+    return _arriving(s, probes, "probe_id % 20 DIV 10", 2, lambda stream, folder: st.check_in(stream, gallery, 0.35, folder)).select("probe_id", "subject_id", "score")
+
+
 KV_START = "TIMESTAMP '2024-01-10'"
 
 
@@ -646,9 +737,33 @@ def _(s, d):
     return st.run_available(x, "append", rejects=tables.fresh_folder(s, "dead-letters"))
 
 
+@query("r9_stream_rejects", f"SELECT reason, count(*) AS n FROM (SELECT coalesce({P1}, {GATE}) AS reason FROM f1) WHERE reason IS NOT NULL GROUP BY reason", f1=fx.F1)
+def _(s, d):
+    dead = tables.fresh_folder(s, "dead-letters")
+    rows = fx.captures(s, d).drop("data")
+    _arriving(s, rows, "capture_id % 2", 2, lambda stream, folder: st.run_available(st.stream_capture_gate(stream, 30, 20).select("capture_id", "reason"), "append", rejects=dead, folder=folder))
+    return s.read.parquet(dead).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("x1_custom_score", J1, f2=fx.F2)
 def _(s, d):
     """A customer's matcher: a function of a matrix of probes and one of templates."""
     import numpy as np
 
     return matching.identify(*_probes(s, d), 0.35, matcher=lambda q, x: np.einsum("ik,jk->ij", q, x))
+
+
+@query("x1_expression", J1, f2=fx.F2)
+def _(s, d):
+    """A customer's matcher as a Column."""
+    return matching.identify(*_probes(s, d), 0.35, score_fn=lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
+
+
+@query("x1_pandas_score", T1, f2=fx.F2)
+def _(s, d):
+    """A customer's matcher as a pandas_udf."""
+    return matching.candidates(*_probes(s, d), 5, score_fn=F.pandas_udf(_series_dot, "double"))
+
+
+def _series_dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([float(x @ y) for x, y in zip(a, b)])

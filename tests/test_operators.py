@@ -22,6 +22,8 @@ def test_status(spark):
     df = spark.createDataFrame([(0,), (-6,), (302,), (-9999,), (514,), (515,), (-400,), (-503,), (-502,), (None,)], "code INT")
     got = {r.code: (r.severity, r.family) for r in captures.classify_status(df, "code").collect()}
     assert got == {0: ("OK", None), -6: ("ERROR", "general"), 302: ("WARNING", "acquisition"), -9999: ("ERROR", "general"), 514: ("WARNING", "area"), 515: ("WARNING", "area"), -400: ("ERROR", "general"), -503: ("ERROR", "general"), -502: ("ERROR", "codec"), None: (None, None)}
+    names = {r.code: r.status_name for r in captures.classify_status(df, "code").collect()}
+    assert (names[0], names[515], names[-6], names[-9999], names[None]) == ("STATUS_OK", "QUALITY_INVALID_AREA_HORIZONTALLY_VERTICALLY", "RESOURCE_LOCKED", "COMMAND_FAILED", None)
 
 
 def test_decode_policies(spark):
@@ -96,3 +98,13 @@ def test_no_devices(spark):
 def test_roster_once(spark):
     a, b = spark.createDataFrame([("x",), ("y",)], "subject_id STRING"), spark.createDataFrame([("y",)], "subject_id STRING")
     assert {r.subject_id: r.category for r in attendance.roster(a, b).collect()} == {"x": "student", "y": "staff"}
+
+
+def test_duplicates_by_level(spark):
+    """The session's level gives the threshold; without level or threshold nothing is a duplicate."""
+    prints = spark.createDataFrame([(s, i, 1 << i, [1.0, 0.1 * i]) for s in (1, 2, 3, 4) for i in range(3)], "session_id INT, print_id INT, finger_bit INT, vector ARRAY<DOUBLE>")
+    levels = spark.createDataFrame([(1, 7), (2, 5), (3, 9)], "session_id INT, security_level INT")
+    least = spark.createDataFrame([(7, 1.01), (5, 5.0)], "security_level INT, threshold DOUBLE")
+    got = {(r.session_id, r.print_id): r.matched_mask for r in matching.duplicate_fingers(prints, least, levels).collect()}
+    assert got == {(s, i): 2 if (s, i) == (1, 2) else 0 for s in (1, 2, 3, 4) for i in range(3)}
+    assert {r.matched_mask for r in matching.duplicate_fingers(prints, 0.5).where("session_id = 4").collect()} == {0, 1, 3}

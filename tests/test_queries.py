@@ -3,7 +3,9 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.operators import matching
 from rollcall.plans import registry
@@ -59,3 +61,27 @@ def test_blocks_of_any_size(spark, monkeypatch, block):
         monkeypatch.setattr(matching, k, v)
     for n in names:
         assert sorted(map(str, registry.QUERIES[n](spark, DATA).collect())) == want[n]
+
+
+def test_own_scores(spark):
+    """A Column and a pandas_udf give what the default gives on dot, in J1, J2 and T1."""
+    p, g = registry._probes(spark, DATA)
+    noisy = registry._noisy(spark, DATA)[0]
+    runs = [lambda **x: matching.identify(p, g, 0.35, **x), lambda **x: matching.identify_blocked(noisy, g, 0.5, **x), lambda **x: matching.candidates(p, g, 7, **x)]
+    for run in runs:
+        want = sorted(map(str, run().collect()))
+        assert sorted(map(str, run(score_fn=matching.dot).collect())) == want
+        assert sorted(map(str, run(score_fn=F.pandas_udf(registry._series_dot, "double")).collect())) == want
+
+
+def test_scores_that_are_null(spark):
+    p = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "probe_id LONG, vector ARRAY<DOUBLE>")
+    g = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [2.0]), (3, 3, [3.0])], "template_id LONG, subject_id INT, vector ARRAY<DOUBLE>")
+    own = lambda a, b: F.when(b[0] == 2, F.lit(None)).when(b[0] == 3, F.lit(float("nan"))).otherwise(-F.abs(a[0] - b[0]))
+    got = {r.probe_id: (r.template_id, r.reason) for r in matching.identify(p, g, -0.5, score_fn=own).collect()}
+    assert got == {1: (1, None), 2: (None, "NO_CANDIDATE")}
+
+    def nan(a: pd.Series, b: pd.Series) -> pd.Series:
+        return b.map(lambda y: float("nan") if y[0] < 3 else 1.0)
+
+    assert [r.template_id for r in matching.candidates(p, g, 3, score_fn=F.pandas_udf(nan, "double")).collect()] == [3]
