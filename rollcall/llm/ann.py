@@ -10,7 +10,8 @@ chunks of rows, and queries in chunks too, so that no task holds a whole large l
 Scores are sums over components in order, in double precision, so equal vectors have equal scores.
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 those of another length than the most frequent one or those without a vec_id. Rows that repeat a
-vec_id are separate candidates, except that a query never finds its own vec_id. Fewer candidates
+vec_id are separate candidates, except that a query never finds its own vec_id; each of them is a query of its own, with a list of its
+own under the common query_id. Fewer candidates
 than k: all that are found; an empty table gives an empty result. Further columns are ignored.
 """
 
@@ -142,7 +143,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
-    """Blocks of query ids, by a mixed hash: the ids share a divisor."""
+    """Blocks of queries by a mixed hash of their numbers."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -152,7 +153,7 @@ def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
 def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every`, the k nearest found. chunk: rows of a
     leaf, and queries of it, that a task holds at a time."""
-    rows = keep(valid(vectors), "vectors")
+    rows = keep(valid(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     hashed = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1_000_000))
     some = rows.where(hashed < 1_000_000 * SAMPLE // max(n, 1)).sort("vec_id", "v").limit(2 * SAMPLE)  # ids that repeat are sampled together
@@ -164,7 +165,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
         for f in frames:
             yield f.assign(leaf=tree.assign(_matrix(f.v)).astype(np.int32) if len(f) else np.array([], np.int32))
 
-    index = keep(rows.mapInPandas(assign, "vec_id long, v array<double>, leaf int"), "index")
+    index = keep(rows.mapInPandas(assign, "vec_id long, v array<double>, row long, leaf int"), "index")
     queries = rows.where(F.col("vec_id") % every == 0)
     visits = _calibrate(tree, index, queries, k, recall)
     sizes = dict(index.groupBy("leaf").count().collect())  # one row a leaf
@@ -176,38 +177,39 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
         import pandas as pd
 
         for f in frames:
-            out = [(leaf, c, block, q, v) for q, block, v in zip(f.vec_id, _block(f.vec_id.to_numpy(), blocks), f.v) for leaf in tree.visits(np.asarray(v), visits) for c in range(chunks.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["leaf", "chunk", "block", "query_id", "v"])
+            out = [(leaf, c, block, row, q, v) for row, q, block, v in zip(f.row, f.vec_id, _block(f.row.to_numpy(), blocks), f.v) for leaf in tree.visits(np.asarray(v), visits) for c in range(chunks.get(leaf, 0))]
+            yield pd.DataFrame(out, columns=["leaf", "chunk", "block", "row", "query_id", "v"])
 
-    probes = queries.mapInPandas(descend, "leaf int, chunk long, block long, query_id long, v array<double>")
+    probes = queries.mapInPandas(descend, "leaf int, chunk long, block long, row long, query_id long, v array<double>")
     count = F.element_at(F.create_map(*[F.lit(y) for kv in chunks.items() for y in kv]), F.col("leaf")) if chunks else F.lit(1)
-    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), count).cast("long"))
+    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("row"), count).cast("long"))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else dealt.withColumn("block", F.lit(0).cast("long"))
 
     def scan(probe, own):
         import pandas as pd
 
         if not len(probe) or not len(own):
-            return pd.DataFrame(columns=["query_id", "ids", "scores"])
+            return pd.DataFrame(columns=["row", "query_id", "ids", "scores"])
         qid, ids = probe.query_id.to_numpy(), own.vec_id.to_numpy()
         r, c, s = nearest(_matrix(probe.v), qid, _matrix(own.v), ids, k)
         ends = np.searchsorted(r, np.arange(1, len(qid)))
-        return pd.DataFrame({"query_id": qid, "ids": np.split(ids[c], ends), "scores": np.split(s, ends)})
+        return pd.DataFrame({"row": probe.row.to_numpy(), "query_id": qid, "ids": np.split(ids[c], ends), "scores": np.split(s, ends)})
 
-    found = probes.groupBy("leaf", "chunk", "block").cogroup(dealt.groupBy("leaf", "chunk", "block")).applyInPandas(scan, "query_id long, ids array<long>, scores array<double>")
+    found = probes.groupBy("leaf", "chunk", "block").cogroup(dealt.groupBy("leaf", "chunk", "block")).applyInPandas(scan, "row long, query_id long, ids array<long>, scores array<double>")
 
     def merge(frames):
         import pandas as pd
 
-        for f in runs(frames, "query_id"):
+        for f in runs(frames, "row"):
             out = []
-            for q, part in f.groupby("query_id", sort=False):
+            for _, part in f.groupby("row", sort=False):
+                q = part.query_id.iloc[0]
                 ids, s = np.concatenate(part.ids.tolist()), np.concatenate(part.scores.tolist())
                 order = np.lexsort((ids, -s))[:k]
                 out.append(pd.DataFrame({"query_id": q, "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": ids[order].astype(np.int64), "score": s[order].astype(float)}))
             yield pd.concat(out)
 
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    return found.repartition("row").sortWithinPartitions("row").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def _calibrate(tree: Tree, index: DataFrame, queries: DataFrame, k: int, recall: float) -> int:

@@ -17,6 +17,8 @@ are separate rows. Markup that isn't closed is read as text. An empty table give
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +108,35 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
 
 
 def declared_language(html: Column) -> Column:
-    """The lang attribute of a page's html tag, without region; null if there is none."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    """The lang attribute of the first html tag that has one, without region; null if there is none. A tag ends where the next one begins, so
+    that every tag is gone through once."""
+    lang = r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})"
+    told = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<html\b[^<>]*"), F.lit(0)), lambda tag: F.nullif(F.lower(F.regexp_extract(tag, lang, 1)), F.lit("")))
+    return F.try_element_at(F.filter(told, lambda x: x.isNotNull()), F.lit(1))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once, however often the body and the lambdas in it use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
+
+
+def softmax(a: Column) -> Column:
+    shares = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(a, lambda v: let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), shares)))
+
+
+def shrunk(own: Column, above: Column) -> Column:
+    """Shares of `own`, drawn to those above it as if SHRINK of these had been seen."""
+    return let(own, lambda v: let(total(v) + SHRINK, lambda n: F.zip_with(v, above, lambda a, b: (a + SHRINK * b) / n)))
+
+
+def vector_sum(arrays: Column) -> Column:
+    """Aggregate: the sum of arrays of doubles, element by element."""
+    return vector_to_array(Summarizer.sum(array_to_vector(arrays)))
 
 
 def visible_text(html: Column) -> Column:
@@ -142,36 +171,31 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     log_share = F.array(*[F.lit(float(np.log(max(x, 1e-12)))) for x in model.share]) if L else F.array(F.lit(0.0))
     raw = F.transform(ll, lambda x: x * n * TEMPER)
 
-    def softmax(a: Column) -> Column:
-        e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
-
     q = kept.withColumn("_q", softmax(F.zip_with(raw, log_share, lambda a, b: a + b))).withColumn("_on", n > 0)
     if not L:
         return kept.select(*[F.col(f"_{i}") for i in range(len(carried))], null.alias("lang"), F.lit(0.0).alias("posterior"), null.alias("text_lang"), "declared", F.lit(False).alias("accepted"))
-    sums = [F.sum(F.when(F.col("_on"), F.col("_q")[i])) for i in range(L)]
-    array = lambda cols: F.array(*[F.coalesce(c, F.lit(0.0)) for c in cols])
+    sums = vector_sum(F.when(F.col("_on"), F.col("_q")).otherwise(F.array_repeat(F.lit(0.0), L)))
     key = F.coalesce(F.concat(F.lit("+"), F.col("_host")), F.lit("-"))
     q = q.withColumn("_key", key)
 
-    hosts = keep(q.groupBy("_key").agg(F.count("*").alias("n"), array(sums).alias("s")), "hosts")
+    hosts = keep(q.groupBy("_key").agg(F.count("*").alias("n"), sums.alias("s")), "hosts")
     address = F.split(F.substring("_key", 2, 1 << 20), r"\.")
     dotted = F.size(address) > 1
     hosts = hosts.withColumn("domain", F.when(dotted, F.concat_ws(".", F.slice(address, -2, 2))).otherwise(F.lit(""))).withColumn("suffix", F.when(dotted, F.element_at(address, -1)).otherwise(F.lit("")))
-    up = lambda t, k: t.groupBy(k).agg(array([F.sum(F.col("s")[i]) for i in range(L)]).alias(f"{k}_s"), F.count("*").alias(f"{k}_n"))
-    shrink = lambda own, above: F.zip_with(own, above, lambda a, b: (a + SHRINK * b) / (F.aggregate(own, F.lit(0.0), lambda s, y: s + y) + SHRINK))
-    overall = hosts.agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0.0)) for i in range(L)]).first()
-    total = sum(overall) or 1.0
-    top = F.array(*[F.lit((x + 1.0 / L) / (total + 1.0)) for x in overall])
+    up = lambda t, k: t.groupBy(k).agg(vector_sum(F.col("s")).alias(f"{k}_s"), F.count("*").alias(f"{k}_n"))
+    summed = hosts.groupBy().agg(vector_sum(F.col("s"))).first() if not hosts.isEmpty() else None
+    overall = summed[0] if summed else [0.0] * L
+    all_rows = sum(overall) or 1.0
+    top = F.array(*[F.lit((x + 1.0 / L) / (all_rows + 1.0)) for x in overall])
     few = hosts.count() * L <= BROADCAST
     above = hosts
     for k in ("suffix", "domain"):  # neither has more rows than hosts
         sums_ = up(hosts, k)
         above = above.join(F.broadcast(sums_.drop(f"{k}_n")), k) if few else join_unique(above, sums_, k, f"{k}_n", hosts.count()).drop(f"{k}_n")
-    above = above.withColumn("above", shrink(F.col("domain_s"), shrink(F.col("suffix_s"), top))).select("_key", "n", "s", "above")
+    above = above.withColumn("above", shrunk(F.col("domain_s"), shrunk(F.col("suffix_s"), top))).select("_key", "n", "s", "above")
 
     # how often a declared language goes with a language of the text
-    pairs = q.where("declared is not null and _on").groupBy("declared").agg(F.count("*").alias("k"), array(sums).alias("c"))
+    pairs = q.where("declared is not null and _on").groupBy("declared").agg(F.count("*").alias("k"), sums.alias("c"))
     pairs = keep(pairs, "declared")
     codes = pairs.count()
     weight = F.zip_with("c", F.array(*[F.lit(float(x + 0.5 * max(1, codes))) for x in overall]), lambda a, b: F.log((a + 0.5) / b))
@@ -187,7 +211,7 @@ def identify(rows: DataFrame, model: Model, text: Column, *, declared: Column |
     else:
         joined = join_unique(q, above, "_key", "n", int(hosts.agg(F.sum("n")).first()[0] or 0))
     own = F.when(F.col("_on"), F.zip_with("s", "_q", lambda a, b: F.greatest(a - b, F.lit(0.0)))).otherwise(F.col("s"))
-    prior = F.transform(shrink(own, F.col("above")), lambda x: F.log(x + 1e-9))
+    prior = F.transform(shrunk(own, F.col("above")), lambda x: F.log(x + 1e-9))
     flat = F.array(*[F.lit(0.0)] * L)
     told = F.coalesce(F.col("_told"), flat)
     post = softmax(F.zip_with(F.zip_with(raw, prior, lambda a, b: a + b), told, lambda a, b: a + b))
