@@ -2,13 +2,14 @@
 
 One pass over the whole texts finds candidates: the spans of the base patterns, which are always
 reported, and looser forms (written-out mail and network addresses, national phone numbers and those with
-00 before the country, numbers that look like cards but fail the check digit). Every scan takes time in proportion to the text's length: base
+00 before the country, numbers that look like cards but fail the check digit, and secrets: long values that are given to a name such as
+token or password, or that begin like the keys of well-known services). Every scan takes time in proportion to the text's length: base
 patterns are searched from what can only occur once in them (the @, the +, a run of digits). LABELERS vote on each candidate, yes, no or abstain:
 two on its form, one on gazetteers, one on context words, one on what it touches. The votes are
-counted by pattern (4 kinds x 3**5 patterns at most); expectation-maximisation on those counts
+counted by pattern (5 kinds x 3**5 patterns at most); expectation-maximisation on those counts
 estimates each labeler's reliability and each pattern's probability. A logistic classifier over
 votes and the span's shape is trained on these probabilities, and adds the looser spans that it
-accepts and that touch no other span.
+accepts and that touch no other span. Secrets have columns of their own beside the spans of the four kinds.
 
 Spans count code points, end exclusive. Nulls: a null text counts as empty. Rows that repeat a doc_id
 are separate rows. An empty table gives an empty result. Further columns are ignored.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import keep, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of candidates: those of the spans, and secrets.
+ALL, SECRET = (*KINDS, "secret"), len(KINDS)
 LABELERS = ("form", "strict form", "gazetteer", "context", "edges")
 ACCEPT, SHAPES = 0.8, 512
 
@@ -44,14 +47,19 @@ LOOSE = {
     # 00 and the country; the national forms of North America; those with a leading 0 and groups
     "phone": re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[-. /][0-9]{1,4}(?:[-. /][0-9]{2,4}){2,4}|(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|0[1-9][0-9]{0,4}[-. /](?:[0-9]{2,4}[-. ]){1,3}[0-9]{2,4}|\(0[0-9]{1,4}\)[-. /]?[0-9]{3,8})(?![0-9])"),
 }
+# a name, a sign and a value of 16 signs or more; keys by their beginnings
+GIVEN = re.compile(r"(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|passphrase|credential|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth)[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?:bearer\s)?([A-Za-z0-9+/_.~-]{16,}={0,2})", re.I)
+KEYED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
 # Words that speak for a kind or against it, and gazetteers.
 FOR = {
     "email": {"mail", "email", "e-mail", "contact", "write", "correo", "courriel", "address"},
     "ip": {"ip", "host", "server", "address", "login", "from", "ping"},
     "card": {"card", "visa", "mastercard", "amex", "payment", "credit", "debit", "karte", "tarjeta", "carte"},
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "fon", "telefon", "mobil", "llama"},
+    "secret": {"token", "secret", "password", "passwd", "key", "auth", "bearer", "credential", "login", "api"},
 }
 AGAINST = {"version", "release", "isbn", "order", "invoice", "token", "sha", "commit", "section", "license", "licensed", "figure", "page", "id"}
+SUMS = {"sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "example", "placeholder"}
 DOMAINS = {
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "co", "me", "tv", "app", "dev", "xyz", "online", "site", "shop", "blog", "cloud", "tech",
     "ac", "ae", "ar", "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "ee", "eg", "es", "eu", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "ir", "is", "it",
@@ -128,6 +136,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(kind: str, text: str):
     """(start, end) of the looser forms."""
+    if kind == "secret":
+        yield from sorted({*(m.span(1) for m in GIVEN.finditer(text)), *(m.span() for m in KEYED.finditer(text))})
+        return
     if kind != "email":
         yield from (m.span() for m in LOOSE[kind].finditer(text) if kind != "ip" or all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])))
         return
@@ -165,7 +176,12 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     d = _digits(s)
     before = re.findall(r"[\w-]+", text[max(0, start - 48) : start].lower())[-5:]
     left, right = text[start - 1 : start], text[end : end + 1]
-    if kind == "email":
+    if kind == "secret":
+        mixed = bool(d) and len(d) < len(s)
+        form = 1 if mixed and len(set(s.lower())) >= 8 else -1
+        strict = 1 if re.fullmatch("[0-9A-Fa-f]{32,}", s) or KEYED.fullmatch(s) else 0 if mixed and len(s) >= 24 else -1
+        known = 1 if KEYED.fullmatch(s) or GIVEN.search(text, max(0, start - 32), end) else -1
+    elif kind == "email":
         form = 1 if "@" in s else 0
         last = re.findall("[a-z0-9-]+", s.lower())[-1:]
         strict = 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}", s) else 1 if re.search(r"[(\[{]\s?at\s?[)\]}]", s, re.I) else 0 if "@" not in s else -1
@@ -183,7 +199,7 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
         strict = 1 if s.startswith("+") or re.search("[()]", s) else 0
         abroad = d[2:] if d.startswith("00") and not s.startswith("+") else d if s.startswith("+") else None
         known = (1 if abroad.startswith(COUNTRIES) else 0) if abroad else 0 if d[0] == "0" else -1 if d[0] == "1" else 1
-    context = 1 if FOR[kind] & set(before) else -1 if AGAINST & set(before) else 0
+    context = 1 if FOR[kind] & set(before) else -1 if (SUMS if kind == "secret" else AGAINST) & set(before) else 0
     edges = -1 if (left and (left.isalnum() or left in "._-/=")) or (right and (right.isalnum() or right in "-_/=")) else 1
     return [form, strict, known, context, edges]
 
@@ -200,13 +216,13 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     found = [(*s, True) for s in base]
     taken = Taken((s, e) for _, s, e in base)
     digits, low = re.search("[0-9]", text), text.lower()
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(ALL):
         if digits if kind != "email" else "at" in low and "dot" in low:
             found += [(k, s, e, False) for s, e in loose_spans(kind, text) if not taken.touches(s, e)]
     out = []
     for k, s, e, own in found:
         code = 0
-        for v in votes(KINDS[k], text, s, e):
+        for v in votes(ALL[k], text, s, e):
             code = code * 3 + v + 1
         out.append((k, s, e, code, shape(text[s:e]), own))
     return base, out
@@ -241,13 +257,13 @@ class Classifier:
     """Logistic regression over kind, votes by kind and hashed shape."""
 
     def __init__(self):
-        self.w = np.zeros(len(KINDS) * (1 + 3 * len(LABELERS)) + SHAPES)
+        self.w = np.zeros(len(ALL) * (1 + 3 * len(LABELERS)) + SHAPES)
 
     def columns(self, kind, code, shapes) -> np.ndarray:
         width = 1 + 3 * len(LABELERS)
         at = kind * width
         v = at[:, None] + 1 + 3 * np.arange(len(LABELERS)) + _unpack(code)
-        return np.column_stack([at, v, len(KINDS) * width + shapes])
+        return np.column_stack([at, v, len(ALL) * width + shapes])
 
     def fit(self, kind, code, shapes, n, p, rounds: int = 400, rate: float = 0.5) -> Classifier:
         x = self.columns(kind, code, shapes)
@@ -262,14 +278,15 @@ class Classifier:
 
 
 def _joined(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], x[0])))
+    return ",".join(f"{ALL[k]}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], x[0])))
 
 
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, n_found long"
 CANDIDATES = "doc_id long, base array<array<long>>, found array<array<long>>"
 
 
 def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all) for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all), n_secret, secrets, and n_found (spans and secrets) for every row."""
 
     def scan(batches):
         import pyarrow as pa
@@ -298,15 +315,22 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
                 count = [sum(s[0] == k for s in spans) for k in range(len(KINDS))]
                 sha = hashlib.sha256(_joined(spans).encode()).hexdigest()
                 loose = np.array([x for x in found if not x[5]], np.int64).reshape(-1, 6)
+                secrets = []
                 if len(loose):
                     sure = loose[model.probability(loose[:, 0], loose[:, 3], loose[:, 4]) >= accept]
-                    last = 0  # none touches a base span; of those that touch one another the first stays
-                    for k, s, e in sorted(map(tuple, sure[:, :3].tolist()), key=lambda x: (x[1], x[0])):
-                        if s >= last:
+                    ordered, last = sorted(map(tuple, sure[:, :3].tolist()), key=lambda x: (x[1], x[0])), 0
+                    for k, s, e in ordered:  # none touches a base span; of those that touch one another the first stays
+                        if k != SECRET and s >= last:
                             spans.append((k, s, e))
                             last = e
-                out.append((*count, sha, _joined(spans)))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in cols[:4]), *(pa.array(x, pa.string()) for x in cols[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    taken, last = Taken(x[1:] for x in spans), 0
+                    for k, s, e in ordered:
+                        if k == SECRET and s >= last and not taken.touches(s, e):
+                            secrets.append((k, s, e))
+                            last = e
+                out.append((*count, sha, _joined(spans), len(secrets), _joined(secrets), len(spans) + len(secrets)))
+            cols = list(zip(*out)) or [()] * len(FOUND.split(","))
+            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FOUND.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols, kinds)], ["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
 
-    return rows.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(decide, f"doc_id long, {FOUND}")
