@@ -24,10 +24,10 @@ def attendance_by_category(daily: DataFrame) -> DataFrame:
 
 
 def absentees(roster_: DataFrame, calendar: DataFrame, checkins: DataFrame) -> DataFrame:
-    """J11. Subject and day without a check-in. The calendar is a list of days, exploded beside each subject."""
-    days = calendar.agg(F.sort_array(F.collect_set("day")).alias("days"))
+    """J11. Subject and day without a check-in. The calendar's days are one array (a school has few of them), unfolded beside each subject."""
+    days = calendar.agg(F.sort_array(F.collect_set("day"))).scalar()
     here = checkins.select("subject_id", F.to_date("ts").alias("day")).distinct()
-    return roster_.join(F.broadcast(days)).select("subject_id", "category", F.explode("days").alias("day")).join(here, ["subject_id", "day"], "left_anti")
+    return roster_.select("subject_id", "category", days.alias("days")).select("subject_id", "category", F.explode("days").alias("day")).join(here, ["subject_id", "day"], "left_anti")
 
 
 #: Days of a bin: the bits of a long.

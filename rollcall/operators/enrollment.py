@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, Scan, scanned
+
 
 def enrollment_outcomes(batches: DataFrame, captures: DataFrame, min_quality: int) -> DataFrame:
     """A2. One bad capture rejects the batch, then one of low quality; no capture is EMPTY."""
@@ -15,13 +17,18 @@ def enrollment_outcomes(batches: DataFrame, captures: DataFrame, min_quality: in
         "batch_id", "subject_id", n.alias("n_captures"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"), "min_quality", F.when(reason.isNull(), "ACCEPTED").otherwise("REJECTED").alias("outcome"), reason.alias("reason"))
 
 
-def finger_slots(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+def finger_slots(ops: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """W9. Replay of add and remove: each operation's result, and each session's final mask. An add on an
-    occupied slot fails with ALREADY_USED unless forced; the slot stays occupied either way."""
-    w = Window.partitionBy("session_id", "finger_bit").orderBy("seq")
-    # occupied before an operation: the one before it was an add (a failed add leaves it occupied)
-    used = F.coalesce(F.lag("op").over(w) == "add", F.lit(False))
-    x = ops.withColumn("result", F.when((F.col("op") == "add") & used & ~F.col("force"), "ALREADY_USED").otherwise("OK"))
+    occupied slot fails with ALREADY_USED unless forced; the slot stays occupied either way. Slots with more than `chunk`
+    operations are replayed by chunks."""
+
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        # occupied before an operation: the one before it was an add (a failed add leaves it occupied)
+        x = s.carry(x, _before=(F.max_by("op", "seq"), F.last))
+        used = F.coalesce(F.when(s.first(), F.col("_before")).otherwise(F.lag("op").over(s.window)) == "add", F.lit(False))
+        return x.withColumn("result", F.when((F.col("op") == "add") & used & ~F.col("force"), "ALREADY_USED").otherwise("OK")).select(*ops.columns, "result")
+
+    x = scanned(ops.withColumn("_slot", F.struct("session_id", "finger_bit")), work, "_slot", ("seq",), chunk)
     last = ops.groupBy("session_id", "finger_bit").agg(F.max_by("op", "seq").alias("op"))
     mask = last.groupBy("session_id").agg(F.coalesce(F.bit_or(F.when(F.col("op") == "add", F.col("finger_bit"))), F.lit(0)).alias("mask"))
     return x, mask

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CHUNK, Scan, scanned
+
 TYPES = {"string": "string", "int": "int", "long": "bigint", "boolean": "boolean", "float": "float", "double": "double"}
 
 
@@ -22,11 +24,15 @@ def kv_snapshot(log: DataFrame, as_of=None) -> DataFrame:
     return x.groupBy("ns", "key").agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("s")).select("ns", "key", "s.*").where("not deleted")
 
 
-def token_intervals(log: DataFrame, key: str = "token") -> DataFrame:
-    """W8. Validity of each written token: until the next write or removal."""
-    w = Window.partitionBy("ns").orderBy("ts", "seq")
-    x = log.where(F.col("key") == key).withColumn("valid_to", F.lead("ts").over(w)).where("not deleted")
-    return x.select("ns", "seq", F.col("ts").alias("valid_from"), "valid_to")
+def token_intervals(log: DataFrame, key: str = "token", chunk: int = CHUNK) -> DataFrame:
+    """W8. Validity of each written token: until the next write or removal. Namespaces of more than `chunk` rows are scanned by chunks."""
+
+    def work(x: DataFrame, s: Scan) -> DataFrame:
+        x = s.carry(x, after=True, _next=(F.min("ts"), F.min))
+        x = x.withColumn("valid_to", F.coalesce(F.lead("ts").over(s.window), "_next")).where("not deleted")
+        return x.select("ns", "seq", F.col("ts").alias("valid_from"), "valid_to")
+
+    return scanned(log.where(F.col("key") == key), work, "ns", ("ts", "seq"), chunk)
 
 
 def resolve_locale(users: DataFrame, prefs: DataFrame, supported: DataFrame, fallback: str = "en") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import attendance, devices, scan
+from rollcall.operators import attendance, devices, enrollment, prefs, scan
 
 KINDS = ["Attached", "Detached", "Default", "Platen", "Process", "Acquired", "Result", "Error", "Initialize", "Ready", None]
 
@@ -25,6 +25,8 @@ SCANS = {
     "W4": lambda x, n: devices.capture_cycles(x, chunk=n),
     "W5": lambda x, n: devices.init_progress(x, chunk=n),
     "W6": lambda x, n: devices.debounce(x, 700, chunk=n),
+    "W8": lambda x, n: prefs.token_intervals(x.select(F.col("device_id").alias("ns"), F.col("other").alias("key"), "ts", "seq", (F.col("seq") % 3 == 0).alias("deleted")), "x1", chunk=n),
+    "W9": lambda x, n: enrollment.finger_slots(x.select(F.col("device_id").alias("session_id"), (F.col("seq") % 2).alias("finger_bit"), F.xxhash64("seq").alias("seq"), F.when(F.col("kind") < "E", "add").otherwise("remove").alias("op"), (F.col("seq") % 5 == 0).alias("force")), chunk=n)[0],
     "J10": lambda x, n: devices.combine_latest(x.where("seq % 2 = 0"), x.where("seq % 2 = 1"), chunk=n),
 }
 
