@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _run: dict[str, str] = {}
-_kept: list[tuple[SparkSession, str]] = []
+
+
+class _Kept(threading.local):
+    """What this thread has kept: runs side by side in one driver don't delete each other's tables."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+
+_kept = _Kept()
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -69,7 +79,7 @@ def keep(df: DataFrame, name: str, *, sort: list[str] | None = None, options: di
     df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
-    _kept.append((spark, path))
+    _kept.tables.append((spark, path))
     return out
 
 
@@ -80,15 +90,15 @@ def drop(*tables: DataFrame) -> None:
 
 
 def mark() -> int:
-    return len(_kept)
+    return len(_kept.tables)
 
 
 def release_but(table: DataFrame, since: int) -> None:
-    """Delete the tables kept since mark(), except `table`, which keep() made of them."""
-    for spark, path in _kept[since:]:
+    """Delete the tables that this thread kept since mark(), except `table`, which keep() made of them."""
+    for spark, path in _kept.tables[since:]:
         if path != table.kept_at:
             _delete(spark, path)
-    _kept[since:] = [(table.sparkSession, table.kept_at)]
+    _kept.tables[since:] = [(table.sparkSession, table.kept_at)]
 
 
 def numbered(docs: DataFrame) -> DataFrame:

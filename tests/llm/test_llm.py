@@ -888,3 +888,22 @@ def test_planted_personal_data(docs, rows):
     has = {i for i, t, _ in rows if t and planted.search(t)}
     found = {r.doc_id for r in pii.find(docs).where("n_found > 0").collect()}
     assert len(has & found) >= 0.98 * len(has) and len(found - has) <= 0.02 * len(rows)
+
+
+def test_runs_side_by_side(spark):
+    """A run deletes its own thread's tables only."""
+    import threading
+
+    mine, theirs, since = common.keep(spark.range(3), "mine"), [], common.mark()
+    common.keep(spark.range(4), "gone")
+
+    def other():
+        theirs.append(common.keep(spark.range(5), "theirs"))
+        common.release_but(common.keep(spark.range(6), "last"), common.mark())
+
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    last = common.keep(spark.range(7), "last")
+    common.release_but(last, since)
+    assert mine.count() == 3 and theirs[0].count() == 5 and last.count() == 7
