@@ -1,7 +1,7 @@
 """Device event log (U1, P14, P15, W1-W6, J6, J7, J10, A4, A5, A7, A8). Order is (ts, seq).
 
 W2-W6 and J10 scan a device's rows in order; devices of more than `chunk` rows are scanned by chunks (see scan), with the same rows
-as a result."""
+as a result. Whether there are any is a job when the plan is made; chunk=None leaves it out and scans whole devices."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ def latest_state(df: DataFrame, key: str = "device_id", default: tuple[DataFrame
     return out
 
 
-def distinct_until_changed(df: DataFrame, cols: list[str], key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
+def distinct_until_changed(df: DataFrame, cols: list[str], key: str = "device_id", chunk: int | None = CHUNK) -> DataFrame:
     """W2. Rows that differ, null-safe, from the row before them; the first one stays."""
 
     def work(x: DataFrame, s: Scan) -> DataFrame:
@@ -70,7 +70,7 @@ def distinct_until_changed(df: DataFrame, cols: list[str], key: str = "device_id
     return scanned(df, work, key, ORDER, chunk)
 
 
-def device_sessions(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def device_sessions(df: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """W3. From Attached to the next Detached; a repeated Attached opens nothing; the last may stay open."""
     flag = F.when(F.col("kind") == "Attached", 1).when(F.col("kind") == "Detached", 0)
 
@@ -89,7 +89,7 @@ def device_sessions(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ).withColumn("duration_us", F.unix_micros("closed") - F.unix_micros("opened"))
 
 
-def capture_cycles(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def capture_cycles(df: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """W4. A cycle opens at each Default; first platen, process, acquired and result times; COMPLETED, ERROR or ABANDONED."""
     opens = F.sum(F.when(F.col("kind") == "Default", 1).otherwise(0))
 
@@ -104,7 +104,7 @@ def capture_cycles(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "latency_us", F.unix_micros("result") - F.unix_micros("opened"))
 
 
-def init_progress(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def init_progress(df: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """W5. Running maximum of Initialize progress, completion and regressions."""
 
     def work(x: DataFrame, s: Scan) -> DataFrame:
@@ -116,7 +116,7 @@ def init_progress(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return scanned(only_kind(df, "Initialize"), work, "device_id", ORDER, chunk)
 
 
-def debounce(df: DataFrame, ms: int, key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
+def debounce(df: DataFrame, ms: int, key: str = "device_id", chunk: int | None = CHUNK) -> DataFrame:
     """W6. Events without another one of their key within ms after them; the last one stays."""
 
     def work(x: DataFrame, s: Scan) -> DataFrame:
@@ -127,7 +127,7 @@ def debounce(df: DataFrame, ms: int, key: str = "device_id", chunk: int = CHUNK)
     return scanned(df, work, key, ORDER, chunk)
 
 
-def combine_latest(a: DataFrame, b: DataFrame, key: str = "device_id", chunk: int = CHUNK) -> DataFrame:
+def combine_latest(a: DataFrame, b: DataFrame, key: str = "device_id", chunk: int | None = CHUNK) -> DataFrame:
     """J10. At each event of either stream, the latest kind of both. Rows before both have spoken are left out."""
     u = a.select(key, *ORDER, F.col("kind").alias("a_kind")).unionByName(b.select(key, *ORDER, F.col("kind").alias("b_kind")), allowMissingColumns=True)
 

@@ -17,7 +17,7 @@ def enrollment_outcomes(batches: DataFrame, captures: DataFrame, min_quality: in
         "batch_id", "subject_id", n.alias("n_captures"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"), "min_quality", F.when(reason.isNull(), "ACCEPTED").otherwise("REJECTED").alias("outcome"), reason.alias("reason"))
 
 
-def finger_slots(ops: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def finger_slots(ops: DataFrame, chunk: int | None = CHUNK) -> tuple[DataFrame, DataFrame]:
     """W9. Replay of add and remove: each operation's result, and each session's final mask. An add on an
     occupied slot fails with ALREADY_USED unless forced; the slot stays occupied either way. Slots with more than `chunk`
     operations are replayed by chunks."""

@@ -24,7 +24,7 @@ def kv_snapshot(log: DataFrame, as_of=None) -> DataFrame:
     return x.groupBy("ns", "key").agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("s")).select("ns", "key", "s.*").where("not deleted")
 
 
-def token_intervals(log: DataFrame, key: str = "token", chunk: int = CHUNK) -> DataFrame:
+def token_intervals(log: DataFrame, key: str = "token", chunk: int | None = CHUNK) -> DataFrame:
     """W8. Validity of each written token: until the next write or removal. Namespaces of more than `chunk` rows are scanned by chunks."""
 
     def work(x: DataFrame, s: Scan) -> DataFrame:

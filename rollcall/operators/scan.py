@@ -23,11 +23,13 @@ def last_known(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
-def split_busy(df: DataFrame, key: str, order: tuple[str, ...], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
+def split_busy(df: DataFrame, key: str, order: tuple[str, ...], chunk: int | None = CHUNK) -> tuple[DataFrame, DataFrame | None]:
     """The rows of keys of up to `chunk` rows, and those of the other keys with `_chunk`, or None if there are none.
 
-    Counting the rows of each key is a job of its own. Chunks are stored, since ranges are found by sampling and must not be
+    Counting the rows of each key is a job of its own; with None as chunk nothing is counted or cut. Chunks are stored, since ranges are found by sampling and must not be
     found twice; rows that are equal in key and order share a chunk."""
+    if chunk is None:
+        return df, None
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
     if sizes.isEmpty():
         return df, None
@@ -71,7 +73,7 @@ class Scan:
         return rows.join(F.broadcast(each), F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_of"))).drop("_key", "_of")
 
 
-def scanned(df: DataFrame, work: Callable[[DataFrame, Scan], DataFrame], key: str = "device_id", order: tuple[str, ...] = ("ts", "seq"), chunk: int = CHUNK) -> DataFrame:
+def scanned(df: DataFrame, work: Callable[[DataFrame, Scan], DataFrame], key: str = "device_id", order: tuple[str, ...] = ("ts", "seq"), chunk: int | None = CHUNK) -> DataFrame:
     """work(rows, scan) over whole keys, and over the chunks of keys that have more than `chunk` rows."""
     quiet, busy = split_busy(df, key, order, chunk)
     out = work(quiet, Scan(key, order, False))

@@ -89,25 +89,29 @@ class Debounce(StatefulProcessor):
         self.held = handle.getListState("held", "us long, seq long, kind string")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+        new = [(int(us), int(seq), kind) for f in rows for us, seq, kind in zip(f.ts.astype("datetime64[ns]").astype("int64") // 1000, f.seq, f.kind)]
+        self.held.appendList(new)
+        self._wake(min(us for us, _, _ in new), min(self.handle.listTimers(), default=None))
+        return iter(())
 
-        new = [(us // 1000, seq, kind) for f in rows for us, seq, kind in zip(f.ts.astype("int64"), f.seq, f.kind)]
-        self.held.appendList([(int(us), int(seq), kind) for us, seq, kind in new])
-        for at in {us // 1000 + self.ms for us, _, _ in new}:
-            self.handle.registerTimer(int(at))
-        return iter([pd.DataFrame({"device_id": [], "ts": [], "seq": [], "kind": []})][:0])
+    def _wake(self, us: int, known: int | None = None) -> None:
+        """A key has one timer, for the first event that is held."""
+        at = us // 1000 + self.ms
+        if known is None or at < known:
+            self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        held, now = sorted(map(tuple, self.held.get()), key=lambda r: r[:2]), expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(map(tuple, self.held.get()), key=lambda r: r[:2])
         after = [r[0] for r in held[1:]] + [None]
         known = [(r, nxt) for r, nxt in zip(held, after) if r[0] // 1000 + self.ms <= now]
         out = [r for r, nxt in known if nxt is None or nxt - r[0] >= self.ms * 1000]
-        rest = held[len(known) :]
-        if rest:
+        if known and (rest := held[len(known) :]):
             self.held.put(rest)
-        else:
+            self._wake(rest[0][0])
+        elif known:
             self.held.clear()
         if out:
             yield pd.DataFrame([(key[0], pd.Timestamp(us, unit="us"), seq, kind) for us, seq, kind in out], columns=["device_id", "ts", "seq", "kind"])
