@@ -635,9 +635,10 @@ def _(s, d):
 
 
 def _stream(s, d, text, name="events"):
-    """A fixture over a streamed table."""
+    """A fixture over a streamed table, which is a file or a folder of files. The pattern matches that one name: a stream takes a
+    single file by a pattern only."""
     schema = fx.table(s, d, name).schema
-    s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d).createOrReplaceTempView(name)
+    s.readStream.schema(schema).parquet(f"{d}/{name}[.]parquet").createOrReplaceTempView(name)
     return s.sql(fx.sql(text, "spark"))
 
 

@@ -40,6 +40,15 @@ def test_matches_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+@pytest.mark.parametrize("name", ["r1_stream_latest_complete", "r2_stream_changes", "r7_stream_identify", "r8_stream_kv", "r9_stream_gate"])
+def test_streams_over_folders(spark, duck, tmp_path, name):
+    """A table may be a folder of files, none of which has the table's name."""
+    for t in ("events", "embeddings", "documents"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(registry.ORACLE[name]).fetchdf()
+    assert len(got) and rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
 def test_blocked_recall(spark):
     """J2 finds what J1 finds on the same probes, over a fifth of the pairs."""
     probes, gallery = registry._noisy(spark, DATA)
