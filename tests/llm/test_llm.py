@@ -277,6 +277,20 @@ def test_cached_ids():
         assert w.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_spaced_texts_keep_their_ids():
+    """Words, marks and lines set apart give the tokenizer's own ids; words before marks and line ends are no chunks of their own."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(tokenizer()), random.Random(5)
+    parts = ["it's", "U.S.A", "3", "a1b", "http://x.y/z", "é", "e\u0301", "ÿ", "ª", "×", "İ", "<|endoftext|>", "it'", "\t", "\x1c", "\u00a0", "字", *".,;:!?-'()", ".,", "...", " ", " ", "\n"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 10)))
+        w = packing.words(tokenizer())
+        w.learn(set(packing.spaced(text).split(" ")))
+        assert w.ids(packing.spaced(text)) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert set(packing.spaced("one, one. one\none! one").split(" ")) == {"one", ",", ".", "!"}
+
+
 def test_ids_of_random_texts():
     """Letters that the tokenizer's form ends in a mark, before punctuation and not, among others."""
     from tokenizers import Tokenizer
