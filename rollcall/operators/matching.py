@@ -31,6 +31,9 @@ PRIME = 1_000_003
 #: Templates in an array that a score expression goes through, and arrays' groups that a small gallery is dealt into.
 ARRAY, SPREAD = 256, 64
 
+#: Copies of rows that go to their buckets at a time.
+SENT = 5_000
+
 Matcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Expression = Callable[[Column, Column], Column]
 
@@ -243,7 +246,8 @@ def _in_buckets(rows: DataFrame, planes: int, tables: int) -> DataFrame:
     def go(frames):
         import pandas as pd
 
-        for f in frames:
+        step = max(1, SENT // tables)
+        for f in (f.iloc[i : i + step] for f in frames for i in range(0, len(f), step)):
             for d, (at, x) in _by_length(f.vector.to_numpy()).items():
                 signs = (x @ hyperplanes(planes * tables, d).T > 0).reshape(len(x), tables, planes)
                 bucket = signs @ (1 << np.arange(planes, dtype=np.int64))
@@ -270,7 +274,7 @@ def _by_bucket(matcher: Matcher | None):
                     now, held = key[a], []
                 part = f.iloc[a:b]
                 if side[a] == 0:
-                    held = [*held, part]
+                    held = [*held, part.copy()]  # a slice would keep the whole batch
                 elif held:
                     held = [pd.concat(held)] if len(held) > 1 else held
                     out.append(_match(part.rename(columns={"id": "probe_id"}), held[0].rename(columns={"id": "template_id"}), 1, matcher))

@@ -72,6 +72,21 @@ def test_blocks_of_any_size(spark, monkeypatch, block):
         assert sorted(map(str, registry.QUERIES[n](spark, DATA).collect())) == want[n]
 
 
+def test_copies_go_out_in_small_batches(spark, monkeypatch):
+    """A batch of rows isn't copied for all tables at once; the copies are the same."""
+    class Rows:
+        schema = matching.valid(registry._probes(spark, DATA)[1].select("template_id", "vector")).schema
+
+        def mapInPandas(self, go, kinds):
+            return list(go([pd.DataFrame({"template_id": range(60), "vector": [[float(i), 1.0, -2.0] for i in range(60)]})]))
+
+    whole = pd.concat(matching._in_buckets(Rows(), 6, 9))
+    monkeypatch.setattr(matching, "SENT", 45)
+    parts = matching._in_buckets(Rows(), 6, 9)
+    assert max(map(len, parts)) == 45
+    assert sorted(map(str, pd.concat(parts).to_numpy().tolist())) == sorted(map(str, whole.to_numpy().tolist()))
+
+
 def test_own_scores(spark):
     """A Column and a pandas_udf give what the default gives on dot, in J1, J2 and T1."""
     p, g = registry._probes(spark, DATA)
