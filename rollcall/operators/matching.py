@@ -28,8 +28,8 @@ PROBES, TEMPLATES, SCORES = 10_000, 16_384, 4_000_000
 BUCKET, LEAST_PLANES = 4096, 6
 PRIME = 1_000_003
 
-#: Templates in an array that a score expression goes through, and arrays' groups that a small gallery is dealt into.
-ARRAY, SPREAD = 256, 64
+#: Templates in an array that a score expression goes through, and components that are columns of their own there at most.
+ARRAY, WIDE = 256, 100
 
 #: Copies of rows that go to their buckets at a time.
 SENT = 5_000
@@ -154,21 +154,63 @@ def _own_score(score_fn, matcher: Matcher | None) -> tuple[Expression | None, Ma
     return None, scored
 
 
-def _by_expression(p: DataFrame, g: DataFrame, k: int, score: Expression) -> DataFrame:
-    """The k best for each probe and key, from probes and templates of the same key: templates lie in arrays of about ARRAY, and an expression
-    goes through each, so that a row is a probe and an array, never a pair."""
-    part = F.pmod(F.xxhash64("template_id", F.lit("array")), F.greatest(F.lit(1), F.ceil(F.col("n") / ARRAY)))
-    sizes = g.groupBy("key").agg(F.count("*").alias("n"))
-    arrays = g.join(sizes, "key").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("template_id", "subject_id", "vector")).alias("templates"))
+def product(size: int) -> Expression:
+    """dot() for vectors of `size` components as a Column that Spark compiles, for score_fn; with lambdas, as in dot(), a pair takes far longer."""
+
+    def score(a: Column, b: Column) -> Column:
+        s = F.lit(0.0)
+        for i in range(size):
+            s = s + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
+        return s
+
+    return score
+
 
-    def scored(t):
-        s = score(F.col("vector"), t["vector"]).cast("double")
-        return F.struct((-F.when(~F.isnan(s), s)).alias("down"), t["template_id"].alias("template_id"), t["subject_id"].alias("subject_id"))
+def _spread(d: int, name: str) -> list[Column]:
+    """The components of a vector of length d as columns that are never null, which compiled code reads best; of a long one the array."""
+    return [F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(d)] if d <= WIDE else [F.col("vector").alias(f"{name}0")]
 
-    same = F.filter("templates", lambda t: F.size(t["vector"]) == F.size("vector"))
-    best = F.slice(F.array_sort(F.filter(F.transform(same, scored), lambda x: x["down"].isNotNull())), 1, k)
-    found = p.join(arrays, "key").select("probe_id", F.explode(best).alias("b"))
-    return found.select("probe_id", "b.template_id", "b.subject_id", (-F.col("b.down")).alias("score"))
+
+def _vector(d: int, name: str) -> Column:
+    return F.array(*[F.col(f"{name}{i}") for i in range(d)]) if d <= WIDE else F.col(f"{name}0")
+
+
+def _arrays(g: DataFrame, d: int, *key: str) -> DataFrame:
+    """The templates of length d in arrays of about ARRAY, by key."""
+    g = g.where(F.size("vector") == d)
+    n = g.groupBy(*key).agg(F.count("*").alias("n"))
+    sized = g.join(n, list(key)) if key else g.crossJoin(F.broadcast(n))
+    part = F.pmod(F.xxhash64("template_id", F.lit("array")), F.greatest(F.lit(1), F.ceil(F.col("n") / ARRAY)))
+    return sized.groupBy(*key, part.alias("part")).agg(F.collect_list(F.struct("template_id", "subject_id", *_spread(d, "g"))).alias("templates"))
+
+
+def _scores(rows: DataFrame, d: int, score: Expression, least: Column) -> DataFrame:
+    """Scores of each row's probe with each template of its array. A pair is a row only between two steps of one task: those below `least` go no further."""
+    s = F.nanvl(score(_vector(d, "p"), _vector(d, "g")).cast("double"), F.lit(None).cast("double"))
+    return rows.select(*[c for c in rows.columns if c != "templates"], F.inline("templates")).where(s >= least).select("probe_id", "template_id", "subject_id", s.alias("score"))
+
+
+def _by_expression(p: DataFrame, g: DataFrame, k: int, score: Expression, *key: str) -> DataFrame:
+    """The k best for each probe, and others that may be as good. Without a key up to 10 * PROBES probes are sent to all tasks, more are dealt out
+    by blocks, and the k-th score of each probe in one array, which is found first, keeps nearly all pairs from going on."""
+    out = None
+    for d in sorted(r[0] for r in p.select(F.size("vector")).distinct().collect()):
+        arrays, lowest = _arrays(g, d, *key), F.lit(float("-inf"))
+        q = p.where(F.size("vector") == d).select("probe_id", *key, *_spread(d, "p"))
+        if key:
+            found = _scores(q.join(arrays, list(key)), d, score, lowest)
+        else:
+            one = _scores(q.crossJoin(F.broadcast(arrays.where("part = 0"))), d, score, lowest)
+            known = one.groupBy("probe_id").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))
+            q = q.join(known, "probe_id", "left").withColumn("least", F.coalesce("least", lowest))
+            n = -(-q.count() // (10 * PROBES))
+            if n <= 1:
+                rows = arrays.crossJoin(F.broadcast(q))
+            else:
+                rows = q.withColumn("pb", F.pmod(F.xxhash64("probe_id"), F.lit(n))).join(arrays.withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "pb")
+            found = _scores(rows, d, score, F.col("least"))
+        out = found if out is None else out.unionByName(found)
+    return p.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
 def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None, score_fn=None) -> DataFrame:
@@ -178,10 +220,7 @@ def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None
     kind = gallery.schema["subject_id"].dataType
     g = valid(gallery.select(F.col("template_id").cast("long"), F.col("subject_id").cast("long"), "vector"))
     if score:
-        n = F.greatest(F.lit(1), F.ceil(g.agg(F.count("*")).scalar() / TEMPLATES), F.least(F.lit(SPREAD), F.ceil(g.agg(F.count("*")).scalar() / ARRAY))).cast("int")
-        p = p.withColumn("key", F.explode(F.sequence(F.lit(0), n - 1)))
-        found = _by_expression(p, g.withColumn("key", F.pmod(F.xxhash64("template_id"), n).cast("int")), k, score)
-        return _top(found, k).withColumn("subject_id", F.col("subject_id").cast(kind))
+        return _top(_by_expression(p, g, k, score), k).withColumn("subject_id", F.col("subject_id").cast(kind))
     few = p.limit(PROBES + 1).toPandas()
     if len(few) <= PROBES:
         ids = few.probe_id.to_numpy()
@@ -299,7 +338,7 @@ def identify_blocked(probes: DataFrame, gallery: DataFrame, threshold: float, pl
     g = g.join(hot, ["t", "bucket"], "left").select("template_id", "subject_id", "vector", "t", "bucket", own.alias("chunk")).select(key, F.lit(0).alias("side"), F.col("template_id").alias("id"), "subject_id", "vector")
     if score:
         templates = g.select("key", F.col("id").alias("template_id"), "subject_id", "vector")
-        found = _by_expression(p.select("key", F.col("id").alias("probe_id"), "vector"), templates, 1, score)
+        found = _by_expression(p.select("key", F.col("id").alias("probe_id"), "vector"), templates, 1, score, "key")
         return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
     found = g.unionByName(p).repartition("key").sortWithinPartitions("key", "side").mapInPandas(_by_bucket(matcher), FOUND)
     return _answer(probes, _top(found, 1).withColumn("subject_id", F.col("subject_id").cast(kind)), threshold, digits)
