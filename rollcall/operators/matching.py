@@ -2,19 +2,22 @@
 
 Scores are inner products in double precision, or whatever a customer's own matcher gives (X1): `matcher` is a function of two numpy
 matrices (probes by components, templates by components) to the matrix of scores; `score_fn` is a function of two array columns to a
-Column, or a pandas_udf of two series of vectors to doubles. A null or NaN score is no candidate. Ranks and thresholds
+Column, or a pandas_udf of two series of vectors to doubles, or of two data frames with a column a component (what Spark makes of structs), which it
+tells from the hint of the first argument and which it may not write into. A null or NaN score is no candidate. Ranks and thresholds
 look at the raw score; the output is rounded to `digits`. Vectors that are null, empty, or hold null or
 non-finite components take no part; vectors of different lengths never meet.
 
 Vectors are compared block against block, one matrix product each, and only the best k of each block go
 on, so no pair is ever a row. Up to PROBES probes (counted first) are sent to all tasks and the gallery
-is scanned where it lies; more probes, and the gallery, are dealt out in blocks of bounded size.
+is scanned where it lies, or dealt out evenly if that makes more than PAIRS pairs; more probes, and the gallery, are dealt out in blocks of
+bounded size, a task for each pair of blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import get_type_hints
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +27,8 @@ from pyspark.util import PythonEvalType
 DIGITS = 4
 #: Probes that are sent to all tasks at most, templates in a block, and scores that are held at a time.
 PROBES, TEMPLATES, SCORES = 10_000, 16_384, 4_000_000
+#: Pairs that a task scores, about, where the gallery is dealt out for shared probes, and pairs of blocks at least where both are.
+PAIRS, TASKS = 16_000_000, 32
 #: Buckets of J2 hold about so many templates, and no fewer planes are used than this.
 BUCKET, LEAST_PLANES = 4096, 6
 PRIME = 1_000_003
@@ -136,14 +141,16 @@ def _scan(shared, k: int, matcher: Matcher | None):
 
 
 def _own_score(score_fn, matcher: Matcher | None) -> tuple[Expression | None, Matcher | None]:
-    """A pandas_udf of two series becomes a matcher, one probe at a time; everything else is an expression."""
+    """A pandas_udf of two series, or of two data frames, becomes a matcher, one probe at a time; everything else is an expression."""
     if score_fn is None or matcher is not None:
         return None, matcher
     if not hasattr(score_fn, "evalType"):
         return score_fn, None
     if score_fn.evalType != PythonEvalType.SQL_SCALAR_PANDAS_UDF:
-        raise ValueError("score_fn is to be a pandas_udf of two series to a series")
+        raise ValueError("score_fn is to be a pandas_udf of two series or data frames to a series")
     series = score_fn.func
+    if _takes_frames(series):
+        return None, _framed(series)
 
     def scored(q, x):
         import pandas as pd
@@ -154,6 +161,29 @@ def _own_score(score_fn, matcher: Matcher | None) -> tuple[Expression | None, Ma
     return None, scored
 
 
+def _takes_frames(function) -> bool:
+    import pandas as pd
+
+    try:
+        return next(iter(get_type_hints(function).values()), None) is pd.DataFrame
+    except (NameError, TypeError):  # hints that can't be read, as in pandas_udf itself
+        return False
+
+
+def _framed(function) -> Matcher:
+    """A function of two frames as a matcher: frames are views of the matrices, the probe's of its one row."""
+
+    def scored(q, x):
+        import pandas as pd
+
+        x = x.view()
+        x.flags.writeable = False
+        templates = pd.DataFrame(x)
+        return np.array([np.asarray(function(pd.DataFrame(np.broadcast_to(one, x.shape)), templates), np.float64) for one in q]).reshape(len(q), len(x))
+
+    return scored
+
+
 def product(size: int) -> Expression:
     """dot() for vectors of `size` components as a Column that Spark compiles, for score_fn; with lambdas, as in dot(), a pair takes far longer."""
 
@@ -225,12 +255,16 @@ def _best(probes: DataFrame, gallery: DataFrame, k: int, matcher: Matcher | None
     if len(few) <= PROBES:
         ids = few.probe_id.to_numpy()
         shared = p.sparkSession.sparkContext.broadcast({d: (ids[at], q) for d, (at, q) in _by_length(few.vector.to_numpy()).items()})
+        if (tasks := -(-len(few) * g.count() // PAIRS)) > 1:
+            g = g.repartition(tasks, "template_id")
         found = g.mapInPandas(_scan(shared, k, matcher), FOUND)
     else:
-        n_p, n_g = (F.greatest(F.lit(1), F.ceil(t.agg(F.count("*")).scalar() / size)).cast("int") for t, size in ((p, PROBES), (g, TEMPLATES)))
-        p = p.withColumn("pb", F.pmod(F.xxhash64("probe_id"), n_p).cast("int")).withColumn("gb", F.explode(F.sequence(F.lit(0), n_g - 1)))
-        g = g.withColumn("gb", F.pmod(F.xxhash64("template_id"), n_g).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), n_p - 1)))
-        found = p.groupBy("pb", "gb").cogroup(g.groupBy("pb", "gb")).applyInPandas(lambda a, b: _match(a, b, k, matcher), FOUND)
+        n_p, n_g = (max(1, -(-t.count() // size)) for t, size in ((p, PROBES), (g, TEMPLATES)))
+        n_g = max(n_g, TASKS // n_p)
+        p = p.withColumn("pb", F.pmod(F.xxhash64("probe_id"), F.lit(n_p)).cast("int")).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))))
+        g = g.withColumn("gb", F.pmod(F.xxhash64("template_id"), F.lit(n_g)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
+        p, g = (t.withColumn("cell", F.col("pb") * n_g + F.col("gb")).drop("pb", "gb").repartitionById(n_p * n_g, "cell").groupBy("cell") for t in (p, g))
+        found = p.cogroup(g).applyInPandas(lambda a, b: _match(a, b, k, matcher), FOUND)
     return _top(found, k).withColumn("subject_id", F.col("subject_id").cast(kind))
 
 

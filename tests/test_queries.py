@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,41 @@ def test_own_scores(spark):
         assert sorted(map(str, run(score_fn=F.pandas_udf(registry._series_dot, "double")).collect())) == want
 
 
+def test_score_of_frames(spark):
+    """A pandas_udf of two data frames gives what the default gives; it may not write into what it is given."""
+    p, g = registry._probes(spark, DATA)
+    odd = spark.createDataFrame([(-1, [1.0]), (-2, [1.0, 2.0]), (-3, None)], "template_id LONG, vector ARRAY<DOUBLE>").withColumn("subject_id", F.lit(1))
+    p = p.select("probe_id", "vector").union(odd.select("template_id", "vector"))
+    g = g.select("template_id", "subject_id", "vector").unionByName(odd)
+    frames = F.pandas_udf(registry._frames_dot, "double")
+    for run in (lambda **x: matching.identify(p, g, 0.35, **x), lambda **x: matching.candidates(p, g, 7, **x)):
+        assert sorted(map(str, run(score_fn=frames).collect())) == sorted(map(str, run().collect()))
+    noisy = registry._noisy(spark, DATA)[0]
+    assert sorted(map(str, matching.identify_blocked(noisy, g, 0.5, score_fn=frames).collect())) == sorted(map(str, matching.identify_blocked(noisy, g, 0.5).collect()))
+
+    def writes(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        b.to_numpy()[:] = 0.0
+        return b[0]
+
+    _, matcher = matching._own_score(F.pandas_udf(writes, "double"), None)
+    with pytest.raises(ValueError, match="read-only"):
+        matcher(np.ones((1, 2)), np.ones((3, 2)))
+
+
+def test_scan_is_dealt_out(spark, monkeypatch):
+    """A gallery in one file is scored by many tasks if there are many pairs, and each pair of blocks by a task of its own."""
+    p, g = registry._probes(spark, DATA)
+    want, n = sorted(map(str, matching.candidates(p, g, 5).collect())), (p.count(), g.count())
+    top, tasks = matching._top, []
+    monkeypatch.setattr(matching, "_top", lambda found, k: tasks.append(found.select(F.spark_partition_id()).distinct().count()) or top(found, k))
+    monkeypatch.setattr(matching, "PAIRS", n[0] * n[1] // 10)
+    assert sorted(map(str, matching.candidates(p, g, 5).collect())) == want
+    monkeypatch.setattr(matching, "PROBES", n[0] // 3)
+    monkeypatch.setattr(matching, "TEMPLATES", n[1] // 4)
+    assert sorted(map(str, matching.candidates(p, g, 5).collect())) == want
+    assert tasks[0] > 7 and tasks[1] > 7, tasks
+
+
 def test_scores_that_are_null(spark):
     p = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "probe_id LONG, vector ARRAY<DOUBLE>")
     g = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [2.0]), (3, 3, [3.0])], "template_id LONG, subject_id INT, vector ARRAY<DOUBLE>")
