@@ -37,11 +37,25 @@ PUNCTUATION = '.,;:!?%*$&#|"()-'
 MARK = re.compile(r"([.,;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?])(?=[ \n])")
 
 
+#: Lower-case words that the tokenizer's normaliser leaves as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 def spaced(text: str) -> str:
-    """A text of the same ids with words and the mark behind them apart, and lines too: it has far fewer different chunks."""
+    """A text of the same ids with words and the mark behind them apart, and lines too: it has far fewer different chunks.
+    Lower case too, as the tokenizer's own, where a text has Latin-1 only, which has no marks to be composed, and nothing like a special token."""
+    if "<|" not in text and (text.isascii() or _latin(text)):
+        text = text.lower()
     return MARK.sub(r" \1", text).replace("\n", " ")
 
 
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def ends_in_letter(word: str) -> bool:
     """The tokenizer's form of the word ends in a letter too, not in a mark, which would go with the punctuation behind it."""
     return word.isascii() or category(normalize("NFC", word).lower()[-1])[0] == "L"
@@ -52,54 +66,59 @@ class Words:
     behind them. Each space-separated chunk is put together once, from its words and marks, and its ids kept. When
     `most` are held, those not met since the last time that happened go."""
 
-    def __init__(self, path: str, most: int = 200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {"": b""}, {}
+        self.tokenizer, self.plain, self.most, self.known, self.old = Tokenizer.from_file(path), Tokenizer.from_file(path), most, {"": b""}, {}
+        self.plain.normalizer = normalizers.Sequence([])
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), 1), bool)
         self.ends[ends] = True
 
-    def _encode(self, chunks: list[str], letters: bool) -> list[bytes]:
+    def _add(self, chunks: list[str], tokenizer, letters: bool, size: int = 500) -> None:
         """Words of letters are encoded together: each ends with the first id that ends a word."""
-        if letters:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(at) == len(chunks):
-                data = ids.tobytes()
-                return [data[a:b] for a, b in zip([0, *at], at)]
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _add(self, chunks: set[str], letters: bool) -> None:
-        new = list(chunks - self.known.keys())
-        for part in (new[i : i + 4000] for i in range(0, len(new), 4000)):
-            self.known.update(zip(part, self._encode(part, letters)))
+        for part in (chunks[i : i + size] for i in range(0, len(chunks), size)):
+            if letters:
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(at) == len(part):
+                    data = ids.tobytes()
+                    self.known.update(zip(part, [data[a:b] for a, b in zip([0, *at], at)]))
+                    continue
+            self.known.update(zip(part, [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.known.keys()
+        new = chunks.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known, self.old, new = {"": b""}, self.known, chunks - {""}
-        seen = new & self.old.keys()
-        self.known.update(zip(seen, map(self.old.__getitem__, seen)))
-        new -= seen
-        made = {}
+        known, old = self.known, self.old
+        made, plain, letters, rest = {}, [], set(), set()
         for c in new:
-            if not c.isalpha():
+            if c in old:
+                known[c] = old[c]
+            elif PLAIN.fullmatch(c):
+                plain.append(c)
+            elif c.isalpha():
+                letters.add(c)
+            else:
                 parts = made[c] = []
                 for line in c.split("\n"):
                     word = line.rstrip(PUNCTUATION)
                     parts += [word, line[len(word) :]] if word.isalpha() and ends_in_letter(word) else [line]
-        parts = {p for ps in made.values() for p in ps}
-        words_ = {p for p in parts if p.isalpha()}
-        self._add(new - made.keys() | words_, True)
-        self._add(parts - words_, False)
-        known = self.known
+        for p in {p for ps in made.values() for p in ps}.difference(known, new - made.keys()):
+            (letters if p.isalpha() else rest).add(p)
+        self._add(plain, self.plain, True)
+        self._add(list(letters), self.tokenizer, True)
+        self._add(list(rest), self.tokenizer, False)
         for c, ps in made.items():
             known[c] = b"".join([known[p] for p in ps])
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids; the text's chunks must have been learned."""
-        return b"".join(map(self.known.__getitem__, text.split(" ")))
+        return self.joined(text.split(" "))
+
+    def joined(self, chunks: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def words(path: str) -> Words:
@@ -201,14 +220,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
-        for b in slices(batches):
-            done, got = [], [spaced(t or "") for t in b.column("text").to_pylist()]
-            chunks: set[str] = set()
-            for t in got:
-                chunks.update(t.split(" "))
-            vocabulary.learn(chunks)
-            for id_, text in zip(b.column("doc_id").to_pylist(), got):
-                ids = vocabulary.ids(text) + last
+        for b in slices(batches, 64):  # their chunks are held as strings
+            done, got = [], [spaced(t or "").split(" ") for t in b.column("text").to_pylist()]
+            vocabulary.learn(set().union(*got))
+            for id_, chunks in zip(b.column("doc_id").to_pylist(), got):
+                ids = vocabulary.joined(chunks) + last
                 done += bins.place((id_, ids), len(ids) // 4)
             if done:
                 yield rows(done)

@@ -291,6 +291,21 @@ def test_spaced_texts_keep_their_ids():
     assert set(packing.spaced("one, one. one\none! one").split(" ")) == {"one", ",", ".", "!"}
 
 
+def test_case_makes_no_chunks_of_its_own():
+    """Texts go to lower case before chunks are told apart, but not where that would change what the tokenizer composes or takes for a special token."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(tokenizer()), random.Random(7)
+    assert set(packing.spaced("One, oNE ÉTÉ. été! one").split(" ")) == {"one", ",", "été", ".", "!"}
+    parts = ["Word", "ÀÉÎ", "µ", "ª", "ß", "\u00d7", "\u00ad", "<|ENDOFTEXT|>", "<|endoftext|>", "J\u030c", "H\u0331", "İ", "ΑΣ", "ẞ", "Ÿ", "\u212a", "A\u030a", "IT'S", "X1", *".,;!-'", " ", " ", "\n"]
+    w = packing.Words(tokenizer(), most=300)
+    for _ in range(4000):
+        text = "".join(r.choice(parts[: r.choice([7, len(parts)])] + [" "]) for _ in range(r.randint(1, 9)))
+        chunks = packing.spaced(text).split(" ")
+        w.learn(set(chunks))
+        assert w.joined(chunks) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_ids_of_random_texts():
     """Letters that the tokenizer's form ends in a mark, before punctuation and not, among others."""
     from tokenizers import Tokenizer
