@@ -4,8 +4,10 @@ The tree is fitted on a sample of at most SAMPLE vectors; every vector is then a
 A query descends best bin first: a priority queue holds the branches not taken, by the inner
 product of query and centre, and gives the order in which leaves are visited. How many leaves are
 visited is calibrated: for CALIBRATION queries the exact neighbours are found by brute force, and
-visits are widened until the wanted share of them lies in visited leaves. Leaves are dealt out in
-chunks of rows, and queries in chunks too, so that no task holds a whole large leaf.
+visits are widened until the wanted share of them lies in visited leaves. Leaves that lie side by side
+are put into groups of bounded size, and larger leaves are cut into several; queries are dealt into blocks, and
+each block meets each group on its own. A query is copied once for each group that it visits, with the
+leaves it visits there, and one list of k comes back from each, so copies grow with groups and not with leaves.
 
 Scores are sums over components in order, in double precision, so equal vectors have equal scores.
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import keep, runs
 
-K, LEAF, MAX_LEAVES, SAMPLE, CALIBRATION, RECALL, CHUNK = 20, 512, 4096, 12_000, 96, 0.96, 4096
+K, LEAF, MAX_LEAVES, SAMPLE, CALIBRATION, RECALL, CHUNK = 20, 512, 4096, 12_000, 96, 0.96, 16_384
+#: Groups of leaves, about, where a group may be smaller than CHUNK; copies of queries that go to their groups at a time; tasks that blocks and groups meet in, at most.
+GROUPS, SENT, TASKS = 32, 5_000, 512
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -107,9 +111,9 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, seen: np.ndarray | None = None, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's row, candidate's row, score) of the k best of x for every query, best first, ties to smaller ids,
-    without the query's own id.
+    without the query's own id. seen: whether a query visits a leaf, and at: the leaf of each candidate, by number there.
 
     One matrix product finds, for every query, the candidates that rounding could still put among the
     k best; only their scores are then added up component by component, and decide.
@@ -120,6 +124,8 @@ def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
         longest = np.sqrt((x**2).sum(axis=1).max(initial=0.0))
         for i in range(0, len(q), step):
             own = ids[None, :] == qid[i : i + step, None]
+            if seen is not None:
+                own |= ~seen[i : i + step, at]
             rough = np.where(own, -np.inf, q[i : i + step] @ x.T)
             if len(ids) > k:
                 # twice what the two ways of adding can differ by, on both sides
@@ -150,9 +156,56 @@ def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
 
+def _grouped(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first group of each leaf, groups that the leaf is dealt over, number of groups): neighbouring leaves share a group of at most so many rows."""
+    first, parts, group, held = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), 0, 0
+    for leaf in range(leaves):
+        size = sizes.get(leaf, 0)
+        if held and held + size > most:
+            group, held = group + 1, 0
+        first[leaf], parts[leaf], held = group, max(1, -(-size // most)), held + size
+        if parts[leaf] > 1:
+            group, held = group + int(parts[leaf]), 0
+    return first, parts, group + 1
+
+
+def _to_groups(tree: Tree, visits: int, first: np.ndarray, parts: np.ndarray, groups: int, blocks: int):
+    """Frames of queries to a row for each query and group that it visits, with the leaves that it visits there; about SENT rows at a time."""
+
+    def sent(f):
+        import pandas as pd
+
+        out = []
+        for row, q, block, v in zip(f.row, f.vec_id, _block(f.vec_id.to_numpy(), blocks), f.v):
+            own = np.array(tree.visits(np.asarray(v), visits), np.int32)
+            n = parts[own]
+            own, group = np.repeat(own, n), np.repeat(first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            order = np.argsort(group, kind="stable")
+            there, cut = np.unique(group[order], return_index=True)
+            out += [(block * groups + g, row, q, v, some) for g, some in zip(there, np.split(own[order], cut[1:]))]
+        return pd.DataFrame(out, columns=["cell", "row", "query_id", "v", "leaves"])
+
+    def go(frames):
+        step = max(1, SENT // groups)
+        for f in frames:
+            yield from (sent(f.iloc[i : i + step]) for i in range(0, len(f), step))
+
+    return go
+
+
+def _visited(wanted, leaves: np.ndarray) -> np.ndarray:
+    """Whether each query's list of leaves holds each of the sorted leaves."""
+    flat, owner = np.concatenate(wanted.tolist()), np.repeat(np.arange(len(wanted)), wanted.str.len())
+    place = np.minimum(np.searchsorted(leaves, flat), len(leaves) - 1)
+    there = leaves[place] == flat
+    out = np.zeros((len(wanted), len(leaves)), bool)
+    out[owner[there], place[there]] = True
+    return out
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every`, the k nearest found. chunk: rows of a
-    leaf, and queries of it, that a task holds at a time."""
+    group of leaves, and about so many queries, that a task holds at most."""
     rows = keep(valid(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     hashed = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1_000_000))
@@ -168,22 +221,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
     index = keep(rows.mapInPandas(assign, "vec_id long, v array<double>, row long, leaf int"), "index")
     queries = rows.where(F.col("vec_id") % every == 0)
     visits = _calibrate(tree, index, queries, k, recall)
-    sizes = dict(index.groupBy("leaf").count().collect())  # one row a leaf
-    wanted = queries.count() * visits / max(tree.leaves, 1)
-    chunks = {leaf: -(-c // chunk) for leaf, c in sizes.items()}
-    blocks = max(1, round(wanted / chunk))
-
-    def descend(frames):
-        import pandas as pd
-
-        for f in frames:
-            out = [(leaf, c, block, row, q, v) for row, q, block, v in zip(f.row, f.vec_id, _block(f.row.to_numpy(), blocks), f.v) for leaf in tree.visits(np.asarray(v), visits) for c in range(chunks.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["leaf", "chunk", "block", "row", "query_id", "v"])
+    first, parts, groups = _grouped(dict(index.groupBy("leaf").count().collect()), tree.leaves, max(1, min(chunk, -(-n // GROUPS))))  # one row a leaf
+    blocks = max(1, -(-queries.count() // chunk))
 
-    probes = queries.mapInPandas(descend, "leaf int, chunk long, block long, row long, query_id long, v array<double>")
-    count = F.element_at(F.create_map(*[F.lit(y) for kv in chunks.items() for y in kv]), F.col("leaf")) if chunks else F.lit(1)
-    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("row"), count).cast("long"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else dealt.withColumn("block", F.lit(0).cast("long"))
+    probes = queries.mapInPandas(_to_groups(tree, visits, first, parts, groups, blocks), "cell int, row long, query_id long, v array<double>, leaves array<int>")
+    start, pieces = F.get(F.lit(first.tolist()), F.col("leaf")), F.get(F.lit(parts.tolist()), F.col("leaf"))
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = index.select("*", (start + F.pmod(F.xxhash64("row"), pieces)).alias("group"), block.alias("block")).select("vec_id", "v", "leaf", (F.col("block") * groups + F.col("group")).cast("int").alias("cell"))
 
     def scan(probe, own):
         import pandas as pd
@@ -191,11 +235,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECA
         if not len(probe) or not len(own):
             return pd.DataFrame(columns=["row", "query_id", "ids", "scores"])
         qid, ids = probe.query_id.to_numpy(), own.vec_id.to_numpy()
-        r, c, s = nearest(_matrix(probe.v), qid, _matrix(own.v), ids, k)
+        leaves, at = np.unique(own.leaf.to_numpy(), return_inverse=True)
+        r, c, s = nearest(_matrix(probe.v), qid, _matrix(own.v), ids, k, _visited(probe.leaves, leaves), at)
         ends = np.searchsorted(r, np.arange(1, len(qid)))
         return pd.DataFrame({"row": probe.row.to_numpy(), "query_id": qid, "ids": np.split(ids[c], ends), "scores": np.split(s, ends)})
 
-    found = probes.groupBy("leaf", "chunk", "block").cogroup(dealt.groupBy("leaf", "chunk", "block")).applyInPandas(scan, "row long, query_id long, ids array<long>, scores array<double>")
+    by_cell = [t.repartitionById(min(groups * blocks, TASKS), "cell").groupBy("cell") for t in (probes, dealt)]
+    found = by_cell[0].cogroup(by_cell[1]).applyInPandas(scan, "row long, query_id long, ids array<long>, scores array<double>")
 
     def merge(frames):
         import pandas as pd

@@ -468,6 +468,31 @@ def test_ann_blocks_and_repeats(spark, chunk):
         assert share.min() > 0.5 * 1000 / n
 
 
+def test_ann_copies_by_groups(monkeypatch):
+    """A query goes once to each group of leaves that it visits, and no frame holds the copies of many queries."""
+    import pandas as pd
+
+    x = np.random.default_rng(4).normal(size=(2000, 8))
+    tree = ann.Tree(x, 200)
+    sizes = dict(zip(*(y.tolist() for y in np.unique(tree.assign(np.concatenate([x, np.repeat(x[:1], 900, axis=0)])), return_counts=True))))
+    first, parts, groups = ann._grouped(sizes, tree.leaves, 400)
+    held = np.zeros(groups)
+    for leaf, size in sizes.items():
+        held[first[leaf] : first[leaf] + parts[leaf]] += size / parts[leaf]
+    assert held.max() <= 400 and 8 <= groups <= 16 and parts.max() == 3
+    monkeypatch.setattr(ann, "SENT", 100)
+    queries = pd.DataFrame({"vec_id": range(0, 2000, 20), "row": range(100), "v": list(x[::20])})
+    frames = list(ann._to_groups(tree, 150, first, parts, groups, 3)([queries]))
+    sent = pd.concat(frames)
+    assert max(map(len, frames)) <= 100 and len(sent) <= 100 * groups < 100 * 150
+    for row, mine in sent.groupby("row"):
+        assert mine.cell.is_unique and mine.cell.floordiv(groups).nunique() == 1
+        want = {(leaf, first[leaf] + i) for leaf in tree.visits(x[20 * row], 150) for i in range(parts[leaf])}
+        assert want == {(leaf, cell % groups) for cell, leaves in zip(mine.cell, mine.leaves) for leaf in leaves}
+    there = ann._visited(sent.leaves, np.arange(0, tree.leaves, 2))
+    assert [set(np.flatnonzero(y) * 2) for y in there] == [{z for z in y if z % 2 == 0} for y in sent.leaves]
+
+
 @pytest.mark.parametrize("case", range(30))
 def test_ann_nearest_of_a_leaf(case):
     r = np.random.default_rng(case)
