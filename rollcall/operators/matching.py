@@ -35,6 +35,8 @@ PRIME = 1_000_003
 
 #: Templates in an array that a score expression goes through, and components that are columns of their own there at most.
 ARRAY, WIDE = 256, 100
+#: Arrays whose k-th score for a probe is found before all others are gone through, step by step.
+FIRST = (1, 16)
 
 #: Copies of rows that go to their buckets at a time.
 SENT = 5_000
@@ -205,35 +207,48 @@ def _vector(d: int, name: str) -> Column:
     return F.array(*[F.col(f"{name}{i}") for i in range(d)]) if d <= WIDE else F.col(f"{name}0")
 
 
-def _arrays(g: DataFrame, d: int, *key: str) -> DataFrame:
-    """The templates of length d in arrays of about ARRAY, by key."""
+def _arrays(g: DataFrame, d: int, *key: str, parts: int = 1, tasks: int = 1) -> DataFrame:
+    """The templates of length d in arrays of about ARRAY, by key; without a key in so many arrays, which are dealt out evenly to the tasks."""
     g = g.where(F.size("vector") == d)
-    n = g.groupBy(*key).agg(F.count("*").alias("n"))
-    sized = g.join(n, list(key)) if key else g.crossJoin(F.broadcast(n))
-    part = F.pmod(F.xxhash64("template_id", F.lit("array")), F.greatest(F.lit(1), F.ceil(F.col("n") / ARRAY)))
-    return sized.groupBy(*key, part.alias("part")).agg(F.collect_list(F.struct("template_id", "subject_id", *_spread(d, "g"))).alias("templates"))
+    h = F.xxhash64("template_id", F.lit("array"))
+    if key:
+        sized = g.join(g.groupBy(*key).agg(F.count("*").alias("n")), list(key)).withColumn("part", F.pmod(h, F.greatest(F.lit(1), F.ceil(F.col("n") / ARRAY))))
+    else:
+        sized = g.withColumn("part", F.pmod(h, F.lit(parts)).cast("int")).repartitionById(tasks, "part")
+    return sized.groupBy(*key, "part").agg(F.collect_list(F.struct("template_id", "subject_id", *_spread(d, "g"))).alias("templates"))
 
 
 def _scores(rows: DataFrame, d: int, score: Expression, least: Column) -> DataFrame:
-    """Scores of each row's probe with each template of its array. A pair is a row only between two steps of one task: those below `least` go no further."""
-    s = F.nanvl(score(_vector(d, "p"), _vector(d, "g")).cast("double"), F.lit(None).cast("double"))
-    return rows.select(*[c for c in rows.columns if c != "templates"], F.inline("templates")).where(s >= least).select("probe_id", "template_id", "subject_id", s.alias("score"))
+    """Scores of each row's probe, the struct p, with each template of its array. A pair is a row only between two steps of one task: those below `least` go no further.
+
+    The loop over an array is compiled by the JVM if its method is short and has few arguments: so the probe is one struct, and the score is
+    evaluated once, as Spark moves no filter below a select with the task's number."""
+    s = F.nanvl(score(_vector(d, "p.p"), _vector(d, "g")).cast("double"), F.lit(None).cast("double"))
+    pairs = rows.select(*[c for c in rows.columns if c != "templates"], F.inline("templates"))
+    scored = pairs.select("probe_id", "template_id", "subject_id", s.alias("score"), least.alias("least"), F.spark_partition_id().alias("task"))
+    return scored.where((F.col("score") >= F.col("least")) & (F.col("task") >= 0)).select("probe_id", "template_id", "subject_id", "score")
 
 
 def _by_expression(p: DataFrame, g: DataFrame, k: int, score: Expression, *key: str) -> DataFrame:
     """The k best for each probe, and others that may be as good. Without a key up to 10 * PROBES probes are sent to all tasks, more are dealt out
-    by blocks, and the k-th score of each probe in one array, which is found first, keeps nearly all pairs from going on."""
-    out = None
+    by blocks, and the k-th score of each probe in a few arrays, which is found first, keeps nearly all pairs from going on."""
+    out, conf, lowest = None, p.sparkSession.conf, F.lit(float("-inf"))
+    # Spark compiles no step with more fields than this, and a pair has two vectors
+    conf.set("spark.sql.codegen.maxFields", max(int(conf.get("spark.sql.codegen.maxFields")), 2 * WIDE + 20))
     for d in sorted(r[0] for r in p.select(F.size("vector")).distinct().collect()):
-        arrays, lowest = _arrays(g, d, *key), F.lit(float("-inf"))
-        q = p.where(F.size("vector") == d).select("probe_id", *key, *_spread(d, "p"))
+        q = p.where(F.size("vector") == d).select("probe_id", *key, F.struct(*_spread(d, "p")).alias("p"))
         if key:
-            found = _scores(q.join(arrays, list(key)), d, score, lowest)
+            found = _scores(q.join(_arrays(g, d, *key), list(key)), d, score, lowest)
         else:
-            one = _scores(q.crossJoin(F.broadcast(arrays.where("part = 0"))), d, score, lowest)
-            known = one.groupBy("probe_id").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))
-            q = q.join(known, "probe_id", "left").withColumn("least", F.coalesce("least", lowest))
-            n = -(-q.count() // (10 * PROBES))
+            n_q, n_g = q.count(), g.where(F.size("vector") == d).count()
+            parts, n = max(1, -(-n_g // ARRAY)), -(-n_q // (10 * PROBES))
+            arrays, q = _arrays(g, d, parts=parts, tasks=min(parts, max(TASKS, -(-n_q * n_g // PAIRS)))), q.withColumn("least", lowest)
+            for few in FIRST:
+                if few > 1 and few >= parts:
+                    break
+                some = _scores(q.crossJoin(F.broadcast(arrays.where(F.col("part") < few))), d, score, F.col("least"))
+                known = some.groupBy("probe_id").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("known"))
+                q = q.join(known, "probe_id", "left").select("probe_id", "p", F.coalesce("known", "least").alias("least"))
             if n <= 1:
                 rows = arrays.crossJoin(F.broadcast(q))
             else:

@@ -1,5 +1,6 @@
 """Every registered query against its SQL at the smallest scale."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -134,6 +135,17 @@ def test_scan_is_dealt_out(spark, monkeypatch):
     assert tasks[0] > 7 and tasks[1] > 7, tasks
 
 
+def test_expression_is_compiled(spark):
+    """The loop over an array of templates is in a compiled step, in a method that the JVM compiles too: under 8,000 bytes and with few arguments."""
+    p, g = registry._probes(spark, DATA)
+    df = matching.identify(p, g, 0.35, score_fn=matching.product(64))
+    assert sorted(map(str, df.collect())) == sorted(map(str, matching.identify(p, g, 0.35).collect()))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    steps = re.split(r"(?=== Subtree )", df._jdf.queryExecution().explainString(mode))
+    found = [(int(re.search(r"maxMethodCodeSize:(\d+)", x)[1]), len(args[1].split(","))) for x in steps if (args := re.search(r"void generate_doConsume_0\(([^)]*)\)", x))]
+    assert found and min(found)[0] < 8000 and max(n for _, n in found) < 20, found
+
+
 def test_scores_that_are_null(spark):
     p = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "probe_id LONG, vector ARRAY<DOUBLE>")
     g = spark.createDataFrame([(1, 1, [1.0]), (2, 2, [2.0]), (3, 3, [3.0])], "template_id LONG, subject_id INT, vector ARRAY<DOUBLE>")
